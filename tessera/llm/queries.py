@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, html_blocks, packing, pii, quality_classifier, quality_rules, sharding, token_files
+from tessera.llm import decontamination, html_blocks, jaccard_join, packing, pii, quality_classifier, quality_rules, sharding, token_files
 from tessera.llm.common import read, scratch_path
 
 
@@ -34,6 +34,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op2_packing, op3_decontamination, op4_personal_data, op6_quality_classifier, op8_token_files, op9_main_text, op10_sharding)
+    own = (op1_quality_rules, op2_packing, op3_decontamination, op4_personal_data, op5_jaccard_join, op6_quality_classifier, op8_token_files, op9_main_text, op10_sharding)
     return {f.__name__: f for f in own}
 
 
