@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as w
@@ -33,7 +33,6 @@ BLOCK_BYTES = 4 << 20
 SLICE_BYTES = 2 << 20
 _SLOTS = 1 << 20
 
-STATE = "doc_id long, text string, n_words long, hit binary, items array<string>"
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -187,28 +186,48 @@ def _step(docs: DataFrame, prefixes: Prefixes) -> DataFrame:
                     if before is not None:
                         own = own | np.unpackbits(np.frombuffer(before, np.uint8), count=len(own)).astype(bool)
                     marks.append(np.packbits(own).tobytes() if own.any() else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(found.first)), pa.array(marks, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["doc_id", "text", "n_words", "hit", "items"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(found.first)), pa.array(marks, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), *part.columns[5:]], part.schema.names)
 
-    return docs.mapInArrow(rows, STATE)
+    return docs.mapInArrow(rows, docs.schema)
+
+
+def _verdicts(batch: pa.RecordBatch) -> tuple[list[int], list[bool]]:
+    """Words hit and whether that is too many, from columns n_words and hit at 2 and 3."""
+    hits = [0 if x is None else int.from_bytes(x, "big").bit_count() for x in batch.column(3).to_pylist()]
+    return hits, [h > 0 and 20 * h >= n for h, n in zip(hits, batch.column(2).to_pylist(), strict=True)]
 
 
 def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hits = [0 if x is None else int.from_bytes(x, "big").bit_count() for x in batch.column(3).to_pylist()]
+        hits, bad = _verdicts(batch)
         items = batch.column(4).to_pylist()
-        total = batch.column(2).to_pylist()
         sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-        bad = [h > 0 and 20 * h >= n for h, n in zip(hits, total, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hits, pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(sums), pa.array(bad)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document: its words, those hit, the items found in it and the verdict."""
-    docs = docs_of(docs)
+def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array([not bad for bad in _verdicts(batch)[1]]))
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, *rest: Column) -> DataFrame:
+    """(doc_id, text, n_words, hit, items, ...) after all blocks of items."""
     items = benchmark.select(F.col("`item_id`").cast("string").alias("item_id"), F.col("`text`").cast("string").alias("text"))
-    out = docs.select("doc_id", "text", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"))
-    empty = [([], pa.array([], pa.string()))]
-    for ids, column in [*_blocks(items)] or empty:
+    key, text = F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text")
+    out = docs.select(key, text, F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"), *rest)
+    for ids, column in [*_blocks(items)] or [([], pa.array([], pa.string()))]:
         windows = Windows(ids, column)
-        out = _step(out, windows.prefixes(_frequencies(docs, windows)))
-    return out.drop("text").select("doc_id", F.lit(None).cast("string").alias("text"), "n_words", "hit", "items").mapInArrow(_result, SCHEMA)
+        out = _step(out, windows.prefixes(_frequencies(docs_of(docs), windows)))
+    return out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row for each document: its words, those hit, the items found in it and the verdict."""
+    return _searched(docs, benchmark).withColumn("text", F.lit(None).cast("string")).mapInArrow(_result, SCHEMA)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows, with all their columns, that aren't contaminated."""
+    found = _searched(docs, benchmark, F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest"))
+    clean = found.mapInArrow(_clean, found.schema)
+    return clean.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))

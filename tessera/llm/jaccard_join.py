@@ -357,3 +357,18 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     leaders = leaders.select("n", "digest", "digest2", F.coalesce("component", "leader").alias("component"))
     out = sizes.join(leaders, ["n", "digest", "digest2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, without those linked with a document of a smaller key.
+
+    Of rows with one key one stays; a row without a key stays.
+    """
+    found = materialize(jaccard_join(docs).where("doc_id is not null"), "members")
+    gone = found.where("component_id < doc_id").select("doc_id").distinct()
+    again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    bounded = gone.count() <= BROADCAST_ROWS
+    left = docs.join(F.broadcast(gone) if bounded else gone, "doc_id", "left_anti").select(docs.columns)
+    if not again.limit(1).count():
+        return left
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import words as w
 from tessera.llm.common import docs_of, slices, texts
+from tessera.llm.suffixes import longest_repeats
 
 MIN_REPEAT = 5
 MAX_COVERED = 50
@@ -33,56 +34,6 @@ _CONTINUES = (np.arange(256) & 0xC0) == 0x80
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered_words long, longest_repeat long, base_failed boolean, kept boolean"
 
 
-def longest_repeats(symbols: np.ndarray) -> np.ndarray:
-    """For each position, how many symbols from there on occur elsewhere too (overlaps count)."""
-    n = len(symbols)
-    out = np.zeros(n, np.int64)
-    if n < 2:
-        return out
-    order = np.argsort(symbols, kind="stable")
-    s = symbols[order]
-    new = np.concatenate([[True], s[1:] != s[:-1]])
-    index = np.arange(n)
-    rank = np.empty(n, np.int32)
-    rank[order] = np.maximum.accumulate(np.where(new, index, 0))
-    alone = new & np.concatenate([new[1:], [True]])
-    active = order[~alone]
-    levels, k = [rank], 1
-    candidates = np.sort(active)
-    while active.size:
-        after = np.where(active + k < n, rank[np.minimum(active + k, n - 1)].astype(np.int64) + 1, 0)
-        key = rank[active].astype(np.int64) * (n + 1) + after
-        o = np.argsort(key, kind="stable")
-        active, key = active[o], key[o]
-        base, at = rank[active], np.arange(len(active))
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        outer = np.concatenate([[True], base[1:] != base[:-1]])
-        rank = rank.copy()
-        rank[active] = base + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(outer, at, 0))
-        levels.append(rank)
-        active = active[~(new & np.concatenate([new[1:], [True]]))]
-        k *= 2
-    if not candidates.size:
-        return out
-    final = levels[-1]
-    suffixes = np.empty(n, np.int64)
-    suffixes[final] = index
-    places = np.sort(final[candidates].astype(np.int64))
-    places = places[places > 0]
-    p, q = suffixes[places - 1], suffixes[places]
-    same = levels[0][p] == levels[0][q]
-    p, q = p[same], q[same]
-    common = np.zeros(len(p), np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        a, b = p + common, q + common
-        fits = (a < n) & (b < n)
-        equal = fits & (levels[level][np.minimum(a, n - 1)] == levels[level][np.minimum(b, n - 1)])
-        common += equal.astype(np.int64) << level
-    np.maximum.at(out, p, common)
-    np.maximum.at(out, q, common)
-    return out
-
-
 def _marked(n: int, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
     """Which of n places the spans cover."""
     depth = np.bincount(start, minlength=n + 1) - np.bincount(start + length, minlength=n + 1)
@@ -128,16 +79,33 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
+def _verdict(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """base_failed and kept."""
+    failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    return failed, ~failed & (100 * m["n_covered_words"] <= MAX_COVERED * m["n_words"]) & (m["longest_repeat"] <= MAX_REPEAT)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, column = batch.column(0), texts(batch.column(1))
         for lo, hi in slices(column, SLICE_BYTES):
             m = measure(column.slice(lo, hi - lo))
-            failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-            kept = ~failed & (100 * m["n_covered_words"] <= MAX_COVERED * m["n_words"]) & (m["longest_repeat"] <= MAX_REPEAT)
+            failed, kept = _verdict(m)
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *(pa.array(v.astype(np.int64)) for v in m.values()), pa.array(failed), pa.array(kept)], ["doc_id", *m, "base_failed", "kept"])
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row for each document: the counts, base_failed and kept."""
     return docs_of(docs).mapInArrow(_rows, SCHEMA)
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, that the rules keep."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = texts(batch.column(batch.schema.get_field_index("text")))
+            for lo, hi in slices(column, SLICE_BYTES):
+                yield batch.slice(lo, hi - lo).filter(pa.array(_verdict(measure(column.slice(lo, hi - lo)))[1]))
+
+    return docs.mapInArrow(rows, docs.schema)

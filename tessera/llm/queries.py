@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, html_blocks, jaccard_join, packing, pii, quality_classifier, quality_rules, sharding, token_files
+from tessera.llm import decontamination, html_blocks, jaccard_join, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_files
 from tessera.llm.common import read, scratch_path
 
 
@@ -42,6 +41,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(read(spark, sf_dir, "documents"))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.main_text(read(spark, sf_dir, "pages"))
 
@@ -56,9 +59,65 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op2_packing, op3_decontamination, op4_personal_data, op5_jaccard_join, op6_quality_classifier, op8_token_files, op9_main_text, op10_sharding)
+    own = (op1_quality_rules, op2_packing, op3_decontamination, op4_personal_data, op5_jaccard_join, op6_quality_classifier, op7_substring_dedup, op8_token_files, op9_main_text, op10_sharding)
     return {f.__name__: f for f in own}
 
 
+SQL = {
+    "op1_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (
+  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS k FROM d, (VALUES (3), (5), (201)) AS s(n), unnest(range(1, greatest(len(w) - n + 2, 1))) AS t(i)),
+twice AS (SELECT doc_id, n, i FROM runs QUALIFY count(*) OVER (PARTITION BY doc_id, n, k) > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT CASE WHEN n = 3 THEN p END) AS n3, count(DISTINCT CASE WHEN n = 5 THEN p END) AS n5, count(CASE WHEN n = 201 THEN 1 END) AS n201
+  FROM twice, unnest(range(i, i + n)) AS t(p) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup FROM d, unnest(string_split(text, chr(10))) AS t(line)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n3, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n5, 0) AS BIGINT) AS n_covered_words, coalesce(n201, 0) AS n201
+  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id))
+SELECT * EXCLUDE (n201), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered_words <= 50 * n_words AND n201 = 0 AS kept
+FROM m
+""",
+    "op3_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS m, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS k
+  FROM b, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS t(i) WHERE len(w) > 0),
+dw AS (
+  SELECT doc_id, s.m, i, array_to_string(w[i : i + s.m - 1], ' ') AS k
+  FROM d, (SELECT DISTINCT m FROM bw) AS s, unnest(range(1, greatest(len(w) - s.m + 2, 1))) AS t(i)),
+hits AS (SELECT doc_id, i, m, item_id FROM dw JOIN bw USING (m, k)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + m)) AS t(p) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS list FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op5_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS k
+  FROM d, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(b) AS component_id
+FROM documents JOIN reach ON reach.a = doc_id LEFT JOIN n USING (doc_id) GROUP BY doc_id
+""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that SQL can express; the others are tested against brute force."""
+    return dict(SQL)
