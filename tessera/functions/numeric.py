@@ -32,9 +32,9 @@ def decimal_div(a: Column, b: Column, left: T.DecimalType, right: T.DecimalType)
     """
     out = decimal_result("/", left, right)
     a, b = a.cast(left), b.cast(right)
-    quotient = (a / b).cast(out)
-    step = F.lit(f"1e-{out.scale}").cast(T.DecimalType(38, out.scale))
-    over = F.abs(quotient.cast("decimal(38,%d)" % out.scale) * b) > F.abs(a)
+    quotient = (a / b).cast(T.DecimalType(min(out.precision, 37), out.scale))
+    step = F.lit(f"1e-{out.scale}").cast(T.DecimalType(out.scale + 1, out.scale))
+    over = F.abs(quotient * b) > F.abs(a)
     return F.when(over, quotient - F.when(quotient < 0, -step).otherwise(step)).otherwise(quotient).cast(out)
 
 
