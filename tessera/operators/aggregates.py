@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +11,11 @@ from tessera.functions.numeric import truncate
 from tessera.types import MONEY
 
 
+def _in(x: Column, over: WindowSpec | None) -> Column:
+    """The aggregate by itself or over a window."""
+    return x if over is None else x.over(over)
+
+
 def count(x: Column | str = "*") -> Column:
     """COUNT as int; error if it doesn't fit."""
     return F.count(x).cast("int")
@@ -29,22 +34,22 @@ def sum_int(x: Column, kind: str = "int") -> Column:
     return F.sum(x.cast("decimal(19,0)") if kind == "bigint" else x.cast("long")).cast(kind)
 
 
-def avg_int(x: Column, kind: str = "int") -> Column:
+def avg_int(x: Column, kind: str = "int", over: WindowSpec | None = None) -> Column:
     """AVG of integers: toward zero."""
-    return F.call_function("div", F.sum(x.cast("long")), F.count(x)).cast(kind)
+    return F.call_function("div", _in(F.sum(x.cast("long")), over), _in(F.count(x), over)).cast(kind)
 
 
-def sum_decimal(x: Column, scale: int) -> Column:
-    return F.sum(x.cast(T.DecimalType(38, scale))).cast(T.DecimalType(38, scale))
+def sum_decimal(x: Column, scale: int, over: WindowSpec | None = None) -> Column:
+    return _in(F.sum(x.cast(T.DecimalType(38, scale))), over).cast(T.DecimalType(38, scale))
 
 
-def avg_decimal(x: Column, scale: int) -> Column:
+def avg_decimal(x: Column, scale: int, over: WindowSpec | None = None) -> Column:
     """AVG of decimals: DECIMAL(38, max(scale, 6)), cut toward zero.
 
     Whole and remaining parts are divided on their own, so nothing is rounded and no digit is lost.
     """
     places = max(scale, 6)
-    total, n = F.sum(x.cast(T.DecimalType(28, scale))), F.count(x)
+    total, n = _in(F.sum(x.cast(T.DecimalType(28, scale))), over), _in(F.count(x), over)
     units = (F.abs(total) * 10**scale).cast("decimal(38,0)")
     whole = ((units - units % n) / n).cast("decimal(38,0)")
     rest = F.floor(((units % n) * 10 ** (places - scale)).cast("decimal(38,0)") / n.cast("decimal(19,0)")).cast("decimal(38,0)")
@@ -53,13 +58,13 @@ def avg_decimal(x: Column, scale: int) -> Column:
     return F.when(total < 0, -value).otherwise(value).cast(T.DecimalType(38, places))
 
 
-def sum_money(x: Column) -> Column:
-    return F.sum(x.cast(MONEY)).cast(MONEY)
+def sum_money(x: Column, over: WindowSpec | None = None) -> Column:
+    return _in(F.sum(x.cast(MONEY)), over).cast(MONEY)
 
 
-def avg_money(x: Column) -> Column:
+def avg_money(x: Column, over: WindowSpec | None = None) -> Column:
     """AVG of money: cut at four places."""
-    return truncate(F.sum(x.cast(MONEY)) / F.count(x).cast("decimal(10,0)"), 4).cast(MONEY)
+    return truncate(_in(F.sum(x.cast(MONEY)), over) / _in(F.count(x), over).cast("decimal(10,0)"), 4).cast(MONEY)
 
 
 def sum_float(x: Column) -> Column:
@@ -70,27 +75,27 @@ def avg_float(x: Column) -> Column:
     return F.avg(x.cast("double"))
 
 
-def _squares(x: Column, less: int) -> Column:
+def _squares(x: Column, less: int, over: WindowSpec | None) -> Column:
     x = x.cast("double")
-    n, s = F.count(x), F.sum(x)
-    return F.when(n > less, F.greatest((F.sum(x * x) - s * s / n) / (n - less), F.lit(0.0)))
+    n, s = _in(F.count(x), over), _in(F.sum(x), over)
+    return F.when(n > less, F.greatest((_in(F.sum(x * x), over) - s * s / n) / (n - less), F.lit(0.0)))
 
 
-def var(x: Column) -> Column:
+def var(x: Column, over: WindowSpec | None = None) -> Column:
     """VAR from sums: null for one row."""
-    return _squares(x, 1)
+    return _squares(x, 1, over)
 
 
-def varp(x: Column) -> Column:
-    return _squares(x, 0)
+def varp(x: Column, over: WindowSpec | None = None) -> Column:
+    return _squares(x, 0, over)
 
 
-def stdev(x: Column) -> Column:
-    return F.sqrt(_squares(x, 1))
+def stdev(x: Column, over: WindowSpec | None = None) -> Column:
+    return F.sqrt(_squares(x, 1, over))
 
 
-def stdevp(x: Column) -> Column:
-    return F.sqrt(_squares(x, 0))
+def stdevp(x: Column, over: WindowSpec | None = None) -> Column:
+    return F.sqrt(_squares(x, 0, over))
 
 
 def min_ci(x: Column) -> Column:

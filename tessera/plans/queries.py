@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import aggregate_queries, change_queries, relational_queries, scalar_queries  # noqa: F401
+from tessera.plans import aggregate_queries, change_queries, relational_queries, scalar_queries, text_queries  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES, Query
 
 
