@@ -17,13 +17,13 @@ def components(links: DataFrame) -> DataFrame:
     shorten by half; every round is written to shared storage.
     """
     both = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "links")
-    labels = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label"))
-    labels = materialize(labels, "labels")
+    labels = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
+    if not labels.limit(1).count():
+        return labels.withColumnRenamed("label", "component")
     for _ in range(ROUNDS):
         seen = both.join(labels, both["u"] == labels["node"]).groupBy("v").agg(F.min("label").alias("least"))
         hooked = labels.join(seen, labels["node"] == seen["v"]).select("node", F.least("label", "least").alias("label"), F.col("label").alias("old"))
-        hooked = materialize(hooked, "labels")
-        above = hooked.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        above = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
         labels = materialize(hooked.join(above, "label").select("node", F.least("label", "top").alias("label"), (F.least("label", "top") != F.col("old")).alias("moved")), "labels")
         if not labels.where("moved").limit(1).count():
             break

@@ -44,6 +44,8 @@ SLOTS = 1 << 14
 TILE = 256
 #: Ids are broadcast up to this many (16 bytes each); beyond, a shuffle join takes their place.
 BROADCAST_ROWS = 2_000_000
+#: Bitmaps are broadcast up to this size, and shuffled beyond.
+BROADCAST_BYTES = 32 << 20
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -152,8 +154,8 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _bits(n: int) -> int:
-    """Length of a set's bitmap: a power of two not below its size, 64 to 65536."""
-    return min(1 << 16, max(64, 1 << (int(n) - 1).bit_length()))
+    """Length of a set's bitmap: a power of two not below twice its size, 64 to 131072."""
+    return min(1 << 17, max(64, 1 << (2 * int(n) - 1).bit_length()))
 
 
 def _parity(runs: np.ndarray) -> bytes:
@@ -230,10 +232,13 @@ def _folded(bitmaps: list[bytes], bits: int) -> np.ndarray:
 
 
 class Run:
-    """The documents of one prefix shingle, in ascending order of size, a block at a time."""
+    """The documents of one prefix shingle, in ascending order of size, a block at a time.
 
-    def __init__(self, all_pairs: bool) -> None:
-        self.all_pairs, self.rows = all_pairs, []
+    bitmaps has every document's bitmap, or is None if the rows bring theirs along.
+    """
+
+    def __init__(self, all_pairs: bool, bitmaps: dict[int, bytes] | None) -> None:
+        self.all_pairs, self.bitmaps, self.rows = all_pairs, bitmaps, []
         self.before: list[list[tuple]] = []
         self.head: tuple | None = None
 
@@ -267,20 +272,37 @@ class Run:
         i, j = np.nonzero(good)
         if not len(i):
             return
-        bits = min(_bits(n.min()), _bits(n2.min()))
-        maps, maps2 = _folded([x[4] for x in left], bits), _folded([x[4] for x in right], bits)
-        for lo in range(0, len(i), 1 << 14):
-            a, b = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
-            differ = np.bitwise_count(maps[a] ^ maps2[b]).sum(1, dtype=np.int64)
-            fits = (n[a] + n2[b] - differ) // 2 >= need[a, b]
-            yield from zip(ids[a[fits]].tolist(), ids2[b[fits]].tolist(), strict=True)
-
-
-def _candidates(rows: DataFrame, all_pairs: bool) -> DataFrame:
-    """Distinct pairs (a, b), a below b, of rows (token, doc_id, n, place, component, bitmap) that pass the bounds."""
+        bits = np.minimum(np.array([*map(_bits, n.tolist())])[i], np.array([*map(_bits, n2.tolist())])[j])
+        for size in np.unique(bits).tolist():  # pairs of one band are compared at the length of their smaller bitmap
+            a, b = i[bits == size], j[bits == size]
+            (rows, at), (rows2, at2) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
+            maps, maps2 = (_folded([side[k][4] if self.bitmaps is None else self.bitmaps[side[k][0]] for k in own.tolist()], size) for side, own in ((left, rows), (right, rows2)))
+            step = max(1, (1 << 23) // size)
+            for lo in range(0, len(a), step):
+                part = slice(lo, lo + step)
+                differ = np.bitwise_count(maps[at[part]] ^ maps2[at2[part]]).sum(1, dtype=np.int64)
+                x, y = a[part], b[part]
+                fits = (n[x] + n2[y] - differ) // 2 >= need[x, y]
+                yield from zip(ids[x[fits]].tolist(), ids2[y[fits]].tolist(), strict=True)
+
+
+def _candidates(rows: DataFrame, sets: DataFrame, all_pairs: bool) -> DataFrame:
+    """Distinct pairs (a, b), a below b, of rows (token, doc_id, n, place, component) that pass the bounds.
+
+    Bitmaps are broadcast where all of them are small, and travel with the rows where they aren't.
+    """
+    bitmaps = sets.select("doc_id", "bitmap")
+    size = bitmaps.agg(F.sum(F.octet_length("bitmap") + 16)).first()[0] or 0
+    shared = None
+    if size <= BROADCAST_BYTES:
+        shared = rows.sparkSession.sparkContext.broadcast({x.doc_id: bytes(x.bitmap) for x in bitmaps.toLocalIterator()})
+        rows = rows.withColumn("bitmap", F.lit(None).cast("binary"))
+    else:
+        rows = rows.join(bitmaps, "doc_id")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, run = None, Run(all_pairs)
+        known = shared.value if shared is not None else None
+        now, run = None, Run(all_pairs, known)
         found: set[tuple[int, int]] = set()
 
         def out() -> pa.RecordBatch:
@@ -292,7 +314,7 @@ def _candidates(rows: DataFrame, all_pairs: bool) -> DataFrame:
             for token, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if token != now:
                     found.update(run.flush())
-                    now, run = token, Run(all_pairs)
+                    now, run = token, Run(all_pairs, known)
                 found.update(run.add(tuple(row)))
                 if len(found) > 200_000:
                     yield out()
@@ -304,33 +326,50 @@ def _candidates(rows: DataFrame, all_pairs: bool) -> DataFrame:
     return dealt.mapInArrow(runs, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose sets reach the threshold, by exact intersection; one set against TILE others at a time."""
-    pairs = materialize(pairs, "pairs")
-    count = pairs.groupBy("a").agg(F.count("*").alias("count"))
-    tiles = F.ceil(F.col("count") / TILE).cast("long")
-    member = pairs.join(count, "a").select("a", F.pmod(F.xxhash64("b"), tiles).alias("tile"), "b")
-    head = count.select("a", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("tile"), F.lit(None).cast("long").alias("b"))
-    both = member.withColumn("doc_id", F.col("b")).unionByName(head.withColumn("doc_id", F.col("a"))).join(sets.select("doc_id", "runs"), "doc_id")
+def _tiled(pairs: DataFrame, star: bool) -> DataFrame:
+    """(component, low, high, a, b): pairs dealt to tiles of about TILE documents a side.
+
+    In a star each document has few partners of a smaller key, and a tile is one of these with a part of its partners.
+    Otherwise the documents that pairs connect are dealt to blocks, and a tile is two blocks.
+    """
+    if star:
+        count = pairs.groupBy("a").agg(F.count("*").alias("count"))
+        part = F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / TILE).cast("long"))
+        return pairs.join(count, "a").select(F.col("a").alias("component"), part.alias("low"), F.lit(-1).cast("long").alias("high"), "a", "b")
+    families = components(pairs)
+    size = families.groupBy("component").agg(F.count("*").alias("count"))
+    placed = families.join(size, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / TILE).cast("long")).alias("block"))
+    placed = materialize(placed, "placed")
+    a, b = (placed.select(F.col("node").alias(x), F.col("component"), F.col("block").alias(f"block_{x}")) for x in "ab")
+    return pairs.join(a, "a").join(b.drop("component"), "b").select("component", F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high"), "a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
+    """Pairs whose sets reach the threshold, by exact intersection; an array travels once for each tile, not for each pair."""
+    tiled = materialize(_tiled(materialize(pairs, "pairs"), star), "tiled")
+    tile = ["component", "low", "high"]
+    wanted = tiled.select(*tile, F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    arrays = wanted.join(sets.select("doc_id", "runs"), "doc_id").select(*tile, F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "runs")
+    both = arrays.unionByName(tiled.withColumn("runs", F.lit(None).cast("binary")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own = None, None
+        now, held = None, {}
         for batch in batches:
             links: tuple[list[int], list[int]] = ([], [])
-            for a, tile, b, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                runs = np.frombuffer(x, w.U)
+            for component, low, high, a, b, x in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (component, low, high) != now:
+                    now, held = (component, low, high), {}
                 if b is None:
-                    now, own = (a, tile), runs
+                    held[a] = np.frombuffer(x, w.U)
                     continue
-                if (a, tile) != now:
-                    raise ValueError("a tile has no head")
-                common = len(np.intersect1d(own, runs, assume_unique=True))
-                if 100 * common >= PER_CENT * (len(own) + len(runs) - common):
+                one, other = held[a], held[b]
+                common = len(np.intersect1d(one, other, assume_unique=True))
+                if 100 * common >= PER_CENT * (len(one) + len(other) - common):
                     links[0].append(a)
                     links[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
 
-    dealt = both.select("a", "tile", "b", "runs").repartition("a", "tile").sortWithinPartitions("a", "tile", F.col("b").asc_nulls_first())
+    dealt = both.select(*tile, "a", "b", "runs").repartition(*tile).sortWithinPartitions(*tile, F.col("b").asc_nulls_first())
     return materialize(dealt.mapInArrow(rows, "a long, b long"), "links")
 
 
@@ -342,16 +381,17 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     classes = materialize(known.groupBy("n", "digest", "digest2").agg(F.min("doc_id").alias("leader"), F.min("shared").alias("shared")), "classes")
     ids = materialize(classes.where(F.col("shared") * 100 >= F.col("n") * PER_CENT).select(F.col("leader").alias("doc_id")).distinct(), "ids")
     sets = materialize(only(docs.where("doc_id is not null"), ids).mapInArrow(_sets, "doc_id long, n long, runs binary, bitmap binary").dropDuplicates(["doc_id"]), "sets")
-    prefixes = _prefix_rows(sets)
-    prefixes = materialize(prefixes, "prefixes")
+    prefixes = materialize(_prefix_rows(sets), "prefixes")
     crowd = prefixes.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("token")
-    rows = materialize(prefixes.join(crowd, "token").join(sets.select("doc_id", "bitmap"), "doc_id"), "rows")
-    links = _verified(_candidates(rows.withColumn("component", F.col("doc_id")), all_pairs=False), sets)
+    rows = materialize(prefixes.join(crowd, "token"), "rows")
+    links = _verified(_candidates(rows.withColumn("component", F.col("doc_id")), sets, all_pairs=False), sets, star=True)
     found = components(links)
-    named = rows.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    named = materialize(named, "named")
+    bounded = found.count() <= BROADCAST_ROWS
+    names = found.select(F.col("node").alias("doc_id"), "component")
+    named = rows.join(F.broadcast(names) if bounded else names, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    more = _verified(_candidates(named.join(mixed, "token", "left_semi"), all_pairs=True), sets)
+    left = materialize(named.join(mixed, "token", "left_semi"), "mixed")
+    more = _verified(_candidates(left, sets, all_pairs=True), sets, star=False)
     found = components(links.unionByName(more))
     leaders = classes.select("n", "digest", "digest2", "leader").join(found.select(F.col("node").alias("leader"), "component"), "leader", "left")
     leaders = leaders.select("n", "digest", "digest2", F.coalesce("component", "leader").alias("component"))
