@@ -51,7 +51,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
-    return token_files.read_back(spark, path, token_files.write(read(spark, sf_dir, "documents"), path, tokenizer_path()))
+    return token_files.read_back(spark, path, token_files.write(read(spark, sf_dir, "documents"), path, tokenizer_path(), null_keys=True))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

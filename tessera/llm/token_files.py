@@ -2,15 +2,16 @@
 
 Layout: part-NNNNN.bin holds ids as little-endian unsigned integers, 2 bytes each if the vocabulary allows it and
 else 4; part-NNNNN.idx holds, for each document and the end, the number of ids before it in that part as unsigned
-64-bit integers; part-NNNNN.doc holds the keys as signed 64-bit integers. manifest.json lists the parts with
-their numbers of documents and ids and the sums of those before, so that a part's place in the whole is known
-without reading any other. Documents stand in ascending order of their key, over all parts.
+64-bit integers; part-NNNNN.doc holds the keys as signed 64-bit integers and part-NNNNN.nul a byte for each, 1
+where the key is null (and .doc has 0). manifest.json lists the parts with their numbers of documents and ids and
+the sums of those before, so that a part's place in the whole is known without reading any other. Documents stand
+in ascending order of their key, null keys first, over all parts.
 
 A part is written under a name of its own and then renamed, so a task that is run again, or twice at once,
 leaves one whole file. Readers map local files into memory and read ranges of others.
 
 Defined cases: a null text is the empty one, which has the end id alone; rows with equal keys follow each other;
-a null key is an error; other columns are ignored; an empty table gives a manifest without parts.
+a null key is an error unless null_keys is set, as the query does; other columns are ignored; an empty table gives a manifest without parts.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ PART = "part long, n_docs long, n_ids long"
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1) -> dict:
+def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1, null_keys: bool = False) -> dict:
     """Write all documents below path (on storage that executors and driver share); returns the manifest."""
     width = 2 if max(encoder(tokenizer).size, end + 1) <= 1 << 16 else 4
 
@@ -42,11 +43,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1) -> dict:
         fs, base = store(path)
         fs.create_dir(base, recursive=True)
         part, mark = TaskContext.get().partitionId(), uuid.uuid4().hex
-        names = {kind: f"{base}/part-{part:05d}.{kind}" for kind in ("bin", "idx", "doc")}
+        names = {kind: f"{base}/part-{part:05d}.{kind}" for kind in ("bin", "idx", "doc", "nul")}
         keys, ends = [], [0]
         out = None
         for key, ids in encoded(batches, tokenizer, end):
-            if key is None:
+            if key is None and not null_keys:
                 raise ValueError("a document has no key")
             out = out or fs.open_output_stream(f"{names['bin']}.{mark}", buffer_size=1 << 20)
             out.write(np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes())
@@ -55,7 +56,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1) -> dict:
         if not keys:
             return
         out.close()
-        for kind, values in (("idx", np.array(ends, "<u8")), ("doc", np.array(keys, "<i8"))):
+        for kind, values in (("idx", np.array(ends, "<u8")), ("doc", np.array([k or 0 for k in keys], "<i8")), ("nul", np.array([k is None for k in keys], "u1"))):
             with fs.open_output_stream(f"{names[kind]}.{mark}") as f:
                 f.write(values.tobytes())
         for name in names.values():
@@ -81,7 +82,8 @@ class Part:
     def __init__(self, path: str, part: int, width: int) -> None:
         self.fs, base = store(path)
         self.width, self.name = width, f"{base}/part-{part:05d}"
-        self.keys, self.ends = (np.frombuffer(self._whole(kind), form) for kind, form in (("doc", "<i8"), ("idx", "<u8")))
+        keys, nulls, self.ends = (np.frombuffer(self._whole(kind), form) for kind, form in (("doc", "<i8"), ("nul", "u1"), ("idx", "<u8")))
+        self.keys = pa.array(keys, pa.int64(), mask=nulls.astype(bool))
         if isinstance(self.fs, pafs.LocalFileSystem):
             self.all, self.file = np.memmap(f"{self.name}.bin", f"<u{width}", "r"), None
         else:
@@ -107,7 +109,7 @@ def read_back(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
             for number, before in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 part = Part(path, number, width)
                 sums = [zlib.crc32(part.ids(i).astype("<u4").tobytes()) for i in range(len(part.keys))]
-                yield pa.RecordBatch.from_arrays([pa.array(part.keys), pa.array(part.ends[:-1].astype(np.int64) + before), pa.array(np.diff(part.ends).astype(np.int64)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([part.keys, pa.array(part.ends[:-1].astype(np.int64) + before), pa.array(np.diff(part.ends).astype(np.int64)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     parts = [(p["part"], p["ids_before"]) for p in manifest["parts"]]
     frame = spark.createDataFrame(parts, "part long, ids_before long")

@@ -15,7 +15,7 @@ pytest.importorskip("tessera.llm")
 
 from tessera.llm import decontamination, html_blocks, jaccard_join, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_files, tokenization  # noqa: E402
 from tessera.llm import words as w  # noqa: E402
-from tessera.llm.queries import tokenizer_path  # noqa: E402
+from tessera.llm.queries import op8_token_files, tokenizer_path  # noqa: E402
 from tessera.llm.suffixes import longest_repeats  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, a string, n long, slice string, rest string, component long"
@@ -166,6 +166,17 @@ def test_token_files_round_trip(spark, docs, rows, tmp_path):
         token_files.write(docs, f"file://{tmp_path}/other", tokenizer_path())
 
 
+def test_token_files_query_keeps_null_keys(spark, docs, rows, tmp_path):
+    more = docs.union(docs.where("doc_id = 3").selectExpr("cast(null as long)", *docs.columns[1:]))
+    more.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, op8_token_files(spark, str(tmp_path)).collect()), key=lambda x: x[1])
+    given = [*((r[0], r[1]) for r in rows), (None, rows[3][1])]
+    expected = [(key, len(full_ids(text)), zlib.crc32(np.array(full_ids(text), "<u4").tobytes())) for key, text in given]
+    assert sorted(((r[0], *r[2:]) for r in got), key=repr) == sorted(expected, key=repr)
+    assert [r[0] for r in got] == [None, None, *sorted(r[0] for r in rows if r[0] is not None)]
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1].tolist()]
+
+
 BENCH = [("i1", "the quick brown fox"), ("i1", "the quick brown fox"), ("i2", None), ("i3", "?!"), ("i4", "One"), (None, "two three")]
 
 
