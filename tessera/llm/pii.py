@@ -3,9 +3,13 @@
 The patterns find e-mail addresses, IP addresses, card numbers and phone numbers. The random field labels
 white-space tokens by features of their word shape and of their neighbours'; it is trained here, from a small
 labelled table that training_table() makes, and decoded by Viterbi over padded numpy batches. Only tokens with a
-digit, an equals sign, an at sign or a long run of capitals may carry a label other than O, by a constraint of
-the model, so stretches without any decode to O and are left out. Its classes for what the patterns cover only
-compete with the secret class; what it adds are secrets (keys, tokens, passwords) that no pattern's span touches.
+digit, an equals sign, an at sign or a long run of capitals, and those after a cue word or an equals sign, may carry
+a label other than O, by a constraint of the model, so stretches without any decode to O and are left out. Its
+classes for what the patterns cover only compete with the secret class; what it adds are secrets (keys, tokens,
+passwords) that no pattern's span touches.
+
+Not found: letters only without a cue word before them, unless capitals; passwords of several words beyond the first;
+addresses and numbers that the patterns refuse (an address part over 255, a card number with a wrong check digit).
 
 Defined cases: a null text is the empty one, without spans; equal rows give equal rows; other columns are ignored.
 """
@@ -76,6 +80,10 @@ def base_spans(text: str) -> list[Span]:
 LABELS = ("O", "secret", "email", "ip", "card", "phone", "phone_next")
 FEATURES = 1 << 13
 _CUES = {"password", "passwd", "pwd", "token", "secret", "key", "api_key", "apikey", "access", "auth", "bearer", "credential", "=", ":", "version", "license", "call", "phone", "mail", "card"}
+_NAMES = {"password", "passwd", "pwd", "token", "secret", "key", "api_key", "apikey", "access", "auth", "bearer", "credential"}
+_NAMED = re.compile(rb"(?<![a-z0-9])(?:" + "|".join(sorted(_NAMES)).encode() + rb")(?![a-z0-9])")
+_LINKS = {"=", ":", "is"}
+_QUOTES = "\"'`()[]{}<>,;.!?"
 _RUN = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]")
 _HEX = re.compile("[0-9a-f]+")
 
@@ -99,9 +107,15 @@ def shape(token: str) -> str:
     return re.sub(r"(u)\1+", r"\1", "".join(out))[:40]
 
 
+def _name(token: str) -> str:
+    """The name of a secret that a token is or, before a colon or an equals sign, begins with; else empty."""
+    head = re.split("[:=]", token, maxsplit=1)[0].lower().strip(_QUOTES)
+    return next((x for x in (head, re.split("[_.]", head)[-1]) if x in _NAMES), "")
+
+
 def _own(token: str) -> list[str]:
     s = shape(token)
-    word = token.lower().strip("\"'`()[]{}<>,;.!?")
+    word = token.lower().strip(_QUOTES)
     core = token[slice(*_value(token))]
     out = ["s" + s, "l%d" % min(len(core) // 4, 8), "d%d" % min(sum(c.isdigit() for c in core) // 3, 6), "y" + "".join(sorted({c for c in token if not c.isalnum() and c.isascii()}))]
     if len(core) >= 12 and core.isascii() and core.isalnum() and (core.isupper() or _HEX.fullmatch(core)) and not core.isdigit():
@@ -109,6 +123,10 @@ def _own(token: str) -> list[str]:
     for cue in (word, word.split("=", 1)[0].strip(":")):
         if cue in _CUES:
             out.append("w" + cue)
+    if (name := _name(token)) and "w" + name not in out:
+        out.append("w" + name)
+    if name and (":" in token or "=" in token):
+        out.append("wnamed" if not core or core.lower() == name else "named")
     return out
 
 
@@ -124,9 +142,16 @@ def _feature_ids(tokens: list[str]) -> list[list[int]]:
     return out
 
 
-def open_to_labels(token: str) -> bool:
-    """The constraint: any other token is O."""
-    return any(c in "0123456789=@" for c in token) or (len(token) >= 12 and token.rstrip(".,;:!?").isupper() and token.rstrip(".,;:!?").isalnum())
+def open_to_labels(token: str, one: str = "", two: str = "") -> bool:
+    """The constraint: any other token is O. The tokens one and two before it count too."""
+    if any(c in "0123456789=@" for c in token):
+        return True
+    core = token[slice(*_value(token))]
+    if len(token) >= 12 and core.isupper() and core.isalnum():
+        return True
+    if not core or token.lower() in _LINKS:
+        return False
+    return bool(_name(one) or one.endswith("=") or (one.lower() in _LINKS and _name(two)) or (_name(token) and core.lower() != _name(token)))
 
 
 def training_table(n: int = 500, seed: int = 7) -> list[tuple[list[str], list[str]]]:
@@ -145,7 +170,7 @@ def training_table(n: int = 500, seed: int = 7) -> list[tuple[list[str], list[st
 
     def slot() -> list[tuple[str, str]]:
         cue, secret = r.choice(cues), r.choice([draw(hexes, r.choice([16, 18, 18, 24, 32, 40])), draw(mixed, r.choice([20, 32, 40]))])
-        kind = r.randint(0, 15)
+        kind = r.randint(0, 24)
         if kind <= 1:
             return [(f"{cue}={secret}", "secret")]
         if kind <= 3:
@@ -168,6 +193,20 @@ def training_table(n: int = 500, seed: int = 7) -> list[tuple[list[str], list[st
             return [(r.choice([str(r.randint(1, 99999)), f"{r.randint(1, 31)}/{r.randint(1, 12)}/{r.randint(1900, 2030)}", f"{r.randint(1, 99)}%", f"v{r.randint(1, 9)}.{r.randint(0, 9)}", f"x{r.randint(1, 9)}"]), "O")]
         if kind == 14:
             return [(r.choice(["a", "x", "n", "size"]), "O"), ("=", "O"), (str(r.randint(0, 5000)), "O")]
+        if kind <= 17:  # letters only; in small ones after the names that prose seldom has before a colon
+            letters = r.choice([draw(mixed[:52], r.choice([12, 16, 20, 32])), draw(mixed[26:52], r.choice([10, 14, 20])), "".join(word().lower().strip(".,") for _ in range(6))[:r.randint(10, 24)]])
+            name, mark = r.choice([x for x in cues if x != "key"] if letters.islower() else cues), r.choice(["", "", '"', "'"])
+            value = f"{mark}{letters}{mark}" + r.choice(["", "", ".", "###"])
+            return r.choice([
+                [(f"{name}:", "O"), (value, "secret")], [(f"{name}:", "O"), (value, "secret")], [(r.choice(["", "{"]) + f'"{name}":', "O"), (f'"{letters}"' + r.choice(["", ",", "}", "},"]), "secret")], [(name, "O"), ("=", "O"), (value, "secret")],
+                [(name, "O"), (":", "O"), (value, "secret")], [(f"{name}=", "O"), (value, "secret")], [(f"{name}:{value}", "secret")], [(f"{name}={value}", "secret")], [(name, "O"), ("is", "O"), (f'"{letters}"', "secret")],
+            ])
+        if kind == 18:
+            mark = r.choice(["", '"', "'"])
+            return [(f"{mark}AKIA{draw(capitals[:26], 16)}{mark}" + r.choice(["", ".", "###", "&&&"]), "secret")]
+        if kind <= 20:  # names in prose
+            name, plain, long, short = r.choice(cues), word(), "".join(word().lower().strip(".,") for _ in range(4))[: r.randint(6, 16)], r.choice(["a", "the", "none", "or", "er", "this", "que", "und"])
+            return r.choice([[(name, "O"), (plain, "O")], [(name, "O"), (plain, "O")], [(name, "O"), ("is", "O"), (plain, "O")], [(f"{name}:", "O"), (short, "O"), (plain, "O")], [("key:", "O"), (plain, "O")], [("key:", "O"), (long, "O")], [(name, "O"), ("is", "O"), (long, "O")], [(r.choice(["a", "x", "n", "size"]), "O"), ("=", "O"), (plain, "O")]])
         return [("".join(word().upper().strip(".,") for _ in range(r.randint(1, 4))) + r.choice(["!!", "", ".", ",!!"]), "O") for _ in range(4)]
 
     out = []
@@ -200,7 +239,7 @@ class Field:
             for t, f in enumerate(s):
                 features[b, t, : len(f)] = f
                 there[b, t, : len(f)] = True
-                closed[b, t] = not open_to_labels(sentences[b][t])
+                closed[b, t] = not open_to_labels(*sentences[b][max(0, t - 2) : t + 1][::-1])
         return features, there, closed
 
     def _scores(self, batch: tuple) -> np.ndarray:
@@ -283,7 +322,7 @@ _TRIGGER[list(b"0123456789=@")] = True
 
 def _value(token: str) -> tuple[int, int]:
     """The part of a token that is the secret itself."""
-    lo = token.find("=") + 1 if "=" in token.rstrip("=") else 0
+    lo = token.find("=") + 1 if "=" in token.rstrip("=") else token.find(":") + 1 if _name(token) else 0
     hi = len(token)
     while lo < hi and not token[lo].isalnum():
         lo += 1
@@ -293,15 +332,27 @@ def _value(token: str) -> tuple[int, int]:
 
 
 def _windows(words: w.Words) -> list[tuple[int, int, int]]:
-    """Document and range of words around those that may carry a label: two before, one after, merged if they meet."""
+    """Document and range of words around those that may carry a label: two before, one after, merged if they meet.
+
+    After an equals sign or a name the next two may, in the same document.
+    """
     if not len(words.start):
         return []
     marks = np.concatenate([[0], np.cumsum(_TRIGGER[words.data])])
     capitals = np.concatenate([[0], np.cumsum(_LETTERS[words.data])])
     size = words.end - words.start
     may = (marks[words.end] > marks[words.start]) | ((size >= 12) & (capitals[words.end] - capitals[words.start] >= 12))
+    leads = words.data[words.end - 1] == ord("=")
+    raw, doc = words.data.tobytes().lower(), words.doc
+    named = np.array([m.start() for m in _NAMED.finditer(raw)], np.int64)
+    leads[np.searchsorted(words.start, named, "right") - 1] = True
+    for i in np.unique(words.first[:-1][words.first[:-1] < words.first[1:]]).tolist():  # the bytes before belong to another text
+        leads[i] |= _NAMED.search(raw[words.start[i] : words.end[i]]) is not None
+    may |= leads
+    for step in (1, 2):
+        may[step:] |= leads[:-step] & (doc[step:] == doc[:-step])
     at = np.flatnonzero(may)
-    doc = words.doc[at]
+    doc = doc[at]
     out: list[tuple[int, int, int]] = []
     for i, d in zip(at.tolist(), doc.tolist(), strict=True):
         lo, hi = max(i - 2, int(words.first[d])), min(i + 2, int(words.first[d + 1]))
