@@ -4,7 +4,8 @@ A page is cut into blocks, the runs of text between block-level tags. Each block
 (tags with their classes, ids and roles, hashed), its words (hashed) and a few sizes. A bidirectional LSTM in numpy
 reads the vectors of a page in order, in both directions, and labels every block as article or not, so each label
 rests on the whole page. It is trained here, on pages that training_pages() makes up. Text in scripts, styles,
-templates, controls and the head is never a block.
+templates, controls, frames, drawings (svg) and the head is never a block. A head without an end tag ends at the first
+text or element that cannot stand in it.
 
 Defined cases: null or empty html gives the empty text; equal rows give equal rows; other columns are ignored.
 """
@@ -31,12 +32,14 @@ WIDTH = PATH + WORDS + SIZES
 BATCH = 128
 
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-SILENT = frozenset("script style noscript template textarea select button option title head iframe svg object canvas math".split())
+SILENT = frozenset("script style noscript template textarea select button option title head iframe svg".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: An opening tag that ends an open one of the named kinds first, up to the nearest of the others.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_UNFINISHED = re.compile("</?[A-Za-z]|<[!?]")
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+")
@@ -68,8 +71,14 @@ def blocks(page: str) -> list[Block]:
             silent -= tag in SILENT
             links -= tag == "a"
 
+    def leave_head() -> None:
+        while stack and stack[-1][0] == "head":
+            close(len(stack) - 1)
+
     def say(text: str) -> None:
         nonlocal linked
+        if silent and text and not text.isspace():
+            leave_head()
         if text and not silent:
             pieces.append(text)
             linked += len(text) * (links > 0)
@@ -88,6 +97,8 @@ def blocks(page: str) -> list[Block]:
             if depth is not None:
                 close(depth)
             continue
+        if tag not in IN_HEAD:
+            leave_head()
         if tag == "body":
             close(next((i for i, x in enumerate(stack) if x[0] == "head"), len(stack)))
         if tag in BLOCK and tag != "br" and (depth := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)) is not None:
@@ -110,7 +121,7 @@ def blocks(page: str) -> list[Block]:
         stack.append((tag, f"{tag} {names}" if names else tag))
         silent += tag in SILENT
         links += tag == "a"
-    say(page[at:] if not page[at:].startswith("<") else "")
+    say(page[at:] if not _UNFINISHED.match(page, at) else "")
     flush()
     return out
 

@@ -395,6 +395,18 @@ def test_html_blocks_and_labels():
     assert sum(good) / len(good) > 0.98
 
 
+def test_html_blocks_drop_no_more_than_they_say():
+    def texts(page):
+        return [t for t, _, _ in html_blocks.blocks(page)]
+
+    assert texts("<html><head><title>t</title><meta charset=x><p>One</p><p>Two</p></html>") == ["One", "Two"]
+    assert texts("<head><title>t</title><style>p{}</style>One <b>two</b>") == ["One two"]
+    assert texts("<head><template><div>no</div></template><title>t</title></head><body><p>One") == ["One"]
+    assert texts("<p>a <math><mi>x</mi></math> b <object>c</object> <canvas>d</canvas> e</p>") == ["a x b c d e"]
+    assert texts("<p>< 5 apples are few") == ["< 5 apples are few"]
+    assert texts("<p>One</p><a href='x") == texts("<p>One</p></di") == texts("<p>One</p><!-") == ["One"]
+
+
 def test_main_text(spark):
     page = "<body><nav><ul><li><a href='/a'>a</a></li></ul></nav><article><h1>Head line</h1><p>First part of it.</p><p>Second part.</p></article><div class='comments'><p>Nice one!</p></div><footer>end</footer></body>"
     rows = [(1, "u", page, "x"), (2, None, None, "x"), (3, "u", "", "x"), (1, "u", page, "x")]
