@@ -167,6 +167,8 @@ def compare_all(df: DataFrame, x: Column, op: str, values_: DataFrame) -> DataFr
     """x op ALL (subquery): true for an empty one; unknown, so not kept, if a null decides."""
     c = values_.columns[0]
     facts = values_.agg(F.min(c).alias("__lo"), F.max(c).alias("__hi"), F.count("*").alias("__n"), F.count(c).alias("__c"))
+    if op == "<>":
+        df = df.join(values_.select(F.col(c).alias("__v")), x == F.col("__v"), "left_anti")
     j = df.crossJoin(F.broadcast(facts))
     bound = {">": "__hi", ">=": "__hi", "<": "__lo", "<=": "__lo"}.get(op)
     if bound:
@@ -174,7 +176,7 @@ def compare_all(df: DataFrame, x: Column, op: str, values_: DataFrame) -> DataFr
     elif op == "=":
         test = (x == F.col("__lo")) & (x == F.col("__hi"))
     else:
-        return df.join(F.broadcast(values_), (x == F.col(c)) | F.col(c).isNull() | x.isNull(), "left_anti")
+        test = x.isNotNull()
     return j.where((F.col("__n") == 0) | ((F.col("__n") == F.col("__c")) & test)).drop("__lo", "__hi", "__n", "__c")
 
 

@@ -53,6 +53,18 @@ def test_quantified(s, spark):
     assert rows(r.compare_all(s, F.col("n"), "<>", some).select("id")) == [(4,), (5,), (6,)]
 
 
+def test_unequal_to_all_without_broadcast_of_the_subquery(s, spark):
+    n = F.col("n")
+    none, with_null = s.where("id < 0").select("n"), s.where("id < 3").select("n")
+    some = s.where("id = 2 or id = 4").select("n")
+    assert r.compare_all(s, n, "<>", none).count() == 6 and r.compare_all(s, n, "<>", with_null).count() == 0
+    got = r.compare_all(s, s["n"], "<>", some)
+    given = {x.n for x in some.collect()}
+    assert got.columns == s.columns and rows(got.select("id")) == sorted((x.id,) for x in s.collect() if x.n is not None and x.n not in given)
+    plan = got._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoopJoin BuildRight, LeftAnti" not in plan and "LeftAnti" in plan
+
+
 def test_joins(s, spark):
     left = spark.createDataFrame([(1, 5), (1, 10), (2, 1)], "k int, t int")
     right = spark.createDataFrame([(1, 4, "a"), (1, 10, "b"), (3, 0, "c")], "k int, at int, v string")
