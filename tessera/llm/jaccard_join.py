@@ -16,8 +16,8 @@ most of each family; then all pairs whose components differ are compared. A link
 nothing, so no link between components is lost and a large family doesn't cost all of its pairs.
 
 Defined cases: null or empty text has no shingles and is linked with nothing; with fewer than five words the whole
-sequence is the one shingle; equal rows are rows of their own with the same component; a row without a key gets no
-component; other columns are ignored. Shingles are compared by 64-bit hashes.
+sequence is the one shingle; equal rows are rows of their own with the same component; rows of one key with different
+sets are documents of their own, each linked by its own text; a row without a key gets no component; other columns are ignored. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as w
@@ -373,10 +373,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
     return materialize(dealt.mapInArrow(rows, "a long, b long"), "links")
 
 
+def _mixed(sizes: DataFrame) -> bool:
+    """Whether a key has different sets."""
+    of = F.struct("n", "digest", "digest2")
+    return bool(sizes.where("doc_id is not null").groupBy("doc_id").agg(F.min(of).alias("low"), F.max(of).alias("high")).where("not (low <=> high)").limit(1).count())
+
+
+def _node() -> Column:
+    """A number for each key and text."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """(node, doc_id, n_shingles, family, component_id): each key and text as a document of its own; families are named by nodes."""
+    nodes = docs.select(_node().alias("doc_id"), "text")
+    found = materialize(_linked(nodes, _measured(nodes)), "apart").select(F.col("doc_id").alias("node"), "n_shingles", F.col("component_id").alias("family"))
+    keys = docs.where("doc_id is not null").select(_node().alias("node"), "doc_id").distinct()
+    found = materialize(found.join(keys, "node", "left"), "named")
+    least = found.where("node is not null").groupBy("family").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "family", "left")
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """One row for each document: the size of its set and the smallest key that links lead to."""
     docs = docs_of(docs)
     sizes = _measured(docs)
+    return _apart(docs).select("doc_id", "n_shingles", "component_id") if _mixed(sizes) else _linked(docs, sizes)
+
+
+def _linked(docs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The join where each key has one set."""
     known = sizes.where("doc_id is not null and n > 0")
     classes = materialize(known.groupBy("n", "digest", "digest2").agg(F.min("doc_id").alias("leader"), F.min("shared").alias("shared")), "classes")
     ids = materialize(classes.where(F.col("shared") * 100 >= F.col("n") * PER_CENT).select(F.col("leader").alias("doc_id")).distinct(), "ids")
@@ -402,9 +428,16 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows, with all their columns, without those linked with a document of a smaller key.
 
-    Of rows with one key one stays; a row without a key stays.
+    Of rows with one key one stays, or one of each family if their texts differ; a row without a key stays.
     """
-    found = materialize(jaccard_join(docs).where("doc_id is not null"), "members")
+    narrow = docs_of(docs)
+    sizes = _measured(narrow)
+    if _mixed(sizes):
+        members = _apart(narrow).where("node is not null")
+        first = materialize(members.groupBy("family").agg(F.min(F.struct("doc_id", "node")).alias("x")).select(F.col("x.node").alias("__node")), "first")
+        kept = docs.withColumn("__node", _node()).join(first, "__node", "left_semi").dropDuplicates(["__node"])
+        return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    found = materialize(_linked(narrow, sizes).where("doc_id is not null"), "members")
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
     again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     bounded = gone.count() <= BROADCAST_ROWS

@@ -13,7 +13,8 @@ starts anew at the next possible end. That gives the matching statistics cut at
 the interval's smallest document is the first to have the window. Every occurrence is then compared with that.
 
 Defined cases: null or empty text has no words and keeps none; texts shorter than a window keep everything; equal
-rows (the same key twice) don't remove each other's words; a row without a key keeps everything and removes nothing
+rows (the same key twice) don't remove each other's words, nor do different texts under one key, whose words are told
+apart by a hash of the text; a row without a key keeps everything and removes nothing
 elsewhere; other columns are ignored. Words are compared by 64-bit hashes.
 """
 
@@ -103,17 +104,17 @@ def _segment_rows(docs: DataFrame, crowds: np.ndarray) -> DataFrame:
             column = texts(batch.column(1))
             for lo, hi in slices(column, SLICE_BYTES):
                 doc, start, size, anchor, digest = segments(column.slice(lo, hi - lo), shared.value)
-                keys = batch.column(0).slice(lo, hi - lo).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))], ["doc_id", "start", "size", "anchor", "digest"])
+                keys, versions = (batch.column(i).slice(lo, hi - lo).take(pa.array(doc)) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([keys, versions, pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))], ["doc_id", "version", "start", "size", "anchor", "digest"])
 
-    return docs.mapInArrow(rows, "doc_id long, start int, size int, anchor long, digest long")
+    return docs.mapInArrow(rows, "doc_id long, version long, start int, size int, anchor long, digest long")
 
 
 def _with_lists(docs: DataFrame, rows: DataFrame, struct: list[str], name: str, how: str) -> DataFrame:
     """Documents with an array of the rows of each; the arrays are broadcast if there are few, else joined by shuffle."""
     bounded = rows.count() <= BROADCAST_ROWS
-    lists = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*struct)).alias(name))
-    return docs.join(F.broadcast(lists) if bounded else lists, "doc_id", how)
+    lists = rows.groupBy("doc_id", "version").agg(F.collect_list(F.struct(*struct)).alias(name))
+    return docs.join(F.broadcast(lists) if bounded else lists, ["doc_id", "version"], how)
 
 
 def _words_of(docs: DataFrame, different: DataFrame, shards: int) -> DataFrame:
@@ -255,16 +256,17 @@ def _shard(table: pa.Table) -> pa.Table:
 def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of words that windows of earlier documents cover."""
     for batch in batches:
-        keys, lows, highs = [], [], []
-        for key, start, firsts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        keys, versions, lows, highs = [], [], [], []
+        for key, version, start, firsts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             bad = np.flatnonzero(np.frombuffer(firsts, np.int64) < key)
             if len(bad):
                 cuts = np.flatnonzero(np.diff(bad) > 1)
                 for lo, hi in zip(bad[np.concatenate([[0], cuts + 1])].tolist(), bad[np.concatenate([cuts, [len(bad) - 1]])].tolist(), strict=True):
                     keys.append(key)
+                    versions.append(version)
                     lows.append(start + lo)
                     highs.append(start + hi + WINDOW)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32())], ["doc_id", "low", "high"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(versions, pa.int64()), pa.array(lows, pa.int32()), pa.array(highs, pa.int32())], ["doc_id", "version", "low", "high"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,22 +288,27 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(removed), pa.array(sums)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+def _versions(docs: DataFrame) -> DataFrame:
+    """Key, text and a hash of the text."""
+    return docs_of(docs).withColumn("version", F.xxhash64("text"))
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, low, high): spans of words that occur in a document with a smaller key, as whole windows."""
-    docs = docs_of(docs).where("doc_id is not null")
+    """(doc_id, version, low, high): spans of words that occur in a document with a smaller key, as whole windows."""
+    docs = _versions(docs).where("doc_id is not null")
     rows = materialize(_segment_rows(docs, _crowds(docs)), "segments")
     shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     rows = materialize(rows.join(shared, "anchor"), "shared")
-    different = materialize(rows.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "start", "size")).alias("x")).select("x.*", "anchor", "digest"), "different")
+    different = materialize(rows.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "version", "start", "size")).alias("x")).select("x.*", "anchor", "digest"), "different")
     size = different.agg(F.sum(F.col("size") + WINDOW)).first()[0] or 0
     shards = max(1, math.ceil(size / SHARD_WORDS))
     firsts = _words_of(docs, different, shards).dropDuplicates(["anchor", "digest"]).groupBy("shard").applyInArrow(_shard, "anchor long, digest long, firsts binary")
     firsts = materialize(firsts, "firsts")
-    found = rows.select("doc_id", "start", "anchor", "digest").join(firsts, ["anchor", "digest"])
-    return materialize(found.select("doc_id", "start", "firsts").mapInArrow(_removals, "doc_id long, low int, high int").distinct(), "spans")
+    found = rows.select("doc_id", "version", "start", "anchor", "digest").join(firsts, ["anchor", "digest"])
+    return materialize(found.select("doc_id", "version", "start", "firsts").mapInArrow(_removals, "doc_id long, version long, low int, high int").distinct(), "spans")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """One row for each document: its words, those removed and a digest of what is kept."""
-    joined = _with_lists(docs_of(docs), repeated_spans(docs), ["low", "high"], "spans", "left")
+    joined = _with_lists(_versions(docs), repeated_spans(docs), ["low", "high"], "spans", "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_kept, SCHEMA)

@@ -308,6 +308,19 @@ def test_jaccard_join_of_chains(spark):
     assert {x.component_id for x in got} == {0}
 
 
+def test_jaccard_join_of_one_key_with_different_texts(spark):
+    r = random.Random(6)
+    one, two = prose(r, 100), prose(r, 100)
+    given = [(9, one + " tail"), (5, one), (5, two), (5, two), (3, two + " tail"), (7, None), (7, prose(r, 60)), (None, one)]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in given], "doc_id long, text string, n int").repartition(3)
+    label = {(9, 0): 5, (5, 1): 5, (5, 2): 3, (5, 3): 3, (3, 4): 3, (7, 5): 7, (7, 6): 7, (None, 7): None}
+    expected = [(k, len(shingle_set(t)), label[k, i]) for i, (k, t) in enumerate(given)]
+    assert sorted(map(tuple, jaccard_join.jaccard_join(docs).collect()), key=repr) == sorted(expected, key=repr)
+    one_left = jaccard_join.one_of_each(docs)
+    assert one_left.columns == docs.columns and sorted((x.doc_id, x.text) for x in one_left.where("text is not null and doc_id is not null").collect()) == sorted([given[1], given[4], given[6]])
+    assert one_left.where("doc_id is null or text is null").count() == 2
+
+
 def brute_dedup(rows):
     first, keyed = {}, [(k, words_of(t)) for k, t, *_ in rows]
     for k, ws in keyed:
@@ -332,6 +345,14 @@ def test_substring_dedup(docs, rows):
     assert sorted(got, key=repr) == sorted(expected, key=repr) and sum(x[2] > 0 for x in expected) > 5
 
 
+def test_substring_dedup_of_one_key_with_different_texts(spark):
+    r = random.Random(7)
+    one, two, three = prose(r, 70), prose(r, 90), prose(r, 120)
+    given = [(5, prose(r, 10) + " " + one), (5, two + " " + three), (5, two + " " + three), (3, prose(r, 33) + " " + three), (7, one + " " + two), (7, three + " " + one + " x"), (5, prose(r, 20)), (7, None), (None, one), (8, prose(r, 60) + " " + one), (8, one + " " + prose(r, 80))]
+    got = [tuple(x) for x in substring_dedup.substring_dedup(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got, key=repr) == sorted(brute_dedup(given), key=repr)
+
+
 def test_fm_index_on_text_that_isnt_all_there():
     r = np.random.Generator(np.random.PCG64(2))
     texts = [r.integers(0, 3, n).astype(np.uint64) for n in (60, 80, 113)]
