@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessera.functions import strings as s
@@ -128,7 +128,9 @@ def json_arrayagg(t: Tables) -> DataFrame:
 
 # windows
 
-_USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+def _user() -> WindowSpec:
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS d FROM orders")
@@ -140,7 +142,7 @@ def ranking(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, ntile(4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS q FROM events")
 def ntile(t: Tables) -> DataFrame:
-    return t.events.select("event_id", w.ntile(4, _USER).alias("q"))
+    return t.events.select("event_id", w.ntile(4, _user()).alias("q"))
 
 
 @query("SELECT event_id, round(percent_rank() OVER (PARTITION BY user_id ORDER BY event_type), 9) AS p, round(cume_dist() OVER (PARTITION BY user_id ORDER BY event_type), 9) AS c FROM events")
@@ -151,29 +153,29 @@ def distribution(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, lag(event_type, 2, 'none') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events")
 def lag_lead(t: Tables) -> DataFrame:
-    return t.events.select("event_id", w.lag(F.col("event_type"), _USER, 2, "none").alias("before"), w.lead(F.col("event_id"), _USER).alias("after"))
+    return t.events.select("event_id", w.lag(F.col("event_type"), _user(), 2, "none").alias("before"), w.lead(F.col("event_id"), _user()).alias("after"))
 
 
 @query("SELECT event_id, first_value(NULLIF(event_type, 'view') IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f, last_value(NULLIF(event_type, 'view') IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS l, first_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events")
 def first_last_ignore_nulls(t: Tables) -> DataFrame:
     x = F.nullif("event_type", F.lit("view"))
-    return t.events.select("event_id", w.first_value(x, _USER, True).alias("f"), w.last_value(x, _USER, True).alias("l"), w.first_value(F.col("event_id"), _USER).alias("r"))
+    return t.events.select("event_id", w.first_value(x, _user(), True).alias("f"), w.last_value(x, _user(), True).alias("l"), w.first_value(F.col("event_id"), _user()).alias("r"))
 
 
 @query("SELECT event_id, nth_value(event_id, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS third FROM events")
 def nth_value(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.nth_value("event_id", 3).over(_USER).alias("third"))
+    return t.events.select("event_id", F.nth_value("event_id", 3).over(_user()).alias("third"))
 
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS s, CAST(count(*) OVER (PARTITION BY user_id ORDER BY event_type RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS n, max(value) OVER (PARTITION BY user_id) AS m FROM events")
 def window_frames(t: Tables) -> DataFrame:
-    rows, ranged = w.frame(_USER, "rows", -2, 1), w.frame(Window.partitionBy("user_id").orderBy("event_type"), "range", None, 0)
+    rows, ranged = w.frame(_user(), "rows", -2, 1), w.frame(Window.partitionBy("user_id").orderBy("event_type"), "range", None, 0)
     return t.events.select("event_id", F.round(F.sum("value").over(rows), 4).alias("s"), F.count("*").over(ranged).cast("int").alias("n"), F.max("value").over(Window.partitionBy("user_id")).alias("m"))
 
 
 @query("SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS rest FROM events")
 def window_rows_following(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.sum("event_id").over(w.frame(_USER, "rows", 0, None)).alias("rest"))
+    return t.events.select("event_id", F.sum("event_id").over(w.frame(_user(), "rows", 0, None)).alias("rest"))
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, max(event_id) OVER (PARTITION BY user_id) AS top FROM events")

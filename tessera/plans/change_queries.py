@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import dml
@@ -104,20 +104,22 @@ def identity_column(t: Tables) -> DataFrame:
     return dml.identity(t.part.select("p_partkey"), "id", 10, 5, "p_partkey")
 
 
-_COUNT = [F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total")]
+
+def _count() -> list[Column]:
+    return [F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total")]
 
 
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
 def tumbling_window(t: Tables) -> DataFrame:
-    return sw.tumbling(t.events, "ts", "6 hours", *_COUNT, keys=("event_type",))
+    return sw.tumbling(t.events, "ts", "6 hours", *_count(), keys=("event_type",))
 
 
 @query("SELECT s AS window_start, s + INTERVAL 6 HOUR AS window_end, count(*) AS n, round(sum(value), 3) AS total FROM (SELECT value, time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(3 * k) AS s FROM events, range(0, 2) AS r(k)) GROUP BY s")
 def sliding_window(t: Tables) -> DataFrame:
-    return sw.sliding(t.events, "ts", "6 hours", "3 hours", *_COUNT)
+    return sw.sliding(t.events, "ts", "6 hours", "3 hours", *_count())
 
 
 @query("""SELECT min(ts) AS window_start, max(ts) + INTERVAL 2 HOUR AS window_end, user_id, count(*) AS n, round(sum(value), 3) AS total FROM (
 SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, g""")
 def session_window(t: Tables) -> DataFrame:
-    return sw.session(t.events, "ts", "2 hours", *_COUNT, keys=("user_id",))
+    return sw.session(t.events, "ts", "2 hours", *_count(), keys=("user_id",))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,154 +19,154 @@ from tessera.plans.registry import ORACLES
 from tessera.sources import openjson as oj
 
 
-def scalar(name: str, table: str, key: str, column: Column, oracle: str, where: str = "TRUE") -> None:
-    """Register key and a computed column x over a table."""
+def scalar(name: str, table: str, key: str, column: Callable[[], Column], oracle: str, where: str = "TRUE") -> None:
+    """Register key and a computed column x over a table; the column is built when the query runs."""
 
     def run(t: Tables) -> DataFrame:
-        return getattr(t, table).where(where).select(key, column.alias("x"))
+        return getattr(t, table).where(where).select(key, column().alias("x"))
 
     QUERIES[name] = lambda spark, sf_dir: run(Tables(spark, sf_dir))
     ORACLES[name] = f"SELECT {key}, {oracle} AS x FROM {table} WHERE {where}"
 
 
+def _doc() -> Column:
+    return F.concat(F.lit('{"a":{"b":['), F.col("event_id").cast("string"), F.lit(',2]},"n":null}'))
+
+
 def _register() -> None:
-    name, text, seg, bal = F.col("p_name"), F.col("text"), F.col("c_mktsegment"), F.col("c_acctbal")
     part = lambda label, column, oracle: scalar(label, "part", "p_partkey", column, oracle)
-    part("str_plus_null", s.plus(F.nullif("p_brand", F.lit("Brand#1")), "-", name), "nullif(p_brand, 'Brand#1') || '-' || p_name")
-    part("str_concat_null", s.concat(F.nullif("p_brand", F.lit("Brand#1")), "-", name), "concat(nullif(p_brand, 'Brand#1'), '-', p_name)")
-    part("str_concat_ws", s.concat_ws("|", F.nullif("p_brand", F.lit("Brand#1")), name, F.col("p_size")), "concat_ws('|', nullif(p_brand, 'Brand#1'), p_name, p_size)")
-    part("str_translate", s.translate(name, "abc", "xyz"), "translate(p_name, 'abc', 'xyz')")
-    part("str_len", s.len_(F.concat(name, F.lit("  "))), "CAST(length(rtrim(p_name)) AS INTEGER)")
-    scalar("str_len_utf16", "documents", "doc_id", s.len_(text), "CAST(length(rtrim(text, ' ')) + length(regexp_replace(rtrim(text, ' '), '[\\x{0000}-\\x{FFFF}]', '', 'g')) AS INTEGER)")
-    scalar("str_datalength", "documents", "doc_id", s.datalength(text), "CAST(2 * (length(text) + length(regexp_replace(text, '[\\x{0000}-\\x{FFFF}]', '', 'g'))) AS INTEGER)")
-    part("str_left_right", s.plus(s.left(name, 3), "/", s.right(name, 4)), "left(p_name, 3) || '/' || right(p_name, 4)")
-    part("str_substring", s.substring(name, -1, 6), "substring(p_name, 1, 4)")
-    part("str_trim", s.plus("<", s.trim(F.concat(F.lit("xx "), name, F.lit(" x")), "x "), ">"), "'<' || trim('xx ' || p_name || ' x', 'x ') || '>'")
-    part("str_ltrim_rtrim", s.plus(s.ltrim(F.concat(F.lit("  "), name)), s.rtrim(F.lit("a  "))), "ltrim('  ' || p_name) || rtrim('a  ')")
-    part("str_upper_lower", s.plus(s.upper(name), s.lower(F.col("p_type"))), "upper(p_name) || lower(p_type)")
-    part("str_replicate", s.replicate(F.substring(name, 1, 2), F.col("p_size") - 10), "CASE WHEN p_size - 10 >= 0 THEN repeat(substring(p_name, 1, 2), p_size - 10) END")
-    part("str_space", s.plus("[", s.space(F.pmod("p_size", F.lit(5))), "]"), "'[' || repeat(' ', p_size % 5) || ']'")
-    part("str_char", s.char(F.col("p_size") + 64), "chr(p_size + 64)")
-    part("str_nchar", s.nchar(F.col("p_size") + 1040), "chr(p_size + 1040)")
-    part("str_unicode", s.unicode(name), "CAST(ord(p_name) AS INTEGER)")
-    part("str_ascii", s.ascii(name), "ascii(p_name)")
-    part("str_replace", s.replace(name, "a", "<>"), "replace(p_name, 'a', '<>')")
-    part("str_replace_ignoring_case", s.replace_ci(F.col("p_type"), "s", "_"), "regexp_replace(p_type, '(?i)s', '_', 'g')")
-    part("str_reverse", F.reverse(name), "reverse(p_name)")
-    part("str_stuff", s.stuff(name, 2, 3, "***"), "CASE WHEN length(p_name) >= 2 THEN substring(p_name, 1, 1) || '***' || substring(p_name, 5) END")
-    part("str_str", s.str_(F.col("p_retailprice"), 10, 2), "lpad(printf('%.2f', round(p_retailprice, 2)), 10, ' ')")
-    part("str_charindex", s.charindex("AN", name), "CAST(instr(lower(p_name), 'an') AS INTEGER)")
-    part("str_charindex_from", s.charindex("e", name, 4), "CAST(CASE WHEN instr(substring(lower(p_name), 4), 'e') > 0 THEN instr(substring(lower(p_name), 4), 'e') + 3 ELSE 0 END AS INTEGER)")
-    part("str_patindex", s.patindex("%[aeiou][aeiou]%", name), "CAST(CASE WHEN regexp_matches(p_name, '[aeiouAEIOU][aeiouAEIOU]') THEN length(regexp_extract(p_name, '^(.*?)[aeiouAEIOU][aeiouAEIOU]', 1)) + 1 ELSE 0 END AS INTEGER)")
-    scalar("str_escape_json", "pages", "page_id", s.string_escape_json(F.col("url")), "replace(url, '/', '\\/')")
-    part("str_quotename", s.quotename(F.concat(name, F.lit("]"))), "'[' || p_name || ']]' || ']'")
-    part("str_hash_md5", F.hex(s.hashbytes("MD5", name, national=False)), "upper(md5(p_name))")
-    part("str_hash_sha256", F.hex(s.hashbytes("SHA2_256", name, national=False)), "upper(sha256(p_name))")
-    part("str_hash_sha1", F.hex(s.hashbytes("SHA1", name, national=False)), "upper(sha1(p_name))")
+    part("str_plus_null", lambda: s.plus(F.nullif("p_brand", F.lit("Brand#1")), "-", F.col("p_name")), "nullif(p_brand, 'Brand#1') || '-' || p_name")
+    part("str_concat_null", lambda: s.concat(F.nullif("p_brand", F.lit("Brand#1")), "-", F.col("p_name")), "concat(nullif(p_brand, 'Brand#1'), '-', p_name)")
+    part("str_concat_ws", lambda: s.concat_ws("|", F.nullif("p_brand", F.lit("Brand#1")), F.col("p_name"), F.col("p_size")), "concat_ws('|', nullif(p_brand, 'Brand#1'), p_name, p_size)")
+    part("str_translate", lambda: s.translate(F.col("p_name"), "abc", "xyz"), "translate(p_name, 'abc', 'xyz')")
+    part("str_len", lambda: s.len_(F.concat(F.col("p_name"), F.lit("  "))), "CAST(length(rtrim(p_name)) AS INTEGER)")
+    scalar("str_len_utf16", "documents", "doc_id", lambda: s.len_(F.col("text")), "CAST(length(rtrim(text, ' ')) + length(regexp_replace(rtrim(text, ' '), '[\\x{0000}-\\x{FFFF}]', '', 'g')) AS INTEGER)")
+    scalar("str_datalength", "documents", "doc_id", lambda: s.datalength(F.col("text")), "CAST(2 * (length(text) + length(regexp_replace(text, '[\\x{0000}-\\x{FFFF}]', '', 'g'))) AS INTEGER)")
+    part("str_left_right", lambda: s.plus(s.left(F.col("p_name"), 3), "/", s.right(F.col("p_name"), 4)), "left(p_name, 3) || '/' || right(p_name, 4)")
+    part("str_substring", lambda: s.substring(F.col("p_name"), -1, 6), "substring(p_name, 1, 4)")
+    part("str_trim", lambda: s.plus("<", s.trim(F.concat(F.lit("xx "), F.col("p_name"), F.lit(" x")), "x "), ">"), "'<' || trim('xx ' || p_name || ' x', 'x ') || '>'")
+    part("str_ltrim_rtrim", lambda: s.plus(s.ltrim(F.concat(F.lit("  "), F.col("p_name"))), s.rtrim(F.lit("a  "))), "ltrim('  ' || p_name) || rtrim('a  ')")
+    part("str_upper_lower", lambda: s.plus(s.upper(F.col("p_name")), s.lower(F.col("p_type"))), "upper(p_name) || lower(p_type)")
+    part("str_replicate", lambda: s.replicate(F.substring(F.col("p_name"), 1, 2), F.col("p_size") - 10), "CASE WHEN p_size - 10 >= 0 THEN repeat(substring(p_name, 1, 2), p_size - 10) END")
+    part("str_space", lambda: s.plus("[", s.space(F.pmod("p_size", F.lit(5))), "]"), "'[' || repeat(' ', p_size % 5) || ']'")
+    part("str_char", lambda: s.char(F.col("p_size") + 64), "chr(p_size + 64)")
+    part("str_nchar", lambda: s.nchar(F.col("p_size") + 1040), "chr(p_size + 1040)")
+    part("str_unicode", lambda: s.unicode(F.col("p_name")), "CAST(ord(p_name) AS INTEGER)")
+    part("str_ascii", lambda: s.ascii(F.col("p_name")), "ascii(p_name)")
+    part("str_replace", lambda: s.replace(F.col("p_name"), "a", "<>"), "replace(p_name, 'a', '<>')")
+    part("str_replace_ignoring_case", lambda: s.replace_ci(F.col("p_type"), "s", "_"), "regexp_replace(p_type, '(?i)s', '_', 'g')")
+    part("str_reverse", lambda: F.reverse(F.col("p_name")), "reverse(p_name)")
+    part("str_stuff", lambda: s.stuff(F.col("p_name"), 2, 3, "***"), "CASE WHEN length(p_name) >= 2 THEN substring(p_name, 1, 1) || '***' || substring(p_name, 5) END")
+    part("str_str", lambda: s.str_(F.col("p_retailprice"), 10, 2), "lpad(printf('%.2f', round(p_retailprice, 2)), 10, ' ')")
+    part("str_charindex", lambda: s.charindex("AN", F.col("p_name")), "CAST(instr(lower(p_name), 'an') AS INTEGER)")
+    part("str_charindex_from", lambda: s.charindex("e", F.col("p_name"), 4), "CAST(CASE WHEN instr(substring(lower(p_name), 4), 'e') > 0 THEN instr(substring(lower(p_name), 4), 'e') + 3 ELSE 0 END AS INTEGER)")
+    part("str_patindex", lambda: s.patindex("%[aeiou][aeiou]%", F.col("p_name")), "CAST(CASE WHEN regexp_matches(p_name, '[aeiouAEIOU][aeiouAEIOU]') THEN length(regexp_extract(p_name, '^(.*?)[aeiouAEIOU][aeiouAEIOU]', 1)) + 1 ELSE 0 END AS INTEGER)")
+    scalar("str_escape_json", "pages", "page_id", lambda: s.string_escape_json(F.col("url")), "replace(url, '/', '\\/')")
+    part("str_quotename", lambda: s.quotename(F.concat(F.col("p_name"), F.lit("]"))), "'[' || p_name || ']]' || ']'")
+    part("str_hash_md5", lambda: F.hex(s.hashbytes("MD5", F.col("p_name"), national=False)), "upper(md5(p_name))")
+    part("str_hash_sha256", lambda: F.hex(s.hashbytes("SHA2_256", F.col("p_name"), national=False)), "upper(sha256(p_name))")
+    part("str_hash_sha1", lambda: F.hex(s.hashbytes("SHA1", F.col("p_name"), national=False)), "upper(sha1(p_name))")
 
     # numbers
-    part("num_add_overflow_free", (F.col("p_size") * 1000 + 7).cast("int"), "CAST(p_size * 1000 + 7 AS INTEGER)")
-    part("num_int_division", n.int_div(F.col("p_size") - 25, F.lit(4)), "CAST((p_size - 25) // 4 AS INTEGER)")
-    part("num_int_modulo", n.int_mod(F.col("p_size") - 25, F.lit(4)), "CAST((p_size - 25) % 4 AS INTEGER)")
+    part("num_add_overflow_free", lambda: (F.col("p_size") * 1000 + 7).cast("int"), "CAST(p_size * 1000 + 7 AS INTEGER)")
+    part("num_int_division", lambda: n.int_div(F.col("p_size") - 25, F.lit(4)), "CAST((p_size - 25) // 4 AS INTEGER)")
+    part("num_int_modulo", lambda: n.int_mod(F.col("p_size") - 25, F.lit(4)), "CAST((p_size - 25) % 4 AS INTEGER)")
     two = T.DecimalType(9, 2)
     cents = "CAST(round(p_retailprice * 100) AS HUGEINT)"
-    part("num_decimal_division", n.decimal_div(F.round("p_retailprice", 2).cast("decimal(9,2)"), F.col("p_size").cast("decimal(9,2)") + F.lit(0), two, two), f"CAST(CAST(({cents} * 1000000000000) // (p_size * 100) AS DECIMAL(25,0)) * 0.000000000001::DECIMAL(13,12) AS DECIMAL(21,12))")
-    part("num_decimal_multiply", n.decimal_mul(F.round("p_retailprice", 2).cast("decimal(9,2)"), F.lit("1.25").cast("decimal(3,2)"), two, T.DecimalType(3, 2)), f"CAST(CAST({cents} * 125 AS DECIMAL(30,0)) * 0.0001::DECIMAL(5,4) AS DECIMAL(13,4))")
-    part("num_money_multiply", n.money_mul(n.money(F.round("p_retailprice", 2)), F.lit("1.1234").cast("decimal(19,4)")), f"CAST(round(CAST(CAST({cents} * 11234 AS DECIMAL(30,0)) * 0.000001::DECIMAL(7,6) AS DECIMAL(30,6)), 4) AS DECIMAL(19,4))")
-    part("num_money_divide", n.money_div(n.money(F.round("p_retailprice", 2)), F.lit(7)), f"CAST(CAST({cents} * 100 // 7 AS DECIMAL(30,0)) * 0.0001::DECIMAL(5,4) AS DECIMAL(19,4))")
-    part("num_unary_minus", n.negate(F.col("p_size")), "-p_size")
-    part("num_bitwise", n.bit_xor(n.bit_or(n.bit_and(F.col("p_size"), 12), 3), 5), "xor(((p_size & 12) | 3), 5)")
-    part("num_bit_not", n.bit_not(F.col("p_size")), "~p_size")
-    scalar("num_abs_sign", "customer", "c_custkey", n.abs_(bal) * n.sign(bal, "double"), "c_acctbal", "c_acctbal <> 0")
-    scalar("num_ceiling_floor", "customer", "c_custkey", (n.ceiling(bal) * 10 + n.floor(bal)).cast("long"), "CAST(ceil(c_acctbal) * 10 + floor(c_acctbal) AS BIGINT)")
-    scalar("num_round", "customer", "c_custkey", n.round_(bal.cast("decimal(12,2)"), 1), "CAST(round(CAST(c_acctbal AS DECIMAL(12,2)), 1) AS DECIMAL(12,1))")
-    scalar("num_round_truncate", "customer", "c_custkey", n.round_(bal.cast("decimal(12,2)"), 1, True).cast("decimal(12,1)"), "CAST(CAST(trunc(CAST(round(c_acctbal * 100) AS BIGINT) / 10) AS BIGINT) * 0.1::DECIMAL(2,1) AS DECIMAL(12,1))")
-    part("num_power_sqrt", F.round(F.pow("p_size", F.lit(3)) + F.sqrt("p_size") + n.square(F.col("p_size")), 8), "round(pow(p_size, 3) + sqrt(p_size) + p_size * p_size, 8)")
-    part("num_log_base", F.round(n.log(F.col("p_size") + 1, 2) + F.log10("p_size") + F.exp(F.col("p_size") / 50), 9), "round(ln(p_size + 1) / ln(2) + log10(p_size) + exp(p_size / 50), 9)")
-    part("num_trigonometry", F.round(F.sin("p_size") + F.cos("p_size") + F.atan2("p_size", F.lit(3.0)) + F.degrees("p_size") + F.radians("p_size") + n.cot(F.col("p_size")), 8), "round(sin(p_size) + cos(p_size) + atan2(p_size, 3.0) + degrees(p_size) + radians(p_size) + cot(p_size), 8)")
-    part("num_greatest_least", n.greatest(F.col("p_size"), F.lit(20), F.nullif("p_size", F.lit(3))) * 100 + n.least(F.col("p_size"), F.lit(20)), "greatest(p_size, 20, nullif(p_size, 3)) * 100 + least(p_size, 20)")
+    part("num_decimal_division", lambda: n.decimal_div(F.round("p_retailprice", 2).cast("decimal(9,2)"), F.col("p_size").cast("decimal(9,2)") + F.lit(0), two, two), f"CAST(CAST(({cents} * 1000000000000) // (p_size * 100) AS DECIMAL(25,0)) * 0.000000000001::DECIMAL(13,12) AS DECIMAL(21,12))")
+    part("num_decimal_multiply", lambda: n.decimal_mul(F.round("p_retailprice", 2).cast("decimal(9,2)"), F.lit("1.25").cast("decimal(3,2)"), two, T.DecimalType(3, 2)), f"CAST(CAST({cents} * 125 AS DECIMAL(30,0)) * 0.0001::DECIMAL(5,4) AS DECIMAL(13,4))")
+    part("num_money_multiply", lambda: n.money_mul(n.money(F.round("p_retailprice", 2)), F.lit("1.1234").cast("decimal(19,4)")), f"CAST(round(CAST(CAST({cents} * 11234 AS DECIMAL(30,0)) * 0.000001::DECIMAL(7,6) AS DECIMAL(30,6)), 4) AS DECIMAL(19,4))")
+    part("num_money_divide", lambda: n.money_div(n.money(F.round("p_retailprice", 2)), F.lit(7)), f"CAST(CAST({cents} * 100 // 7 AS DECIMAL(30,0)) * 0.0001::DECIMAL(5,4) AS DECIMAL(19,4))")
+    part("num_unary_minus", lambda: n.negate(F.col("p_size")), "-p_size")
+    part("num_bitwise", lambda: n.bit_xor(n.bit_or(n.bit_and(F.col("p_size"), 12), 3), 5), "xor(((p_size & 12) | 3), 5)")
+    part("num_bit_not", lambda: n.bit_not(F.col("p_size")), "~p_size")
+    scalar("num_abs_sign", "customer", "c_custkey", lambda: n.abs_(F.col("c_acctbal")) * n.sign(F.col("c_acctbal"), "double"), "c_acctbal", "c_acctbal <> 0")
+    scalar("num_ceiling_floor", "customer", "c_custkey", lambda: (n.ceiling(F.col("c_acctbal")) * 10 + n.floor(F.col("c_acctbal"))).cast("long"), "CAST(ceil(c_acctbal) * 10 + floor(c_acctbal) AS BIGINT)")
+    scalar("num_round", "customer", "c_custkey", lambda: n.round_(F.col("c_acctbal").cast("decimal(12,2)"), 1), "CAST(round(CAST(c_acctbal AS DECIMAL(12,2)), 1) AS DECIMAL(12,1))")
+    scalar("num_round_truncate", "customer", "c_custkey", lambda: n.round_(F.col("c_acctbal").cast("decimal(12,2)"), 1, True).cast("decimal(12,1)"), "CAST(CAST(trunc(CAST(round(c_acctbal * 100) AS BIGINT) / 10) AS BIGINT) * 0.1::DECIMAL(2,1) AS DECIMAL(12,1))")
+    part("num_power_sqrt", lambda: F.round(F.pow("p_size", F.lit(3)) + F.sqrt("p_size") + n.square(F.col("p_size")), 8), "round(pow(p_size, 3) + sqrt(p_size) + p_size * p_size, 8)")
+    part("num_log_base", lambda: F.round(n.log(F.col("p_size") + 1, 2) + F.log10("p_size") + F.exp(F.col("p_size") / 50), 9), "round(ln(p_size + 1) / ln(2) + log10(p_size) + exp(p_size / 50), 9)")
+    part("num_trigonometry", lambda: F.round(F.sin("p_size") + F.cos("p_size") + F.atan2("p_size", F.lit(3.0)) + F.degrees("p_size") + F.radians("p_size") + n.cot(F.col("p_size")), 8), "round(sin(p_size) + cos(p_size) + atan2(p_size, 3.0) + degrees(p_size) + radians(p_size) + cot(p_size), 8)")
+    part("num_greatest_least", lambda: n.greatest(F.col("p_size"), F.lit(20), F.nullif("p_size", F.lit(3))) * 100 + n.least(F.col("p_size"), F.lit(20)), "greatest(p_size, 20, nullif(p_size, 3)) * 100 + least(p_size, 20)")
 
     # dates
-    od, sd, ts = F.col("o_orderdate"), F.col("l_shipdate"), F.col("ts")
     order = lambda label, column, oracle: scalar(label, "orders", "o_orderkey", column, oracle)
     event = lambda label, column, oracle: scalar(label, "events", "event_id", column, oracle)
     for unit, k in (("year", 3), ("quarter", -2), ("month", 7), ("week", 5), ("day", -40)):
-        order(f"dateadd_{unit}", d.dateadd(unit, k, od), f"o_orderdate + to_{unit if unit != 'quarter' else 'month'}s({k * 3 if unit == 'quarter' else k})")
+        order(f"dateadd_{unit}", lambda unit=unit, k=k: d.dateadd(unit, k, F.col("o_orderdate")), f"o_orderdate + to_{unit if unit != 'quarter' else 'month'}s({k * 3 if unit == 'quarter' else k})")
     for unit, k in (("hour", 30), ("minute", -90), ("second", 3661), ("millisecond", 1500), ("microsecond", 77)):
-        event(f"dateadd_{unit}", d.dateadd(unit, k, ts), f"ts + to_{unit}s({k})")
-    order("dateadd_month_end", d.dateadd_date("month", 1, F.last_day(od)), "CAST(last_day(o_orderdate) + INTERVAL 1 MONTH AS DATE)")
+        event(f"dateadd_{unit}", lambda unit=unit, k=k: d.dateadd(unit, k, F.col("ts")), f"ts + to_{unit}s({k})")
+    order("dateadd_month_end", lambda: d.dateadd_date("month", 1, F.last_day(F.col("o_orderdate"))), "CAST(last_day(o_orderdate) + INTERVAL 1 MONTH AS DATE)")
     for unit in ("year", "quarter", "month", "day"):
-        order(f"datediff_{unit}", d.datediff(unit, F.lit("1997-05-15").cast("timestamp_ntz"), od), f"CAST(date_diff('{unit}', TIMESTAMP '1997-05-15', o_orderdate) AS INTEGER)")
-    order("datediff_week", d.datediff("week", F.lit("1997-05-15").cast("timestamp_ntz"), od), "CAST((date_diff('day', DATE '1970-01-04', CAST(o_orderdate AS DATE)) + 70000) // 7 - (date_diff('day', DATE '1970-01-04', DATE '1997-05-15') + 70000) // 7 AS INTEGER)")
+        order(f"datediff_{unit}", lambda unit=unit: d.datediff(unit, F.lit("1997-05-15").cast("timestamp_ntz"), F.col("o_orderdate")), f"CAST(date_diff('{unit}', TIMESTAMP '1997-05-15', o_orderdate) AS INTEGER)")
+    order("datediff_week", lambda: d.datediff("week", F.lit("1997-05-15").cast("timestamp_ntz"), F.col("o_orderdate")), "CAST((date_diff('day', DATE '1970-01-04', CAST(o_orderdate AS DATE)) + 70000) // 7 - (date_diff('day', DATE '1970-01-04', DATE '1997-05-15') + 70000) // 7 AS INTEGER)")
     for unit in ("hour", "minute", "second"):
-        event(f"datediff_{unit}", d.datediff(unit, F.lit("2024-01-10 12:34:56.789").cast("timestamp_ntz"), ts), f"CAST(date_diff('{unit}', TIMESTAMP '2024-01-10 12:34:56.789', ts) AS INTEGER)")
-    event("datediff_big_microsecond", d.datediff_big("microsecond", F.lit("2024-01-10").cast("timestamp_ntz"), ts), "date_diff('microsecond', TIMESTAMP '2024-01-10', ts)")
+        event(f"datediff_{unit}", lambda unit=unit: d.datediff(unit, F.lit("2024-01-10 12:34:56.789").cast("timestamp_ntz"), F.col("ts")), f"CAST(date_diff('{unit}', TIMESTAMP '2024-01-10 12:34:56.789', ts) AS INTEGER)")
+    event("datediff_big_microsecond", lambda: d.datediff_big("microsecond", F.lit("2024-01-10").cast("timestamp_ntz"), F.col("ts")), "date_diff('microsecond', TIMESTAMP '2024-01-10', ts)")
     for unit in ("year", "quarter", "month", "dayofyear", "day", "hour", "minute", "second"):
-        event(f"datepart_{unit}", d.datepart(unit, ts), f"CAST(date_part('{unit}', ts) AS INTEGER)")
-    event("datepart_millisecond", d.datepart("millisecond", ts), "CAST(date_part('millisecond', ts) % 1000 AS INTEGER)")
-    event("datepart_microsecond", d.datepart("mcs", ts), "CAST(date_part('microsecond', ts) % 1000000 AS INTEGER)")
-    order("datepart_iso_week", d.datepart("isowk", od), "CAST(weekofyear(o_orderdate) AS INTEGER)")
-    order("datepart_weekday", d.datepart("weekday", od), "CAST(dayofweek(o_orderdate) + 1 AS INTEGER)")
-    order("datepart_weekday_first_monday", d.datepart("weekday", od, 1), "CAST(isodow(o_orderdate) AS INTEGER)")
-    order("datepart_week", d.datepart("week", od), "CAST((dayofyear(o_orderdate) - 1 + dayofweek(date_trunc('year', o_orderdate))) // 7 + 1 AS INTEGER)")
-    order("datename", s.plus(d.datename("month", od), " ", d.datename("weekday", od), " ", d.datename("day", od)), "monthname(o_orderdate) || ' ' || dayname(o_orderdate) || ' ' || day(o_orderdate)")
-    order("year_month_day", d.year(od) * 10000 + d.month(od) * 100 + d.day(od), "CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS INTEGER)")
-    order("eomonth", d.eomonth(od, 2), "last_day(CAST(o_orderdate AS DATE) + INTERVAL 2 MONTH)")
-    order("datefromparts", d.datefromparts(F.year(od), F.lit(2), F.lit(28)), "make_date(year(o_orderdate), 2, 28)")
-    event("datetime2fromparts", d.datetime2fromparts(F.year(ts), F.lit(3), F.dayofmonth(ts), F.hour(ts), F.lit(5), F.lit(6), 25, 2), "make_timestamp(year(ts), 3, day(ts), hour(ts), 5, 6.25)")
-    event("timefromparts_ticks", d.timefromparts(F.hour(ts), F.minute(ts), F.second(ts), 5, 1), "CAST((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) * 10000000 + 5000000 AS BIGINT)")
-    event("todatetimeoffset", d.todatetimeoffset(ts, "+05:30")["utc"], "ts - INTERVAL 330 MINUTE")
-    event("switchoffset", d.local(d.switchoffset(d.todatetimeoffset(ts, "-02:00"), "+01:00")), "ts + INTERVAL 3 HOUR")
-    event("at_time_zone", d.at_time_zone(ts, "W. Europe Standard Time")["utc"], "ts - INTERVAL 1 HOUR")
-    event("at_time_zone_moved", d.local(d.at_time_zone(d.offset(ts, 0), "Tokyo Standard Time", is_offset=True)), "ts + INTERVAL 9 HOUR")
+        event(f"datepart_{unit}", lambda unit=unit: d.datepart(unit, F.col("ts")), f"CAST(date_part('{unit}', ts) AS INTEGER)")
+    event("datepart_millisecond", lambda: d.datepart("millisecond", F.col("ts")), "CAST(date_part('millisecond', ts) % 1000 AS INTEGER)")
+    event("datepart_microsecond", lambda: d.datepart("mcs", F.col("ts")), "CAST(date_part('microsecond', ts) % 1000000 AS INTEGER)")
+    order("datepart_iso_week", lambda: d.datepart("isowk", F.col("o_orderdate")), "CAST(weekofyear(o_orderdate) AS INTEGER)")
+    order("datepart_weekday", lambda: d.datepart("weekday", F.col("o_orderdate")), "CAST(dayofweek(o_orderdate) + 1 AS INTEGER)")
+    order("datepart_weekday_first_monday", lambda: d.datepart("weekday", F.col("o_orderdate"), 1), "CAST(isodow(o_orderdate) AS INTEGER)")
+    order("datepart_week", lambda: d.datepart("week", F.col("o_orderdate")), "CAST((dayofyear(o_orderdate) - 1 + dayofweek(date_trunc('year', o_orderdate))) // 7 + 1 AS INTEGER)")
+    order("datename", lambda: s.plus(d.datename("month", F.col("o_orderdate")), " ", d.datename("weekday", F.col("o_orderdate")), " ", d.datename("day", F.col("o_orderdate"))), "monthname(o_orderdate) || ' ' || dayname(o_orderdate) || ' ' || day(o_orderdate)")
+    order("year_month_day", lambda: d.year(F.col("o_orderdate")) * 10000 + d.month(F.col("o_orderdate")) * 100 + d.day(F.col("o_orderdate")), "CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS INTEGER)")
+    order("eomonth", lambda: d.eomonth(F.col("o_orderdate"), 2), "last_day(CAST(o_orderdate AS DATE) + INTERVAL 2 MONTH)")
+    order("datefromparts", lambda: d.datefromparts(F.year(F.col("o_orderdate")), F.lit(2), F.lit(28)), "make_date(year(o_orderdate), 2, 28)")
+    event("datetime2fromparts", lambda: d.datetime2fromparts(F.year(F.col("ts")), F.lit(3), F.dayofmonth(F.col("ts")), F.hour(F.col("ts")), F.lit(5), F.lit(6), 25, 2), "make_timestamp(year(ts), 3, day(ts), hour(ts), 5, 6.25)")
+    event("timefromparts_ticks", lambda: d.timefromparts(F.hour(F.col("ts")), F.minute(F.col("ts")), F.second(F.col("ts")), 5, 1), "CAST((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) * 10000000 + 5000000 AS BIGINT)")
+    event("todatetimeoffset", lambda: d.todatetimeoffset(F.col("ts"), "+05:30")["utc"], "ts - INTERVAL 330 MINUTE")
+    event("switchoffset", lambda: d.local(d.switchoffset(d.todatetimeoffset(F.col("ts"), "-02:00"), "+01:00")), "ts + INTERVAL 3 HOUR")
+    event("at_time_zone", lambda: d.at_time_zone(F.col("ts"), "W. Europe Standard Time")["utc"], "ts - INTERVAL 1 HOUR")
+    event("at_time_zone_moved", lambda: d.local(d.at_time_zone(d.offset(F.col("ts"), 0), "Tokyo Standard Time", is_offset=True)), "ts + INTERVAL 9 HOUR")
     for unit in ("year", "quarter", "month", "day", "hour", "minute", "second"):
-        event(f"datetrunc_{unit}", d.datetrunc(unit, ts), f"CAST(date_trunc('{unit}', ts) AS TIMESTAMP)")
-    order("datetrunc_week", d.datetrunc("week", od), "CAST(date_trunc('day', o_orderdate) - to_days(CAST(dayofweek(o_orderdate) AS INTEGER)) AS TIMESTAMP)")
-    order("datetrunc_iso_week", d.datetrunc("iso_week", od), "CAST(date_trunc('week', o_orderdate) AS TIMESTAMP)")
-    event("date_bucket_minutes", d.date_bucket("minute", 45, ts, "2024-01-01"), "time_bucket(INTERVAL 45 MINUTE, ts, TIMESTAMP '2024-01-01')")
-    order("date_bucket_months", d.date_bucket("month", 5, od, "1995-01-01"), "CAST(time_bucket(INTERVAL 5 MONTH, o_orderdate, TIMESTAMP '1995-01-01') AS TIMESTAMP)")
-    order("date_bucket_weeks", d.date_bucket("week", 2, od), "time_bucket(INTERVAL 14 DAY, o_orderdate, TIMESTAMP '1900-01-01')")
+        event(f"datetrunc_{unit}", lambda unit=unit: d.datetrunc(unit, F.col("ts")), f"CAST(date_trunc('{unit}', ts) AS TIMESTAMP)")
+    order("datetrunc_week", lambda: d.datetrunc("week", F.col("o_orderdate")), "CAST(date_trunc('day', o_orderdate) - to_days(CAST(dayofweek(o_orderdate) AS INTEGER)) AS TIMESTAMP)")
+    order("datetrunc_iso_week", lambda: d.datetrunc("iso_week", F.col("o_orderdate")), "CAST(date_trunc('week', o_orderdate) AS TIMESTAMP)")
+    event("date_bucket_minutes", lambda: d.date_bucket("minute", 45, F.col("ts"), "2024-01-01"), "time_bucket(INTERVAL 45 MINUTE, ts, TIMESTAMP '2024-01-01')")
+    order("date_bucket_months", lambda: d.date_bucket("month", 5, F.col("o_orderdate"), "1995-01-01"), "CAST(time_bucket(INTERVAL 5 MONTH, o_orderdate, TIMESTAMP '1995-01-01') AS TIMESTAMP)")
+    order("date_bucket_weeks", lambda: d.date_bucket("week", 2, F.col("o_orderdate")), "time_bucket(INTERVAL 14 DAY, o_orderdate, TIMESTAMP '1900-01-01')")
 
     # conditions and conversions
-    part("case_searched", F.when(F.col("p_size") < 10, "small").when(F.col("p_size") < 30, "medium"), "CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' END")
-    part("iif", c.iif(F.col("p_size") > 25, F.col("p_size"), F.lit(0)), "CASE WHEN p_size > 25 THEN p_size ELSE 0 END")
-    part("choose", c.choose(F.col("p_size"), "one", "two", "three"), "CASE p_size WHEN 1 THEN 'one' WHEN 2 THEN 'two' WHEN 3 THEN 'three' END")
-    part("coalesce", c.coalesce(F.nullif("p_size", F.lit(7)), F.lit(-1), kind="int"), "CAST(coalesce(nullif(p_size, 7), -1) AS INTEGER)")
-    part("isnull_first_type", c.isnull(F.nullif("p_size", F.lit(7)), 2.9, "int"), "CAST(coalesce(nullif(p_size, 7), 2) AS INTEGER)")
-    part("nullif", c.nullif(F.col("p_brand"), "Brand#1"), "nullif(p_brand, 'Brand#1')")
-    scalar("cast_float_to_int", "customer", "c_custkey", c.to_int(bal), "CAST(trunc(c_acctbal) AS INTEGER)")
-    part("cast_text_to_int", c.text_to_int(F.concat(F.lit(" "), F.col("p_size").cast("string"))), "p_size")
-    part("cast_char_padded", s.plus(c.to_char(F.col("p_brand"), 12), "|"), "rpad(p_brand, 12, ' ') || '|'")
-    part("cast_varchar_cut", c.to_varchar(name, 5), "substring(p_name, 1, 5)")
-    part("cast_int_too_wide", c.to_varchar(F.col("p_size"), 1, "int"), "CASE WHEN p_size > 9 THEN '*' ELSE CAST(p_size AS VARCHAR) END")
-    part("try_cast", c.try_cast(F.regexp_extract(F.col("p_brand"), "[0-9]+$", 0), "int"), "TRY_CAST(regexp_extract(p_brand, '[0-9]+$') AS INTEGER)")
-    scalar("convert_bit", "customer", "c_custkey", c.to_bit(F.col("c_nationkey")), "c_nationkey <> 0")
+    part("case_searched", lambda: F.when(F.col("p_size") < 10, "small").when(F.col("p_size") < 30, "medium"), "CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' END")
+    part("iif", lambda: c.iif(F.col("p_size") > 25, F.col("p_size"), F.lit(0)), "CASE WHEN p_size > 25 THEN p_size ELSE 0 END")
+    part("choose", lambda: c.choose(F.col("p_size"), "one", "two", "three"), "CASE p_size WHEN 1 THEN 'one' WHEN 2 THEN 'two' WHEN 3 THEN 'three' END")
+    part("coalesce", lambda: c.coalesce(F.nullif("p_size", F.lit(7)), F.lit(-1), kind="int"), "CAST(coalesce(nullif(p_size, 7), -1) AS INTEGER)")
+    part("isnull_first_type", lambda: c.isnull(F.nullif("p_size", F.lit(7)), 2.9, "int"), "CAST(coalesce(nullif(p_size, 7), 2) AS INTEGER)")
+    part("nullif", lambda: c.nullif(F.col("p_brand"), "Brand#1"), "nullif(p_brand, 'Brand#1')")
+    scalar("cast_float_to_int", "customer", "c_custkey", lambda: c.to_int(F.col("c_acctbal")), "CAST(trunc(c_acctbal) AS INTEGER)")
+    part("cast_text_to_int", lambda: c.text_to_int(F.concat(F.lit(" "), F.col("p_size").cast("string"))), "p_size")
+    part("cast_char_padded", lambda: s.plus(c.to_char(F.col("p_brand"), 12), "|"), "rpad(p_brand, 12, ' ') || '|'")
+    part("cast_varchar_cut", lambda: c.to_varchar(F.col("p_name"), 5), "substring(p_name, 1, 5)")
+    part("cast_int_too_wide", lambda: c.to_varchar(F.col("p_size"), 1, "int"), "CASE WHEN p_size > 9 THEN '*' ELSE CAST(p_size AS VARCHAR) END")
+    part("try_cast", lambda: c.try_cast(F.regexp_extract(F.col("p_brand"), "[0-9]+$", 0), "int"), "TRY_CAST(regexp_extract(p_brand, '[0-9]+$') AS INTEGER)")
+    scalar("convert_bit", "customer", "c_custkey", lambda: c.to_bit(F.col("c_nationkey")), "c_nationkey <> 0")
     for style, pattern in {101: "%m/%d/%Y", 102: "%Y.%m.%d", 103: "%d/%m/%Y", 104: "%d.%m.%Y", 105: "%d-%m-%Y", 106: "%d %b %Y", 107: "%b %d, %Y", 108: "%H:%M:%S", 110: "%m-%d-%Y", 111: "%Y/%m/%d", 112: "%Y%m%d", 120: "%Y-%m-%d %H:%M:%S", 121: "%Y-%m-%d %H:%M:%S.%g", 1: "%m/%d/%y", 114: "%H:%M:%S:%g", 23: "%Y-%m-%d"}.items():
-        event(f"convert_style_{style}", c.date_text(ts, style), f"strftime(ts, '{pattern}')")
-    event("convert_style_100", c.date_text(ts, 100), "strftime(ts, '%b ') || lpad(CAST(day(ts) AS VARCHAR), 2, ' ') || strftime(ts, ' %Y ') || lpad(strftime(ts, '%-I'), 2, ' ') || strftime(ts, ':%M%p')")
-    order("convert_text_to_date", c.text_date(F.date_format(od, "dd/MM/yyyy"), 103), "CAST(date_trunc('day', o_orderdate) AS TIMESTAMP)")
-    scalar("convert_money_text", "customer", "c_custkey", s.plus(c.money_text(bal.cast("decimal(19,4)")), " ", c.money_text(bal.cast("decimal(19,4)"), 1), " ", c.money_text(bal.cast("decimal(19,4)"), 2)), "printf('%.2f', c_acctbal) || ' ' || format('{:,.2f}', c_acctbal) || ' ' || printf('%.4f', c_acctbal)")
-    part("convert_binary_text", c.binary_text(F.encode(name, "UTF-8"), 1), "'0x' || hex(p_name)")
-    part("format_number", s.plus(c.format_number(F.col("p_retailprice"), "N2"), "|", c.format_number(F.col("p_size"), "D5"), "|", c.format_number(F.col("p_size"), "000.0")), "format('{:,.2f}', p_retailprice) || '|' || lpad(CAST(p_size AS VARCHAR), 5, '0') || '|' || lpad(CAST(p_size AS VARCHAR), 3, '0') || '.0'")
-    event("format_date", c.format_date(ts, "dddd, dd MMM yyyy HH:mm"), "strftime(ts, '%A, %d %b %Y %H:%M')")
-    part("isnumeric", c.isnumeric(F.when(F.col("p_size") > 25, F.col("p_name")).otherwise(F.col("p_size").cast("string"))), "CAST(p_size <= 25 AS INTEGER)")
-    part("guid_upper", c.guid(F.lit("6f9619ff-8b86-d011-b42d-00c04fc964ff")), "'6F9619FF-8B86-D011-B42D-00C04FC964FF'")
+        event(f"convert_style_{style}", lambda style=style: c.date_text(F.col("ts"), style), f"strftime(ts, '{pattern}')")
+    event("convert_style_100", lambda: c.date_text(F.col("ts"), 100), "strftime(ts, '%b ') || lpad(CAST(day(ts) AS VARCHAR), 2, ' ') || strftime(ts, ' %Y ') || lpad(strftime(ts, '%-I'), 2, ' ') || strftime(ts, ':%M%p')")
+    order("convert_text_to_date", lambda: c.text_date(F.date_format(F.col("o_orderdate"), "dd/MM/yyyy"), 103), "CAST(date_trunc('day', o_orderdate) AS TIMESTAMP)")
+    scalar("convert_money_text", "customer", "c_custkey", lambda: s.plus(c.money_text(F.col("c_acctbal").cast("decimal(19,4)")), " ", c.money_text(F.col("c_acctbal").cast("decimal(19,4)"), 1), " ", c.money_text(F.col("c_acctbal").cast("decimal(19,4)"), 2)), "printf('%.2f', c_acctbal) || ' ' || format('{:,.2f}', c_acctbal) || ' ' || printf('%.4f', c_acctbal)")
+    part("convert_binary_text", lambda: c.binary_text(F.encode(F.col("p_name"), "UTF-8"), 1), "'0x' || hex(p_name)")
+    part("format_number", lambda: s.plus(c.format_number(F.col("p_retailprice"), "N2"), "|", c.format_number(F.col("p_size"), "D5"), "|", c.format_number(F.col("p_size"), "000.0")), "format('{:,.2f}', p_retailprice) || '|' || lpad(CAST(p_size AS VARCHAR), 5, '0') || '|' || lpad(CAST(p_size AS VARCHAR), 3, '0') || '.0'")
+    event("format_date", lambda: c.format_date(F.col("ts"), "dddd, dd MMM yyyy HH:mm"), "strftime(ts, '%A, %d %b %Y %H:%M')")
+    part("isnumeric", lambda: c.isnumeric(F.when(F.col("p_size") > 25, F.col("p_name")).otherwise(F.col("p_size").cast("string"))), "CAST(p_size <= 25 AS INTEGER)")
+    part("guid_upper", lambda: c.guid(F.lit("6f9619ff-8b86-d011-b42d-00c04fc964ff")), "'6F9619FF-8B86-D011-B42D-00C04FC964FF'")
 
     # JSON
-    props = F.col("props")
-    event("json_isjson", j.isjson(F.when(F.col("event_id") % 3 == 0, F.lit("{bad")).otherwise(props)), "CAST(event_id % 3 <> 0 AS INTEGER)")
-    event("json_value", j.json_value(props, "$.k"), "json_extract_string(props, '$.k')")
-    event("json_value_missing", j.json_value(props, "$.nothing"), "CAST(NULL AS VARCHAR)")
-    doc = F.concat(F.lit('{"a":{"b":['), F.col("event_id").cast("string"), F.lit(',2]},"n":null}'))
-    event("json_query", j.json_query(doc, "$.a.b"), "'[' || event_id || ',2]'")
-    event("json_value_path", j.json_value(doc, "$.a.b[0]"), "CAST(event_id AS VARCHAR)")
-    event("json_value_of_object", j.json_value(doc, "$.a"), "CAST(NULL AS VARCHAR)")
-    event("json_path_exists", j.json_path_exists(doc, "$.n") * 10 + j.json_path_exists(doc, "$.m"), "10")
-    event("json_modify_set", j.json_modify(doc, "$.a.c", F.col("event_type")), """'{"a":{"b":[' || event_id || ',2],"c":"' || event_type || '"},"n":null}'""")
-    event("json_modify_append", j.json_modify(doc, "append $.a.b", F.col("event_type")), """'{"a":{"b":[' || event_id || ',2,"' || event_type || '"]},"n":null}'""")
-    event("json_modify_delete", j.json_modify(doc, "$.a", F.lit(None).cast("string")), """'{"n":null}'""")
-    event("json_object", j.json_object(("id", F.col("event_id")), ("type", F.nullif("event_type", F.lit("view")))), """'{"id":' || event_id || ',"type":' || CASE WHEN event_type = 'view' THEN 'null' ELSE '"' || event_type || '"' END || '}'""")
-    event("json_array", j.json_array(F.col("event_id"), F.nullif("user_id", F.lit(3)), F.lit(1)), "'[' || event_id || CASE WHEN user_id = 3 THEN '' ELSE ',' || user_id END || ',1]'")
+    event("json_isjson", lambda: j.isjson(F.when(F.col("event_id") % 3 == 0, F.lit("{bad")).otherwise(F.col("props"))), "CAST(event_id % 3 <> 0 AS INTEGER)")
+    event("json_value", lambda: j.json_value(F.col("props"), "$.k"), "json_extract_string(props, '$.k')")
+    event("json_value_missing", lambda: j.json_value(F.col("props"), "$.nothing"), "CAST(NULL AS VARCHAR)")
+    event("json_query", lambda: j.json_query(_doc(), "$.a.b"), "'[' || event_id || ',2]'")
+    event("json_value_path", lambda: j.json_value(_doc(), "$.a.b[0]"), "CAST(event_id AS VARCHAR)")
+    event("json_value_of_object", lambda: j.json_value(_doc(), "$.a"), "CAST(NULL AS VARCHAR)")
+    event("json_path_exists", lambda: j.json_path_exists(_doc(), "$.n") * 10 + j.json_path_exists(_doc(), "$.m"), "10")
+    event("json_modify_set", lambda: j.json_modify(_doc(), "$.a.c", F.col("event_type")), """'{"a":{"b":[' || event_id || ',2],"c":"' || event_type || '"},"n":null}'""")
+    event("json_modify_append", lambda: j.json_modify(_doc(), "append $.a.b", F.col("event_type")), """'{"a":{"b":[' || event_id || ',2,"' || event_type || '"]},"n":null}'""")
+    event("json_modify_delete", lambda: j.json_modify(_doc(), "$.a", F.lit(None).cast("string")), """'{"n":null}'""")
+    event("json_object", lambda: j.json_object(("id", F.col("event_id")), ("type", F.nullif("event_type", F.lit("view")))), """'{"id":' || event_id || ',"type":' || CASE WHEN event_type = 'view' THEN 'null' ELSE '"' || event_type || '"' END || '}'""")
+    event("json_array", lambda: j.json_array(F.col("event_id"), F.nullif("user_id", F.lit(3)), F.lit(1)), "'[' || event_id || CASE WHEN user_id = 3 THEN '' ELSE ',' || user_id END || ',1]'")
 
 
 _register()
