@@ -46,8 +46,7 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 def _grams(words: w.Words) -> np.ndarray:
     """Hash of the GRAM words from each word on, over document bounds too."""
-    at = np.arange(max(len(words.hash) - GRAM + 1, 0))
-    return w.span_hashes(words.hash, at, at + GRAM) if len(at) else np.empty(0, w.U)
+    return w.run_hashes(words.hash, GRAM)
 
 
 def _crowds(docs: DataFrame) -> np.ndarray:
@@ -80,7 +79,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 def segments(column: pa.Array, crowds: np.ndarray) -> tuple[np.ndarray, ...]:
     """Document, first word in it, number of windows, anchor and digest of each segment."""
     words = w.split(column)
-    at, _ = words.runs(WINDOW) if len(words.hash) >= WINDOW else (np.empty(0, np.int64), None)
+    at = words.starts(WINDOW)
     if not len(at):
         return (at, at, at, np.empty(0, w.U), np.empty(0, w.U))
     grams = _grams(words)

@@ -1,23 +1,23 @@
 """Words of many texts at once: positions, document bounds and 64-bit hashes, by numpy over the UTF-8 bytes.
 
-No Python object is made for a word. A word's hash is a sum of byte values times powers of an odd number
-modulo 2**64, divided by the power at its start, so that it doesn't depend on where the word stands; the same
-sums over word hashes give the hash of any run of words in constant time.
+No Python object is made for a word. A word is hashed eight bytes a step, each step mixed into all bits before the
+next, and by a cryptographic digest beyond LONG bytes. The hash of a run of words is built from those of its parts,
+of 1, 2, 4, ... words, mixed likewise at each step. Nothing is a plain sum, so texts with a regular structure
+(Thue-Morse words, say) don't cancel out; the same run has the same hash wherever it stands.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_RATIO = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_RATIO, -1, 1 << 64)
-_BYTE = np.random.Generator(np.random.PCG64(20240611)).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_powers = np.ones(1, U)
-_inverses = np.ones(1, U)
+LONG = 256
+_LEFT, _RIGHT, _START = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0x2545F4914F6CDD1D)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 #: True for the bytes that end a word: U+0020 and U+0009 to U+000D.
 SPACES = np.zeros(256, bool)
@@ -40,31 +40,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _grow(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) < n:
-        n = max(n, 1 << 16)
-        _powers, _inverses = (np.concatenate([np.ones(1, U), np.cumprod(np.full(n - 1, r, U))]) for r in (U(_RATIO), U(_INVERSE)))
+def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One hash of two in this order."""
+    x = left * _LEFT
+    x += right * _RIGHT
+    return mix(x)
+
+
+def _double(values: np.ndarray, span: int) -> np.ndarray:
+    """Hashes of runs of twice the span."""
+    return _join(values[:-span], values[span:])
 
 
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of values[start:end] for each pair; the same values give the same hash wherever they stand."""
-    n = len(values)
-    _grow(n + 1)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(values * _powers[:n], out=sums[1:])
-    return mix((sums[end] - sums[start]) * _inverses[start])
-
-
-def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, piece: int = 1 << 21) -> np.ndarray:
-    """Hash of the bytes of each span; spans in ascending order, worked off in pieces to bound memory."""
-    out = np.empty(len(start), U)
-    lo = 0
-    while lo < len(start):
-        at = int(start[lo])
-        hi = max(lo + 1, int(np.searchsorted(end, at + piece, "right")))
-        out[lo:hi] = span_hashes(_BYTE[data[at : int(end[hi - 1])]], start[lo:hi] - at, end[lo:hi] - at)
-        lo = hi
+    size, at, span = end - start, start.copy(), 1
+    out = mix(size.astype(U) + _START)
+    while len(size) and span <= int(size.max()):
+        some = np.flatnonzero(size & span)
+        out[some] = _join(out[some], values[at[some]])
+        at[some] += span
+        values, span = _double(values, span), 2 * span
+    return out
+
+
+def run_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """The same for every run of k values."""
+    n, at, span = max(len(values) - k + 1, 0), 0, 1
+    out = np.full(n, mix(np.array([k], U) + _START)[0])
+    while n and span <= k:
+        if k & span:
+            out = _join(out, values[at : at + n])
+            at += span
+        values, span = _double(values, span), 2 * span
+    return out
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span."""
+    size = end - start
+    out = mix(size.astype(U) + _START)
+    if not len(start):
+        return out
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    rest, done = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(rest):
+        out[rest] = _join(out[rest], eight[start[rest] + done] & _MASKS[np.minimum(size[rest] - done, 8)])
+        done += 8
+        rest = rest[size[rest] > done]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
@@ -88,12 +113,12 @@ class Words:
 
     def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first word and hash of every run of k words that lies within one text."""
-        n = len(self.hash)
-        if n < k:
-            return np.empty(0, np.int64), np.empty(0, U)
-        last = np.repeat(self.first[1:], np.diff(self.first))
-        at = np.flatnonzero(np.arange(n) + k <= last)
-        return at, span_hashes(self.hash, at, at + k)
+        at = self.starts(k)
+        return at, run_hashes(self.hash, k)[at]
+
+    def starts(self, k: int) -> np.ndarray:
+        """Index of the first word of every such run."""
+        return np.flatnonzero(np.arange(len(self.start)) + k <= np.repeat(self.first[1:], np.diff(self.first)))
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
