@@ -15,19 +15,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_base: str | None = None
-_written: list[str] = []
+_written: set[str] = set()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _hadoop_path(spark: SparkSession, path: str):  # noqa: ANN202
+    """Path and its file system as Spark resolves them; without a scheme, the default file system's."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, so that executors reach what Spark does."""
+    found, fs = _hadoop_path(spark, path)
+    return str(fs.makeQualified(found).toString())
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
+    """The folder of spark.checkpoint.dir; a temporary one where that is unset, which only one machine can share."""
     global _local_base
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return qualified(spark, named).rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _local_base is None:
         _local_base = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return _local_base
@@ -35,16 +49,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, what: str) -> str:
     path = f"{shared_dir(spark)}/tessera-{what}-{uuid.uuid4().hex[:12]}"
-    _written.append(path)
+    _written.add(path)
     return path
 
 
 @atexit.register
 def _clean() -> None:
-    for path in _written:
+    spark = SparkSession.getActiveSession()
+    for path in list(_written):
         with contextlib.suppress(Exception):
-            fs, p = store(path)
-            fs.delete_dir(p)
+            if spark is None:
+                fs, at = store(path)
+                fs.delete_dir(at)
+            else:
+                _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    found, fs = _hadoop_path(spark, path)
+    fs.delete(found, True)
+    _written.discard(path)
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
@@ -52,16 +76,23 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once all that is read from them is written itself."""
+    for df in tables:
+        if path := df.__dict__.pop("_scratch", None):
+            _remove(df.sparkSession, path)
 
 
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path in it; a path without a scheme is local."""
+    """File system and path in it."""
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    if "://" in uri:
-        return pafs.FileSystem.from_uri(uri)
-    return pafs.LocalFileSystem(), uri
+    return pafs.FileSystem.from_uri(uri)
 
 
 def docs_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,29 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
-
-ROUNDS = 60
+from tessera.llm.common import materialize, release
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b); a component is named by its smallest node.
 
     Each round takes the smallest label among a node's neighbours and then the label of its label, so that chains
-    shorten by half; every round is written to shared storage.
+    shorten by half, until no label moves; every round is written to shared storage and the one before deleted.
     """
     both = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "links")
-    labels = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
-    if not labels.limit(1).count():
-        return labels.withColumnRenamed("label", "component")
-    for _ in range(ROUNDS):
-        seen = both.join(labels, both["u"] == labels["node"]).groupBy("v").agg(F.min("label").alias("least"))
-        hooked = labels.join(seen, labels["node"] == seen["v"]).select("node", F.least("label", "least").alias("label"), F.col("label").alias("old"))
-        above = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    labels = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label"), F.lit(True).alias("moved")), "labels")
+    while labels.where("moved").limit(1).count():
+        before = labels
+        now = before.select("node", "label")
+        seen = both.join(now, both["u"] == now["node"]).groupBy("v").agg(F.min("label").alias("least"))
+        hooked = now.join(seen, now["node"] == seen["v"]).select("node", F.least("label", "least").alias("label"), F.col("label").alias("old"))
+        above = before.select(F.col("node").alias("label"), F.col("label").alias("top"))
         labels = materialize(hooked.join(above, "label").select("node", F.least("label", "top").alias("label"), (F.least("label", "top") != F.col("old")).alias("moved")), "labels")
-        if not labels.where("moved").limit(1).count():
-            break
-        labels = labels.drop("moved")
-    else:
-        raise RuntimeError("components did not settle")
-    return labels.select("node", F.col("label").alias("component"))
+        release(before)
+    release(both)
+    out = labels.select("node", F.col("label").alias("component"))
+    out._scratch = labels._scratch
+    return out
