@@ -119,7 +119,7 @@ class Discriminant:
     def __init__(self, sums: np.ndarray) -> None:
         d = len(NAMES)
         n = sums[:, 0]
-        self.fitted = bool((n > d).all())
+        self.fitted = bool((n > 0).all())
         if not self.fitted:
             return
         self.means = sums[:, 1 : 1 + d] / n[:, None]
