@@ -16,7 +16,10 @@ Defined cases: a null text is the empty one, without spans; equal rows give equa
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -40,7 +43,10 @@ PATTERNS = {
 ORDER = {kind: i for i, kind in enumerate((*KINDS, "secret"))}
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string"
 SLICE_BYTES = 2 << 20
-_ADDRESS = re.compile(r"[A-Za-z0-9._%+@-]*@[A-Za-z0-9._%+@-]*")
+STEP, CELLS = 4096, 1 << 14
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGIT = re.compile("[0-9]")
 
 Span = tuple[int, int, str]
@@ -54,16 +60,39 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> Iterator[Span]:
+    """What the pattern matches, in linear time: an at sign's address begins with the run of local characters before it."""
+    past, at = 0, text.find("@")
+    while at >= 0:
+        before = text[past:at]
+        local = len(before) - len(before.rstrip(_LOCAL))
+        past = at + 1
+        if local and (m := _DOMAIN.match(text, at + 1)):
+            yield at - local, m.end(), "email"
+            past = m.end()
+        at = text.find("@", past)
+
+
+def _ips(text: str) -> Iterator[Span]:
+    """What the pattern matches, in linear time: each four numbers of a maximal chain of numbers and dots."""
+    for m in _DOTTED.finditer(text):
+        parts = m.group().split(".")
+        at = m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in four):
+                yield at, end, "ip"
+            at = end + 1
+
+
 def base_spans(text: str) -> list[Span]:
     """Spans of the patterns, by start and then kind."""
     out: list[Span] = []
-    if "@" in text:  # an address lies within a run of its characters
-        for run in _ADDRESS.finditer(text):
-            out += [(m.start(), m.end(), "email") for m in PATTERNS["email"].finditer(text, *run.span())]
+    if "@" in text:
+        out += _emails(text)
     if _DIGIT.search(text):
-        for m in PATTERNS["ip"].finditer(text):
-            if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255 for part in m.group().split(".")):
-                out.append((m.start(), m.end(), "ip"))
+        out += _ips(text)
         for m in PATTERNS["card"].finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and _luhn(digits):
@@ -84,6 +113,7 @@ _NAMES = {"password", "passwd", "pwd", "token", "secret", "key", "api_key", "api
 _NAMED = re.compile(rb"(?<![a-z0-9])(?:" + "|".join(sorted(_NAMES)).encode() + rb")(?![a-z0-9])")
 _LINKS = {"=", ":", "is"}
 _QUOTES = "\"'`()[]{}<>,;.!?"
+_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 _RUN = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]")
 _HEX = re.compile("[0-9a-f]+")
 
@@ -91,7 +121,7 @@ _HEX = re.compile("[0-9a-f]+")
 def shape(token: str) -> str:
     """Runs of letters and digits by kind and size class, and other characters as they are."""
     out = []
-    for run in _RUN.findall(token[:200]):
+    for run in _RUN.findall(token):
         if not run[0].isalnum() or not run.isascii():
             out.append(run if run.isascii() else "u")
             continue
@@ -104,12 +134,12 @@ def shape(token: str) -> str:
         else:
             kind = "K" if run.isupper() else "k" if run.islower() else "x"
         out.append(kind + ("" if len(run) < 4 else "4" if len(run) < 12 else "7" if len(run) < 20 else "8"))
-    return re.sub(r"(u)\1+", r"\1", "".join(out))[:40]
+    return re.sub(r"(u)\1+", r"\1", "".join(out))
 
 
 def _name(token: str) -> str:
     """The name of a secret that a token is or, before a colon or an equals sign, begins with; else empty."""
-    head = re.split("[:=]", token, maxsplit=1)[0].lower().strip(_QUOTES)
+    head = re.split("[:=]", token, maxsplit=1)[0].translate(_LOWER).strip(_QUOTES)
     return next((x for x in (head, re.split("[_.]", head)[-1]) if x in _NAMES), "")
 
 
@@ -147,11 +177,15 @@ def open_to_labels(token: str, one: str = "", two: str = "") -> bool:
     if any(c in "0123456789=@" for c in token):
         return True
     core = token[slice(*_value(token))]
-    if len(token) >= 12 and core.isupper() and core.isalnum():
+    if _capitals(token, core):
         return True
-    if not core or token.lower() in _LINKS:
+    if not core or token.translate(_LOWER) in _LINKS:
         return False
-    return bool(_name(one) or one.endswith("=") or (one.lower() in _LINKS and _name(two)) or (_name(token) and core.lower() != _name(token)))
+    return bool(_name(one) or one.endswith("=") or (one.translate(_LOWER) in _LINKS and _name(two)) or (_name(token) and core.translate(_LOWER) != _name(token)))
+
+
+def _capitals(token: str, core: str) -> bool:
+    return len(token) >= 12 and core.isupper() and core.isalnum()
 
 
 def training_table(n: int = 500, seed: int = 7) -> list[tuple[list[str], list[str]]]:
@@ -228,8 +262,8 @@ class Field:
         nxt = LABELS.index("phone_next")
         self.barred[[i for i, x in enumerate(LABELS) if x not in ("phone", "phone_next")], nxt] = -1e4
 
-    def _batch(self, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Feature ids (padded with the last row, which stays 0), their mask and whether a place is closed to labels."""
+    def _padded(self, sentences: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Feature ids of the training table, their mask and whether a place is closed to labels."""
         ids = [_feature_ids(s) for s in sentences]
         longest, most = max(map(len, ids)), max(len(f) for s in ids for f in s)
         features = np.zeros((len(ids), longest, most), np.int32)
@@ -239,19 +273,21 @@ class Field:
             for t, f in enumerate(s):
                 features[b, t, : len(f)] = f
                 there[b, t, : len(f)] = True
-                closed[b, t] = not open_to_labels(*sentences[b][max(0, t - 2) : t + 1][::-1])
+            closed[b, : len(s)] = _closed(sentences[b])
         return features, there, closed
 
     def _scores(self, batch: tuple) -> np.ndarray:
         features, there, closed = batch
-        out = (self.weights[features] * there[..., None]).sum(2)
+        out = np.zeros((*closed.shape, len(LABELS)))
+        for f in range(features.shape[2]):
+            out += self.weights[features[..., f]] * there[..., f, None]
         out[..., 1:] += np.where(closed, -1e4, 0)[..., None]
         out[:, 0, LABELS.index("phone_next")] += -1e4
         return out
 
     def fit(self, table: list[tuple[list[str], list[str]]], rounds: int = 60, rate: float = 0.3, l2: float = 1e-3) -> None:
         """Adagrad on the log likelihood, by forward and backward sums over all sentences at once."""
-        batch = self._batch([t for t, _ in table])
+        batch = self._padded([t for t, _ in table])
         features, there, _ = batch
         lengths = np.array([len(t) for t, _ in table])
         n_b, n_t = features.shape[:2]
@@ -287,35 +323,77 @@ class Field:
                 s += grad**2
                 x += rate * grad / np.sqrt(s)
 
-    def decode(self, sentences: list[list[str]], size: int = 512) -> list[list[int]]:
-        """Best labels of each sentence, in padded batches of like lengths."""
-        out: list[list[int]] = [[] for _ in sentences]
-        order = sorted(range(len(sentences)), key=lambda i: len(sentences[i]))
-        for lo in range(0, len(order), size):
-            part = order[lo : lo + size]
-            e, m = self._scores(self._batch([sentences[i] for i in part])), self.moves + self.barred
-            n_t = e.shape[1]
-            best, back = e[:, 0], np.zeros(e.shape, np.int64)
-            ends = np.empty_like(e)
-            ends[:, 0] = best
-            for t in range(1, n_t):
-                step = best[:, :, None] + m
-                back[:, t] = step.argmax(1)
-                best = step.max(1) + e[:, t]
-                ends[:, t] = best
-            for b, i in enumerate(part):
-                at = int(ends[b, len(sentences[i]) - 1].argmax())
-                path = [at]
-                for t in range(len(sentences[i]) - 1, 0, -1):
-                    at = int(back[b, t, at])
-                    path.append(at)
-                out[i] = path[::-1]
+    def _emissions(self, sentence: list[str]) -> np.ndarray:
+        """A row of label scores for each token; STEP tokens at a time, each with its neighbours."""
+        out = []
+        for lo in range(0, len(sentence), STEP):
+            hi, before = min(len(sentence), lo + STEP), max(0, lo - 2)
+            part = _feature_ids(sentence[before : hi + 1])[lo - before : hi - before]
+            starts = np.cumsum([0, *map(len, part[:-1])])
+            out.append(np.add.reduceat(self.weights[np.concatenate([np.array(x, np.int32) for x in part])], starts))
+        return np.concatenate(out)
+
+    def decode(self, sentences: list[list[str]]) -> list[list[int]]:
+        """Best labels of each sentence.
+
+        A closed token is O in every path, so the best path falls apart there: only the runs of open tokens between
+        closed ones go through Viterbi, in batches of at most CELLS padded places (a longer run is a batch of its own).
+        """
+        out: list[list[int]] = [[0] * len(s) for s in sentences]
+        runs: list[tuple[int, int, int, bool, bool, np.ndarray]] = []  # sentence, range, closed before and after, scores
+        held = 0
+        for i, sentence in enumerate(sentences):
+            closed = np.array(_closed(sentence), bool)
+            edge = np.flatnonzero(np.diff(np.concatenate([[True], closed, [True]])))
+            if not len(edge):
+                continue
+            scores = self._emissions(sentence)
+            for lo, hi in edge.reshape(-1, 2).tolist():
+                runs.append((i, lo, hi, lo > 0, hi < len(sentence), scores[lo:hi]))
+                held += hi - lo
+            if held > CELLS:
+                self._viterbi(runs, out)
+                runs, held = [], 0
+        self._viterbi(runs, out)
         return out
 
+    def _viterbi(self, runs: list[tuple], out: list[list[int]]) -> None:
+        m, n = self.moves + self.barred, len(LABELS)
+        runs.sort(key=lambda r: r[1] - r[2])
+        lo = 0
+        while lo < len(runs):
+            longest = runs[lo][2] - runs[lo][1]
+            part = runs[lo : lo + max(1, CELLS // longest)]
+            lo += len(part)
+            size = np.array([r[2] - r[1] for r in part])
+            e = np.zeros((longest, len(part), n))
+            for b, r in enumerate(part):
+                e[: size[b], b] = r[5]
+            before, after = (np.array([r[k] for r in part]) for k in (3, 4))
+            best = e[0] + np.where(before[:, None], m[0], 0)
+            best[~before, LABELS.index("phone_next")] -= 1e4
+            back = np.zeros((longest, len(part), n), np.int8)
+            for t in range(1, longest):
+                live = int((size > t).sum())  # longer runs stand first
+                step = best[:live, :, None] + m
+                back[t, :live] = step.argmax(1)
+                best[:live] = step.max(1) + e[t, :live]
+            at = (best + np.where(after[:, None], m[:, 0], 0)).argmax(1)
+            for t in range(longest - 1, -1, -1):
+                live = int((size > t).sum())
+                for b in range(live):
+                    out[part[b][0]][part[b][1] + t] = int(at[b])
+                at[:live] = back[t, np.arange(live), at[:live]]
+
+
+def _closed(sentence: list[str]) -> list[bool]:
+    return [not open_to_labels(*sentence[max(0, t - 2) : t + 1][::-1]) for t in range(len(sentence))]
+
 
 _SECRET = LABELS.index("secret")
-_LETTERS = np.zeros(256, bool)
-_LETTERS[[*range(0x30, 0x3A), *range(0x41, 0x5B)]] = True
+_SMALL = np.zeros(256, bool)
+_SMALL[range(0x61, 0x7B)] = True
+_GOES_ON = (np.arange(256) & 0xC0) == 0x80
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[list(b"0123456789=@")] = True
 
@@ -334,14 +412,17 @@ def _value(token: str) -> tuple[int, int]:
 def _windows(words: w.Words) -> list[tuple[int, int, int]]:
     """Document and range of words around those that may carry a label: two before, one after, merged if they meet.
 
-    After an equals sign or a name the next two may, in the same document.
+    Whatever open_to_labels() opens is inside: tokens with a mark, capitals, and after an equals sign or a name the
+    token itself and the next two of the same document. So a label depends on the text alone.
     """
     if not len(words.start):
         return []
     marks = np.concatenate([[0], np.cumsum(_TRIGGER[words.data])])
-    capitals = np.concatenate([[0], np.cumsum(_LETTERS[words.data])])
-    size = words.end - words.start
-    may = (marks[words.end] > marks[words.start]) | ((size >= 12) & (capitals[words.end] - capitals[words.start] >= 12))
+    small = np.concatenate([[0], np.cumsum(_SMALL[words.data])])
+    may = marks[words.end] > marks[words.start]
+    for i in np.flatnonzero(~may & (words.end - words.start >= 12) & (small[words.end] == small[words.start])).tolist():  # capitals of any script have no small ASCII letter
+        token = words.data[words.start[i] : words.end[i]].tobytes().decode()
+        may[i] = _capitals(token, token[slice(*_value(token))])
     leads = words.data[words.end - 1] == ord("=")
     raw, doc = words.data.tobytes().lower(), words.doc
     named = np.array([m.start() for m in _NAMED.finditer(raw)], np.int64)
@@ -373,14 +454,18 @@ def find(column: pa.Array, field: Field) -> dict[int, tuple[list[Span], list[Spa
             out[d] = (base, [])
     windows = _windows(words)
     raw = words.data.tobytes()
+    points = np.concatenate([[0], np.cumsum(~_GOES_ON[words.data], dtype=np.int32)])
     tokens = [[raw[s:e].decode() for s, e in zip(words.start[lo:hi].tolist(), words.end[lo:hi].tolist(), strict=True)] for _, lo, hi in windows]
-    for (d, lo, _), sentence, path in zip(windows, tokens, field.decode(tokens) if tokens else [], strict=True):
+    reach: dict[int, list[int]] = {}
+    for (d, lo, _), sentence, path in zip(windows, tokens, field.decode(tokens), strict=True):
         for t in (i for i, x in enumerate(path) if x == _SECRET):
             a, b = _value(sentence[t])
-            at = len(raw[int(words.bounds[d]) : int(words.start[lo + t])].decode())
+            at = int(points[words.start[lo + t]] - points[words.bounds[d]])
             span = (at + a, at + b, "secret")
             base, added = out.setdefault(d, ([], []))
-            if a < b and all(span[1] <= s[0] or s[1] <= span[0] for s in base):
+            if d not in reach:
+                reach[d] = list(itertools.accumulate((s[1] for s in base), max, initial=0))
+            if a < b and reach[d][bisect.bisect_left(base, span[1], key=lambda s: s[0])] <= span[0]:  # no base span that begins before its end reaches it
                 added.append(span)
     return out
 
@@ -389,7 +474,9 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{lo}:{hi}" for lo, hi, kind in spans)
 
 
+@functools.cache
 def trained() -> Field:
+    """Trained once for each process."""
     field = Field()
     field.fit(training_table())
     return field
