@@ -5,13 +5,20 @@ A page is cut into blocks, the runs of text between block-level tags. Each block
 reads the vectors of a page in order, in both directions, and labels every block as article or not, so each label
 rests on the whole page. It is trained here, on pages that training_pages() makes up. Text in scripts, styles,
 templates, controls, frames, drawings (svg) and the head is never a block. A head without an end tag ends at the first
-text or element that cannot stand in it.
+text or element that cannot stand in it. Tags are read by the rules of HTML: a quote counts only right after an
+equals sign, a tag without its ">" takes the rest of the page with it, and a quote that never closes is an ordinary
+character.
+
+A batch of pages is bounded by its padded cells; a longer page is a batch of its own and takes memory in
+proportion to its blocks.
 
 Defined cases: null or empty html gives the empty text; equal rows give equal rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import collections
+import functools
 import html as entities
 import random
 import re
@@ -24,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as w
-from tessera.llm.common import texts
+from tessera.llm.common import slices, texts
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 PATH, WORDS, SIZES, HIDDEN = 64, 32, 4, 16
 WIDTH = PATH + WORDS + SIZES
-BATCH = 128
+SLICE_BYTES = 2 << 20
+#: Padded blocks of a batch of pages.
+CELLS = 1 << 14
 
 BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 SILENT = frozenset("script style noscript template textarea select button option title head iframe svg".split())
@@ -38,19 +47,21 @@ IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script st
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: An opening tag that ends an open one of the named kinds first, up to the nearest of the others.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_UNFINISHED = re.compile("</?[A-Za-z]|<[!?]")
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"'=]|=\s*(?:"[^"]*"|'[^']*')?|["'])*+)>""")
+_COMMENT = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?:[!?]|/[^A-Za-z])[^>]*(?:>|\Z)|</>", re.S)
+_NAMED = re.compile(r"""(?<![^\s/"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+")
 
-Block = tuple[str, tuple[str, ...], int]  # text, path, characters in links
+Path = tuple[int, int]  # slots of all tags above as bits, and how many tags there are
+Block = tuple[str, Path, int]  # text, path, characters in links
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order with the tags above them."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, int]] = []  # tag, and the slots of it and all above it
+    opened: collections.Counter[str] = collections.Counter()
     silent = links = 0
     pieces: list[str] = []
     linked = 0
@@ -61,16 +72,20 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
             pieces.clear()
             if text:
-                out.append((text, tuple(x for _, x in stack), linked))
+                out.append((text, (stack[-1][1], len(stack)) if stack else (0, 0), linked))
         linked = 0
 
     def close(depth: int) -> None:
         nonlocal silent, links
         while len(stack) > depth:
             tag, _ = stack.pop()
+            opened[tag] -= 1
             silent -= tag in SILENT
             links -= tag == "a"
 
+    def nearest(tag: str) -> int:
+        return next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag)
+
     def leave_head() -> None:
         while stack and stack[-1][0] == "head":
             close(len(stack) - 1)
@@ -83,27 +98,36 @@ def blocks(page: str) -> list[Block]:
             pieces.append(text)
             linked += len(text) * (links > 0)
 
-    at = 0
-    while m := _TAG.search(page, at):
-        say(page[at : m.start()])
-        at = m.end()
-        if not m.group(2):
+    at, said = 0, 0
+    while (at := page.find("<", at)) >= 0:
+        m = _TAG.match(page, at)
+        if not m:
+            other = _COMMENT.match(page, at)
+            if other:
+                say(page[said:at])
+                at = said = other.end()
+            elif page[at + 1 : at + 2].isalpha() and page[at + 1].isascii() or page[at + 1 : at + 2] == "/" and page[at + 2 : at + 3].isalpha():
+                say(page[said:at])
+                said = at = len(page)  # a tag that never ends
+            else:
+                at += 1
             continue
+        say(page[said:at])
+        at = said = m.end()
         tag = m.group(2).lower()
         if tag in BLOCK:
             flush()
         if m.group(1):
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                close(depth)
+            if opened[tag]:
+                close(nearest(tag))
             continue
         if tag not in IN_HEAD:
             leave_head()
         if tag == "body":
             close(next((i for i, x in enumerate(stack) if x[0] == "head"), len(stack)))
-        if tag in BLOCK and tag != "br" and (depth := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)) is not None:
-            close(depth)
-        if tag in CLOSES:
+        if tag in BLOCK and tag != "br" and opened["p"]:
+            close(nearest("p"))
+        if tag in CLOSES and any(opened[x] for x in CLOSES[tag][0]):
             ends, bounds = CLOSES[tag]
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in bounds:
@@ -114,28 +138,29 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID or m.group(3).endswith("/"):
             continue
         if tag in RAW:
-            end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
+            at = said = end.end() if end else len(page)
             continue
         names = " ".join(a or b or c for _, a, b, c in _NAMED.findall(m.group(3))).lower() if m.group(3) else ""
-        stack.append((tag, f"{tag} {names}" if names else tag))
+        stack.append((tag, (stack[-1][1] if stack else 0) | _path_slots(f"{tag} {names}" if names else tag)))
+        opened[tag] += 1
         silent += tag in SILENT
         links += tag == "a"
-    say(page[at:] if not _UNFINISHED.match(page, at) else "")
+    say(page[said:])
     flush()
     return out
 
 
-_slots: dict[str, list[int]] = {}
+_slots: dict[str, int] = {}
 
 
-def _path_slots(part: str) -> list[int]:
-    """Slots of a tag with its names; kept, as a site repeats them."""
+def _path_slots(part: str) -> int:
+    """Slots of a tag with its names, as bits; kept, as a site repeats them."""
     if part not in _slots:
         if len(_slots) > 50_000:
             _slots.clear()
         tag, _, names = part.partition(" ")
-        _slots[part] = [zlib.crc32(x.encode()) % PATH for x in (tag, *("." + x for x in _PART.findall(names)))]
+        _slots[part] = functools.reduce(int.__or__, (1 << zlib.crc32(x.encode()) % PATH for x in (tag, *("." + x for x in _PART.findall(names)))))
     return _slots[part]
 
 
@@ -145,10 +170,10 @@ def vectors(found: list[Block]) -> np.ndarray:
     words = w.split(pa.array([t for t, _, _ in found], pa.large_string()))
     slot = np.bincount(words.doc * WORDS + (words.hash & w.U(WORDS - 1)).astype(np.int64), minlength=len(found) * WORDS)
     out[:, PATH : PATH + WORDS] = np.log1p(slot.reshape(len(found), WORDS)) / 4
-    for i, (text, path, linked) in enumerate(found):
-        for part in path:
-            out[i, _path_slots(part)] = 1
-        out[i, PATH + WORDS :] = (np.log1p(len(text)) / 8, linked / len(text) if text else 0, len(path) / 16, text[-1] in ".!?")
+    bits = np.array([slots for _, (slots, _), _ in found], "<u8")
+    out[:, :PATH] = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for i, (text, (_, depth), linked) in enumerate(found):
+        out[i, PATH + WORDS :] = (np.log1p(len(text)) / 8, linked / len(text) if text else 0, depth / 16, text[-1] in ".!?")
     return out
 
 
@@ -172,8 +197,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _run(x: np.ndarray, real: np.ndarray, wx: np.ndarray, wh: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states of one direction over (time, batch); places that aren't real keep the state as it is."""
+def _run(x: np.ndarray, real: np.ndarray, wx: np.ndarray, wh: np.ndarray, bias: np.ndarray, traced: bool) -> tuple[np.ndarray, list]:
+    """Hidden states of one direction over (time, batch); places that aren't real keep the state as it is.
+
+    The trace is what _back() needs, and is kept for training alone.
+    """
     steps, batch = x.shape[:2]
     h, c = np.zeros((batch, HIDDEN), x.dtype), np.zeros((batch, HIDDEN), x.dtype)
     pre, out, trace = x @ wx + bias, np.empty((steps, batch, HIDDEN), x.dtype), []
@@ -184,7 +212,8 @@ def _run(x: np.ndarray, real: np.ndarray, wx: np.ndarray, wh: np.ndarray, bias:
         g = np.tanh(z[:, 3 * HIDDEN :])
         new = f * c + i * g
         m = real[t][:, None]
-        trace.append((h, c, i, f, o, g, new, m))
+        if traced:
+            trace.append((h, c, i, f, o, g, new, m))
         c = np.where(m, new, c)
         h = np.where(m, o * np.tanh(new), h)
         out[t] = h
@@ -218,9 +247,9 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, real
 
 
-def _logits(p: dict, x: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, list, list]:
-    hf, tf = _run(x, real, p["xf"], p["hf"], p["bf"])
-    hb, tb = _run(x[::-1], real[::-1], p["xb"], p["hb"], p["bb"])
+def _logits(p: dict, x: np.ndarray, real: np.ndarray, traced: bool = False) -> tuple[np.ndarray, np.ndarray, list, list]:
+    hf, tf = _run(x, real, p["xf"], p["hf"], p["bf"], traced)
+    hb, tb = _run(x[::-1], real[::-1], p["xb"], p["hb"], p["bb"], traced)
     h = np.concatenate([hf, hb[::-1]], 2)
     return h @ p["o"] + p["c"], h, tf, tb
 
@@ -239,7 +268,7 @@ def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 14, size: i
             y = np.zeros(real.shape)
             for b, (_, labels) in enumerate(part):
                 y[: len(labels), b] = labels
-            z, h, tf, tb = _logits(p, x, real)
+            z, h, tf, tb = _logits(p, x, real, traced=True)
             dz = np.where(real, _sigmoid(z) - y, 0) / real.sum()
             dh = dz[..., None] * p["o"]
             grads = dict(zip(("xf", "hf", "bf"), _back(x, dh[..., :HIDDEN], tf, p["hf"]), strict=True))
@@ -256,9 +285,10 @@ def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 14, size: i
 def label(p: dict[str, np.ndarray], pages: list[list[Block]]) -> list[np.ndarray]:
     """Whether each block belongs to the article."""
     out = [np.zeros(len(b), bool) for b in pages]
-    order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
-    for lo in range(0, len(order), BATCH):
-        part = order[lo : lo + BATCH]
+    order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: -len(pages[i]))
+    while order:
+        n = max(1, CELLS // len(pages[order[0]]))
+        part, order = order[:n], order[n:]
         z = _logits(p, *_padded([vectors(pages[i]) for i in part]))[0]
         for b, i in enumerate(part):
             out[i] = z[: len(pages[i]), b] > 0
@@ -319,15 +349,22 @@ def training_pages(n: int = 260, seed: int = 11) -> list[tuple[list[Block], list
     return out
 
 
+@functools.cache
+def trained() -> dict[str, np.ndarray]:
+    """Trained once for each process."""
+    return train(training_pages())
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """One row for each page: its article's text."""
-    shared = pages.sparkSession.sparkContext.broadcast(train(training_pages()))
+    shared = pages.sparkSession.sparkContext.broadcast(trained())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), BATCH):
-                part = batch.slice(lo, BATCH)
-                found = [blocks(x) for x in texts(part.column(2)).to_pylist()]
+            whole = texts(batch.column(2))
+            for lo, hi in slices(whole, SLICE_BYTES):
+                part = batch.slice(lo, hi - lo)
+                found = [blocks(x) for x in whole.slice(lo, hi - lo).to_pylist()]
                 kept = [" ".join(b[0] for b, good in zip(page, labels.tolist(), strict=True) if good) for page, labels in zip(found, label(shared.value, found), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(kept, pa.string()), pa.array(list(map(len, kept)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
