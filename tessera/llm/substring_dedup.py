@@ -6,11 +6,15 @@ beside it. Consecutive windows with the same anchor form a segment. Segments who
 alone can repeat nowhere and are done; the others go to the shard of their anchor, each different one once, with the smallest
 document that has it.
 
-A shard's segments are one text. Its Burrows-Wheeler transform is kept as a wavelet matrix of packed bits. The
-segments stream through the index from right to left: a backward step adds a word on the left, an interval that has
-reached the window's length is first widened to the words it shares with the next, and an interval that runs empty
-starts anew at the next possible end. That gives the matching statistics cut at WINDOW; wherever they reach it,
-the interval's smallest document is the first to have the window. Every occurrence is then compared with that.
+A shard's segments are one text. Its Burrows-Wheeler transform is kept as a wavelet matrix of packed bits, and
+nothing of the text itself. Segments stream through the index from right to left: a backward step adds a word on the
+left, an interval that has reached the window's length is first widened to the words it shares with the next, and
+an interval that runs empty starts anew at the next possible end. That gives the matching statistics cut at WINDOW;
+wherever they reach it, the smallest document in the interval has the window. Every occurrence is then compared with that.
+
+A shard with more than SHARD_WORDS words, as a crowded anchor has one, is dealt to parts by the segments' digests.
+Each part is an index of its own, and the segments of the other parts stream past it, so a task holds one part's
+index however many segments share an anchor.
 
 Defined cases: null or empty text has no words and keeps none; texts shorter than a window keep everything; equal
 rows (the same key twice) don't remove each other's words, nor do different texts under one key, whose words are told
@@ -30,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as w
-from tessera.llm.common import docs_of, materialize, slices, texts
+from tessera.llm.common import docs_of, map_arrow, materialize, release, slices, texts
 from tessera.llm.suffixes import ranks
 
 WINDOW = 50
 GRAM = 10
 LONGEST = 64  # windows of a segment
 SLICE_BYTES = 2 << 20
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 SLOTS = 1 << 14
 #: Spans are broadcast up to this many (about 40 bytes each); beyond, a shuffle join takes their place.
 BROADCAST_ROWS = 1_000_000
@@ -62,7 +66,7 @@ def _crowds(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["slot", "n"])
 
     counts = np.zeros(SLOTS)
-    for row in docs.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # SLOTS rows at most
+    for row in map_arrow(docs, count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # SLOTS rows at most
         counts[row.slot] = row.n
     return np.clip(2 * np.log2(np.maximum(counts / max(counts.mean(), 1), 1)), 0, 15).astype(w.U)
 
@@ -106,7 +110,7 @@ def _segment_rows(docs: DataFrame, crowds: np.ndarray) -> DataFrame:
                 keys, versions = (batch.column(i).slice(lo, hi - lo).take(pa.array(doc)) for i in (0, 2))
                 yield pa.RecordBatch.from_arrays([keys, versions, pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))], ["doc_id", "version", "start", "size", "anchor", "digest"])
 
-    return docs.mapInArrow(rows, "doc_id long, version long, start int, size int, anchor long, digest long")
+    return map_arrow(docs, rows, "doc_id long, version long, start int, size int, anchor long, digest long")
 
 
 def _with_lists(docs: DataFrame, rows: DataFrame, struct: list[str], name: str, how: str) -> DataFrame:
@@ -116,7 +120,7 @@ def _with_lists(docs: DataFrame, rows: DataFrame, struct: list[str], name: str,
     return docs.join(F.broadcast(lists) if bounded else lists, ["doc_id", "version"], how)
 
 
-def _words_of(docs: DataFrame, different: DataFrame, shards: int) -> DataFrame:
+def _words_of(docs: DataFrame, different: DataFrame) -> DataFrame:
     """The words of each different segment, from the document it is taken from."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,8 +140,7 @@ def _words_of(docs: DataFrame, different: DataFrame, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(anchors, pa.int64()), pa.array(digests, pa.int64()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "anchor", "digest", "size", "words"])
 
     joined = _with_lists(docs, different, ["start", "size", "anchor", "digest"], "wanted", "inner")
-    found = joined.select("doc_id", "text", "wanted").mapInArrow(rows, "doc_id long, anchor long, digest long, size int, words binary")
-    return found.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    return map_arrow(joined.select("doc_id", "text", "wanted"), rows, "doc_id long, anchor long, digest long, size int, words binary").dropDuplicates(["anchor", "digest"])
 
 
 class Bits:
@@ -158,32 +161,27 @@ class Bits:
 
 
 class FMIndex:
-    """Backward search over segments (arrays of word hashes), with the smallest document of each window."""
+    """Backward search over segments (arrays of word hashes), each with its document."""
 
-    def __init__(self, texts_: list[np.ndarray], documents: np.ndarray) -> None:
-        lengths = np.array([len(t) for t in texts_])
-        flat = np.concatenate(texts_)
-        _, ids = np.unique(flat, return_inverse=True)
+    def __init__(self, segments_: list[np.ndarray], documents: np.ndarray) -> None:
+        lengths = np.array([len(t) for t in segments_])
+        self.symbols, ids = np.unique(np.concatenate(segments_), return_inverse=True)
         ends = np.cumsum(lengths + 1) - 1
         n = int(ends[-1]) + 1
-        text = np.zeros(n, np.int64)  # 0 ends a segment
+        text = np.zeros(n, np.int32)  # 0 ends a segment
         inside = np.ones(n, bool)
         inside[ends] = False
         text[inside] = ids + 1
-        unlike = text + len(texts_)
-        unlike[ends] = np.arange(len(texts_))  # ends differ, so a suffix never reaches over one
+        unlike = text + len(segments_)
+        unlike[ends] = np.arange(len(segments_))  # ends differ, so a suffix never reaches over one
         levels, _ = ranks(unlike)
-        final = levels[-1].astype(np.int64)
-        order = np.empty(n, np.int64)
-        order[final] = np.arange(n)
-        transform = text[order - 1]
-        self.n, self.text, self.starts = n, text, ends - lengths
-        self.lengths = lengths
-        counts = np.bincount(text, minlength=int(text.max()) + 1)
+        order = np.empty(n, np.int32)
+        order[levels[-1]] = np.arange(n, dtype=np.int32)
+        self.n, now = n, text[order - 1]
+        counts = np.bincount(text, minlength=len(self.symbols) + 1)
         self.first = np.cumsum(counts) - counts
-        self.depth = max(1, int(text.max()).bit_length())
+        self.depth = max(1, len(self.symbols).bit_length())
         self.levels: list[Bits] = []
-        now = transform
         for level in range(self.depth - 1, -1, -1):
             bit = (now >> level) & 1
             self.levels.append(Bits(bit.astype(np.uint8)))
@@ -192,10 +190,8 @@ class FMIndex:
         self.bottom = np.zeros(len(counts), np.int64)
         self.bottom[symbols] = at
         self.wide = self._groups(levels, order, WINDOW - 1)
-        owner = np.repeat(documents, lengths + 1)[order]
-        start, self.end50 = self._groups(levels, order, WINDOW)
-        cuts = np.flatnonzero(start == np.arange(n))
-        self.smallest = np.repeat(np.minimum.reduceat(owner, cuts), np.diff(np.concatenate([cuts, [n]])))
+        self.owner = np.append(np.repeat(documents, lengths + 1)[order], 0)
+        self.known, self.least = np.zeros(n, bool), np.zeros(n, np.int64)
 
     @staticmethod
     def _groups(levels: list[np.ndarray], order: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,9 +202,9 @@ class FMIndex:
         same = (rank[p] == rank[q]) & (np.maximum(p, q) + rest < n)
         same &= rank[np.minimum(p + rest, n - 1)] == rank[np.minimum(q + rest, n - 1)]
         new = np.concatenate([[True], ~same])
-        start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        start = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
         cuts = np.flatnonzero(new)
-        return start, np.repeat(np.concatenate([cuts[1:], [n]]), np.diff(np.concatenate([cuts, [n]])))
+        return start, np.repeat(np.append(cuts[1:], n), np.diff(np.append(cuts, n))).astype(np.int32)
 
     def _step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals after each symbol is put before."""
@@ -220,36 +216,81 @@ class FMIndex:
         at += self.first[both] - self.bottom[both]
         return at[:m], at[m:]
 
-    def first_documents(self, absent: int) -> list[np.ndarray]:
-        """For each segment and window in it, the smallest document that has the window; absent if none has."""
-        m = len(self.lengths)
-        out = np.full(self.n, absent, np.int64)
-        end = self.lengths.copy()
+    def _smallest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The smallest document in each interval of a window; windows' intervals don't overlap, so each is looked through once."""
+        new, at = np.unique(low[~self.known[low]], return_index=True)
+        if len(new):
+            edges = np.stack([new, high[~self.known[low]][at]], 1).ravel()
+            self.least[new] = np.minimum.reduceat(self.owner, edges)[::2]
+            self.known[new] = True
+        return self.least[low]
+
+    def first_documents(self, stream: list[np.ndarray], absent: int) -> list[np.ndarray]:
+        """For each streamed segment and window in it, the smallest document of the index that has the window, or absent."""
+        lengths = np.array([len(t) for t in stream])
+        words = np.concatenate(stream)
+        ids = np.minimum(np.searchsorted(self.symbols, words), len(self.symbols) - 1)
+        text = np.where(self.symbols[ids] == words, ids + 1, 0)  # 0: a word that the index doesn't have
+        starts = np.cumsum(lengths) - lengths
+        m, out = len(stream), np.full(len(text), absent, np.int64)
+        end = lengths.copy()
         place, low, high, length = end - 1, np.zeros(m, np.int64), np.full(m, self.n), np.zeros(m, np.int64)
         active = np.flatnonzero(end >= WINDOW)
         while len(active):
             a = active
-            full = length[a] == WINDOW
-            low[a[full]], high[a[full]], length[a[full]] = self.wide[0][low[a[full]]], self.wide[1][low[a[full]]], WINDOW - 1
-            lo, hi = self._step(self.text[self.starts[a] + place[a]], low[a], high[a])
-            good = lo < hi
+            full = a[length[a] == WINDOW]
+            low[full], high[full], length[full] = self.wide[0][low[full]], self.wide[1][low[full]], WINDOW - 1
+            symbol = text[starts[a] + place[a]]
+            lo, hi = self._step(symbol, low[a], high[a])
+            good = (lo < hi) & (symbol > 0)
             g = a[good]
             low[g], high[g] = lo[good], hi[good]
             length[g] += 1
             done = g[length[g] == WINDOW]
-            out[self.starts[done] + place[done]] = self.smallest[low[done]]
+            out[starts[done] + place[done]] = self._smallest(low[done], high[done])
             place[g] -= 1
             b = a[~good]
-            end[b] = np.where(length[b] == WINDOW - 1, place[b] + WINDOW - 1, end[b] - 1)
+            end[b] = np.where(symbol[~good] == 0, place[b], np.where(length[b] == WINDOW - 1, place[b] + WINDOW - 1, end[b] - 1))
             place[b], low[b], high[b], length[b] = end[b] - 1, 0, self.n, 0
             active = a[(place[a] >= 0) & (end[a] >= WINDOW)]
-        return [out[s : s + n - WINDOW + 1] for s, n in zip(self.starts.tolist(), self.lengths.tolist(), strict=True)]
-
+        return [out[s : s + n - WINDOW + 1] for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+
+
+def _parts(segments_: DataFrame) -> DataFrame:
+    """Segments (doc_id, anchor, digest, size, words) with the shards and parts whose index they go to or stream past."""
+    words = F.sum(F.col("size") + (WINDOW - 1)).alias("all")
+    shards = max(1, math.ceil((segments_.agg(words).first()[0] or 0) / SHARD_WORDS))
+    segments_ = segments_.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    loads = segments_.groupBy("shard").agg(words).select("shard", F.ceil(F.col("all") / SHARD_WORDS).cast("int").alias("parts"))
+    home = F.pmod(F.xxhash64("digest", "anchor"), F.col("parts")).cast("int")
+    return segments_.join(loads, "shard").withColumn("home", home).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("shard", "part", (F.col("part") != F.col("home")).alias("foreign"), "doc_id", "anchor", "digest", "words")
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _parts() in order: a part's own segments make its index and stream through it, then do the foreign ones."""
+    now, index, held, words = None, None, [], 0
+
+    def found() -> pa.RecordBatch:
+        nonlocal index, words
+        texts_ = [np.frombuffer(x[3], w.U) for x in held]
+        if index is None:
+            index = FMIndex(texts_, np.array([x[0] for x in held], np.int64))
+        firsts = index.first_documents(texts_, np.iinfo(np.int64).max)
+        out = pa.RecordBatch.from_arrays([pa.array([x[1] for x in held], pa.int64()), pa.array([x[2] for x in held], pa.int64()), pa.array([x.tobytes() for x in firsts], pa.binary())], ["anchor", "digest", "firsts"])
+        held.clear()
+        words = 0
+        return out
 
-def _shard(table: pa.Table) -> pa.Table:
-    index = FMIndex([np.frombuffer(x, w.U) for x in table.column("words").to_pylist()], table.column("doc_id").to_numpy())
-    found = index.first_documents(np.iinfo(np.int64).max)
-    return pa.table([table.column("anchor"), table.column("digest"), pa.array([x.tobytes() for x in found], pa.binary())], ["anchor", "digest", "firsts"])
+    for batch in batches:
+        for shard, part, foreign, *row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            if held and ((shard, part) != now or foreign and (index is None or words >= SHARD_WORDS)):
+                yield found()
+            if (shard, part) != now:
+                now, index = (shard, part), None
+            held.append(row)
+            words += len(row[3]) // 8
+    if held:
+        yield found()
 
 
 def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,19 +336,20 @@ def _versions(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, version, low, high): spans of words that occur in a document with a smaller key, as whole windows."""
     docs = _versions(docs).where("doc_id is not null")
-    rows = materialize(_segment_rows(docs, _crowds(docs)), "segments")
-    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    rows = materialize(rows.join(shared, "anchor"), "shared")
+    segments_ = materialize(_segment_rows(docs, _crowds(docs)), "segments")
+    shared = segments_.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    rows = materialize(segments_.join(shared, "anchor"), "shared")
     different = materialize(rows.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "version", "start", "size")).alias("x")).select("x.*", "anchor", "digest"), "different")
-    size = different.agg(F.sum(F.col("size") + WINDOW)).first()[0] or 0
-    shards = max(1, math.ceil(size / SHARD_WORDS))
-    firsts = _words_of(docs, different, shards).dropDuplicates(["anchor", "digest"]).groupBy("shard").applyInArrow(_shard, "anchor long, digest long, firsts binary")
-    firsts = materialize(firsts, "firsts")
+    wanted = materialize(_words_of(docs, different), "words")
+    dealt = _parts(wanted).repartition("shard", "part").sortWithinPartitions("shard", "part", "foreign")
+    firsts = materialize(map_arrow(dealt, _search, "anchor long, digest long, firsts binary"), "firsts")
     found = rows.select("doc_id", "version", "start", "anchor", "digest").join(firsts, ["anchor", "digest"])
-    return materialize(found.select("doc_id", "version", "start", "firsts").mapInArrow(_removals, "doc_id long, version long, low int, high int").distinct(), "spans")
+    out = materialize(map_arrow(found.select("doc_id", "version", "start", "firsts"), _removals, "doc_id long, version long, low int, high int").distinct(), "spans")
+    release(segments_, rows, different, wanted, firsts)
+    return out
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """One row for each document: its words, those removed and a digest of what is kept."""
     joined = _with_lists(_versions(docs), repeated_spans(docs), ["low", "high"], "spans", "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(_kept, SCHEMA)
+    return map_arrow(joined.select("doc_id", "text", "spans"), _kept, SCHEMA)

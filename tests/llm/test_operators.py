@@ -361,7 +361,11 @@ def test_fm_index_on_text_that_isnt_all_there():
     expected = []
     for t in texts:
         expected.append([min(d for u, d in zip(texts, docs.tolist(), strict=True) if any((u[j : j + 50] == t[i : i + 50]).all() for j in range(len(u) - 49))) for i in range(len(t) - 49)])
-    assert [x.tolist() for x in substring_dedup.FMIndex(texts, docs).first_documents(-1)] == expected
+    index = substring_dedup.FMIndex(texts, docs)
+    assert [x.tolist() for x in index.first_documents(texts, -1)] == expected
+    strange = [np.concatenate([t[:55], np.array([9], np.uint64), t[:52], np.array([1], np.uint64)]) for t in texts]
+    wanted = [[min([d for u, d in zip(texts, docs.tolist(), strict=True) if any((u[j : j + 50] == t[i : i + 50]).all() for j in range(len(u) - 49))], default=-1) for i in range(len(t) - 49)] for t in strange]
+    assert [x.tolist() for x in index.first_documents(strange, -1)] == wanted
 
 
 def test_sharding(docs, rows):
