@@ -1,19 +1,22 @@
 """N-gram Jaccard join: documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or more.
 
 1. Every document's set is hashed and dealt to buckets of hashes, as blobs of numbers; a bucket marks what occurs
-   in two documents or more. A document with fewer than three quarters of such shingles can have no partner
-   (its overlap with any other set is too small) and is done. Equal sets are joined by a digest of the set, and
-   one of each goes on.
+   in two documents or more. A shingle that several documents of a slice share is settled there and dealt once, so a
+   line that all documents have costs a bucket one number for each slice of SLICE_BYTES. A document with fewer than
+   three quarters of shared shingles can have no partner (its overlap with any other set is too small) and is done.
+   Equal sets are joined by a digest of the set, and one of each goes on.
 2. Sets that are left are indexed by their prefix, the first quarter in an order that puts shingles of crowded
-   hash slots last: partners share a prefix shingle. The documents of a prefix shingle, sorted by size, form tiles:
-   blocks of rows against blocks within the band of sizes that can reach the threshold. In a tile the
-   hashed parity bitmaps of two sets are compared: each bit in which they differ is one shingle at least that
-   only one has, so the bit count bounds the overlap from above. Pairs beyond the bound are given up.
-3. What is left is verified by intersecting the sorted arrays, again in tiles, of one set and a bounded number of others.
-
-Step 2 and 3 run twice. First each document is compared with the smallest one of its prefix shingles alone, which joins
-most of each family; then all pairs whose components differ are compared. A link within a component would change
-nothing, so no link between components is lost and a large family doesn't cost all of its pairs.
+   hash slots last: partners share a prefix shingle. Pairs are bounded by their sizes, by the place of the shingle in
+   both, and by hashed parity bitmaps: each bit in which two differ is one shingle at least that only one has, so
+   the bit count bounds the overlap from above.
+3. What is left is verified by intersecting the sorted arrays.
+
+Step 2 and 3 run twice. First each document is compared with the smallest one of its prefix shingles alone, by a join
+with these, which joins most of each family. Then the documents of a prefix shingle whose components differ form tiles:
+they are banded by size, so that partners are in one band or the next, and a band with more than TILE documents
+is dealt to blocks; a tile is two blocks, and a task holds one tile at a time however common the shingle is. A link
+within a component would change nothing, so no link between components is lost and a large family doesn't cost all of
+its pairs.
 
 Defined cases: null or empty text has no shingles and is linked with nothing; with fewer than five words the whole
 sequence is the one shingle; equal rows are rows of their own with the same component; rows of one key with different
@@ -26,12 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as w
-from tessera.llm.common import docs_of, materialize, slices, texts
+from tessera.llm.common import docs_of, map_arrow, materialize, release, slices, texts
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -42,6 +45,10 @@ BUCKETS = 256
 BUCKET_SIZE = 500_000
 SLOTS = 1 << 14
 TILE = 256
+#: Shingles of a block of documents that are verified together.
+TILE_SHINGLES = 1 << 18
+#: In the place of a document: a shingle that its slice has settled.
+SETTLED = (1 << 16) - 1
 #: Ids are broadcast up to this many (16 bytes each); beyond, a shuffle join takes their place.
 BROADCAST_ROWS = 2_000_000
 #: Bitmaps are broadcast up to this size, and shuffled beyond.
@@ -84,12 +91,16 @@ def _dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
                 docs, runs = shingles(column.slice(lo, hi - lo))
                 keys = batch.column(0).slice(lo, hi - lo)
                 given = np.asarray(keys.is_valid(), np.int64)
-                info = np.stack([keys.fill_null(0).to_numpy(zero_copy_only=False), given, np.bincount(docs, minlength=hi - lo), *_digest(docs, runs, hi - lo)])
-                bucket = (runs >> w.U(32)) % w.U(buckets)
-                order = np.argsort(bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                digests = _digest(docs, runs, hi - lo)
+                order = np.lexsort((runs, (runs >> w.U(32)) % w.U(buckets)))
+                who, runs = docs[order].astype(np.uint16), runs[order]
+                new = np.concatenate([[True], runs[1:] != runs[:-1]])[: len(runs)]
+                alone = new & np.concatenate([new[1:], [True]])[: len(runs)]
+                info = np.stack([keys.fill_null(0).to_numpy(zero_copy_only=False), given, np.bincount(docs, minlength=hi - lo), *digests, np.bincount(who[~alone], minlength=hi - lo)])
+                rest, who = runs[new], np.where(alone, who, SETTLED).astype(np.uint16)[new]
+                cuts = np.searchsorted((rest >> w.U(32)) % w.U(buckets), np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(cuts))
-                rest, who = runs[order].astype(np.uint32).tobytes(), docs[order].astype(np.uint16).tobytes()
+                rest, who = rest.astype(np.uint32).tobytes(), who.tobytes()
                 a = [info.astype("<i8").tobytes(), *(rest[4 * cuts[i] : 4 * cuts[i + 1]] for i in full)]
                 b = [b"", *(who[2 * cuts[i] : 2 * cuts[i + 1]] for i in full)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1 - number % 997], full]), pa.int64()), pa.array([number] * len(a), pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names)
@@ -108,7 +119,7 @@ def _marked(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
     for _, a, b in rows:
         who = np.frombuffer(b, np.uint16)[shared[at : at + len(a) // 4]]
         at += len(a) // 4
-        out.append(who.tobytes())
+        out.append(who[who != SETTLED].tobytes())
     keep = [i for i, x in enumerate(out) if x]
     return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in keep], pa.int64()), pa.array([None] * len(keep), pa.binary()), pa.array([out[i] for i in keep], pa.binary())], ["slice", "info", "shared"])
 
@@ -132,18 +143,18 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _summed(table: pa.Table) -> pa.Table:
     """A slice's documents with their sizes, digests and numbers of shared shingles."""
-    info = np.frombuffer(next(x for x in table.column("info").to_pylist() if x is not None), "<i8").reshape(5, -1)
+    info = np.frombuffer(next(x for x in table.column("info").to_pylist() if x is not None), "<i8").reshape(6, -1)
     who = np.frombuffer(b"".join(table.column("shared").to_pylist()), np.uint16)
     keys = pa.array(info[0], mask=info[1] == 0)
-    return pa.table([keys, pa.array(info[2]), pa.array(info[3]), pa.array(info[4]), pa.array(np.bincount(who, minlength=info.shape[1]).astype(np.int64))], ["doc_id", "n", "digest", "digest2", "shared"])
+    return pa.table([keys, pa.array(info[2]), pa.array(info[3]), pa.array(info[4]), pa.array(info[5] + np.bincount(who, minlength=info.shape[1]))], ["doc_id", "n", "digest", "digest2", "shared"])
 
 
 def _measured(docs: DataFrame) -> DataFrame:
     """Size, digest and number of shared shingles of every document."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(BUCKETS, int(size / 6 / BUCKET_SIZE))
-    dealt = docs.mapInArrow(lambda batches: _dealt(batches, buckets), "bucket long, slice long, a binary, b binary")
-    marked = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_buckets, "slice long, info binary, shared binary")
+    dealt = map_arrow(docs, lambda batches: _dealt(batches, buckets), "bucket long, slice long, a binary, b binary")
+    marked = map_arrow(dealt.repartition("bucket").sortWithinPartitions("bucket"), _buckets, "slice long, info binary, shared binary")
     return materialize(marked.groupBy("slice").applyInArrow(_summed, "doc_id long, n long, digest long, digest2 long, shared long"), "sizes")
 
 
@@ -187,7 +198,7 @@ def _slot_classes(sets: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["slot", "n"])
 
     counts = np.zeros(SLOTS)
-    for row in sets.select("runs").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # SLOTS rows at most
+    for row in map_arrow(sets.select("runs"), count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # SLOTS rows at most
         counts[row.slot] = row.n
     return np.clip(2 * np.log2(np.maximum(counts / max(counts.mean(), 1), 1)), 0, 15).astype(w.U)
 
@@ -212,7 +223,7 @@ def _prefix_rows(sets: DataFrame) -> DataFrame:
                 place = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(place)], ["token", "doc_id", "n", "place"])
 
-    return sets.select("doc_id", "n", "runs").mapInArrow(rows, "token long, doc_id long, n long, place long")
+    return map_arrow(sets.select("doc_id", "n", "runs"), rows, "token long, doc_id long, n long, place long")
 
 
 def _least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -220,149 +231,182 @@ def _least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-PER_CENT * (a + b) // (100 + PER_CENT))
 
 
-def _folded(bitmaps: list[bytes], bits: int) -> np.ndarray:
-    """Bitmaps brought to one length; folding by exclusive or keeps parities true."""
-    out = np.empty((len(bitmaps), bits // 8), np.uint8)
-    for i, x in enumerate(bitmaps):
-        v = np.frombuffer(x, np.uint8)
-        while len(v) > bits // 8:
-            v = v[: len(v) // 2] ^ v[len(v) // 2 :]
-        out[i] = v
-    return out.view(w.U)
+def _near(n: Column, place: Column, other: Column, other_place: Column) -> Column:
+    """Whether sets of these sizes, with a shingle at these places of their prefixes, can reach the threshold."""
+    need = F.ceil((n + other) * PER_CENT / (100 + PER_CENT))
+    return (1 + F.least(n - place - 1, other - other_place - 1) >= need) & (F.least(n, other) * 100 >= F.greatest(n, other) * PER_CENT)
 
 
-class Run:
-    """The documents of one prefix shingle, in ascending order of size, a block at a time.
+def _number(bitmap: bytes) -> tuple[int, int]:
+    """A bitmap as a number, and its length in bytes."""
+    return int.from_bytes(bitmap, "big"), len(bitmap)
 
-    bitmaps has every document's bitmap, or is None if the rows bring theirs along.
-    """
 
-    def __init__(self, all_pairs: bool, bitmaps: dict[int, bytes] | None) -> None:
-        self.all_pairs, self.bitmaps, self.rows = all_pairs, bitmaps, []
-        self.before: list[list[tuple]] = []
-        self.head: tuple | None = None
-
-    def add(self, row: tuple) -> Iterator[tuple[int, int]]:
-        self.rows.append(row)
-        if len(self.rows) >= TILE:
-            yield from self.flush()
-
-    def flush(self) -> Iterator[tuple[int, int]]:
-        block, self.rows = self.rows, []
-        if not block:
-            return
-        if not self.all_pairs:
-            self.head = self.head or block[0]
-            yield from self._tile([self.head], block, same=False)
-            return
-        least = block[0][1] * PER_CENT / 100
-        self.before = [b for b in self.before if b[-1][1] >= least]
-        for other in self.before:
-            yield from self._tile(other, block, same=False)
-        yield from self._tile(block, block, same=True)
-        self.before.append(block)
-
-    def _tile(self, left: list[tuple], right: list[tuple], same: bool) -> Iterator[tuple[int, int]]:
-        ids, n, place, group = (np.array(x) for x in list(zip(*left, strict=True))[:4])
-        ids2, n2, place2, group2 = (np.array(x) for x in list(zip(*right, strict=True))[:4])
-        need = _least_overlap(n[:, None], n2)
-        good = (1 + np.minimum((n - place - 1)[:, None], (n2 - place2 - 1)) >= need) & (np.minimum(n[:, None], n2) * 100 >= PER_CENT * np.maximum(n[:, None], n2)) & (group[:, None] != group2)
-        if same:
-            good &= np.triu(np.ones(good.shape, bool), 1)
-        i, j = np.nonzero(good)
-        if not len(i):
-            return
-        bits = np.minimum(np.array([*map(_bits, n.tolist())])[i], np.array([*map(_bits, n2.tolist())])[j])
-        for size in np.unique(bits).tolist():  # pairs of one band are compared at the length of their smaller bitmap
-            a, b = i[bits == size], j[bits == size]
-            (rows, at), (rows2, at2) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
-            maps, maps2 = (_folded([side[k][4] if self.bitmaps is None else self.bitmaps[side[k][0]] for k in own.tolist()], size) for side, own in ((left, rows), (right, rows2)))
-            step = max(1, (1 << 23) // size)
-            for lo in range(0, len(a), step):
-                part = slice(lo, lo + step)
-                differ = np.bitwise_count(maps[at[part]] ^ maps2[at2[part]]).sum(1, dtype=np.int64)
-                x, y = a[part], b[part]
-                fits = (n[x] + n2[y] - differ) // 2 >= need[x, y]
-                yield from zip(ids[x[fits]].tolist(), ids2[y[fits]].tolist(), strict=True)
-
-
-def _candidates(rows: DataFrame, sets: DataFrame, all_pairs: bool) -> DataFrame:
-    """Distinct pairs (a, b), a below b, of rows (token, doc_id, n, place, component) that pass the bounds.
-
-    Bitmaps are broadcast where all of them are small, and travel with the rows where they aren't.
-    """
+def _differ(one: tuple[int, int], other: tuple[int, int]) -> int:
+    """Bits in which two bitmaps differ, at the length of the shorter; folding by exclusive or keeps parities true."""
+    (x, size), (y, least) = (one, other) if one[1] >= other[1] else (other, one)
+    while size > least:
+        size //= 2
+        x = (x >> 8 * size) ^ (x & ((1 << 8 * size) - 1))
+    return (x ^ y).bit_count()
+
+
+def _shared_bitmaps(sets: DataFrame) -> Broadcast | None:
+    """All bitmaps by key, if they are small together."""
     bitmaps = sets.select("doc_id", "bitmap")
     size = bitmaps.agg(F.sum(F.octet_length("bitmap") + 16)).first()[0] or 0
-    shared = None
-    if size <= BROADCAST_BYTES:
-        shared = rows.sparkSession.sparkContext.broadcast({x.doc_id: bytes(x.bitmap) for x in bitmaps.toLocalIterator()})
-        rows = rows.withColumn("bitmap", F.lit(None).cast("binary"))
+    return sets.sparkSession.sparkContext.broadcast({x.doc_id: bytes(x.bitmap) for x in bitmaps.toLocalIterator()}) if size <= BROADCAST_BYTES else None
+
+
+PAIR = "a long, b long, na long, nb long"
+
+
+def _star(rows: DataFrame, sets: DataFrame, shared: Broadcast | None) -> DataFrame:
+    """Pairs of each document and the smallest one of a prefix shingle that pass the bounds."""
+    good = (F.col("doc_id") > F.col("h.doc_id")) & _near(F.col("n"), F.col("place"), F.col("h.n"), F.col("h.place"))
+    pairs = rows.where(good).select(F.col("h.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("h.n").alias("na"), F.col("n").alias("nb")).distinct()
+    if shared is None:
+        one, other = (sets.select(F.col("doc_id").alias(x), F.col("bitmap").alias(f"m{x}")) for x in "ab")
+        pairs = pairs.join(one, "a").join(other, "b").select("a", "b", "na", "nb", "ma", "mb")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            if shared is None:
+                maps = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
+            else:
+                maps = ((shared.value[x], shared.value[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True))
+            differ = np.fromiter((_differ(_number(x), _number(y)) for x, y in maps), np.int64, len(a))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "na", "nb"]).filter(pa.array((na + nb - differ) // 2 >= _least_overlap(na, nb)))
+
+    return map_arrow(pairs, bounded, PAIR)
+
+
+def _tiles(rows: DataFrame) -> DataFrame:
+    """Rows (token, doc_id, n, place, component) dealt to the tiles they take part in: (..., tile, side).
+
+    All documents of a shingle with at most TILE of them are one tile. The others are banded by size, a band
+    being as wide as the threshold lets partners differ, and each band is dealt to blocks of about TILE documents.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PER_CENT))).cast("int")
+    rows = rows.withColumn("band", band)
+    blocks = rows.groupBy("token", "band").agg(F.count("*").alias("count"))
+    crowded = blocks.groupBy("token").agg(F.sum("count").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("count") / TILE).cast("int").alias("k")))).alias("k")).where(F.col("all") > TILE).select("token", "k")  # bands are few: the logarithm of the largest size
+    crowded = materialize(crowded, "crowded")
+    columns = ["token", "doc_id", "n", "place", "component"]
+    none = F.lit(None).cast("struct<band:int,block:int>")
+    small = rows.join(crowded, "token", "left_anti").select(*columns, none.alias("one"), none.alias("two"), F.lit(0).alias("side"))
+    if not crowded.limit(1).count():
+        return small
+    dealt = rows.join(crowded, "token").withColumn("own", F.struct("band", F.expr("pmod(xxhash64(doc_id), k[band])").cast("int").alias("block")))
+    others = F.expr("flatten(transform(array(band - 1, band, band + 1), b -> if(map_contains_key(k, b), transform(sequence(0, k[b] - 1), j -> named_struct('band', b, 'block', j)), array())))")
+    dealt = dealt.withColumn("other", F.explode(others))
+    first = F.least("own", "other")
+    return small.unionByName(dealt.select(*columns, first.alias("one"), F.greatest("own", "other").alias("two"), F.when(F.col("own") == first, 0).otherwise(1).alias("side")))
+
+
+def _tile(left: list[tuple], right: list[tuple], same: bool) -> Iterator[tuple[int, int, int, int]]:
+    """Pairs of rows (key, size, place, component, bitmap) of two blocks that pass the bounds, with their sizes."""
+    ids, n, place, group = (np.array(x) for x in list(zip(*left, strict=True))[:4])
+    ids2, n2, place2, group2 = (np.array(x) for x in list(zip(*right, strict=True))[:4])
+    need = _least_overlap(n[:, None], n2)
+    good = (1 + np.minimum((n - place - 1)[:, None], (n2 - place2 - 1)) >= need) & (np.minimum(n[:, None], n2) * 100 >= PER_CENT * np.maximum(n[:, None], n2)) & (group[:, None] != group2)
+    if same:
+        good &= np.triu(np.ones(good.shape, bool), 1)
+    maps, maps2 = ([_number(x[4]) for x in side] for side in (left, right))
+    for i, j in np.argwhere(good).tolist():
+        if (int(n[i] + n2[j]) - _differ(maps[i], maps2[j])) // 2 >= need[i, j]:
+            a, b = (i, ids, n), (j, ids2, n2)
+            if ids[i] > ids2[j]:
+                a, b = b, a
+            yield int(a[1][a[0]]), int(b[1][b[0]]), int(a[2][a[0]]), int(b[2][b[0]])
+
+
+def _all_pairs(rows: DataFrame, sets: DataFrame, shared: Broadcast | None) -> DataFrame:
+    """Pairs of documents of a prefix shingle and different components that pass the bounds."""
+    if shared is None:
+        rows = _tiles(rows).join(sets.select("doc_id", "bitmap"), "doc_id")
     else:
-        rows = rows.join(bitmaps, "doc_id")
+        rows = _tiles(rows).withColumn("bitmap", F.lit(None).cast("binary"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value if shared is not None else None
-        now, run = None, Run(all_pairs, known)
-        found: set[tuple[int, int]] = set()
+        now, sides = None, ([], [])
+        found: set[tuple[int, int, int, int]] = set()
+
+        def ended() -> None:
+            if sides[0]:
+                same = not sides[1] and (now[1] is None or now[1] == now[2])
+                if sides[1] or same:
+                    found.update(_tile(sides[0], sides[0] if same else sides[1], same))
 
         def out() -> pa.RecordBatch:
-            pairs = np.sort(np.array([*found], np.int64).reshape(-1, 2), axis=1)
+            pairs = np.array([*found], np.int64).reshape(-1, 4)
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(4)], ["a", "b", "na", "nb"])
 
         for batch in batches:
-            for token, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if token != now:
-                    found.update(run.flush())
-                    now, run = token, Run(all_pairs, known)
-                found.update(run.add(tuple(row)))
-                if len(found) > 200_000:
-                    yield out()
-        found.update(run.flush())
+            for token, one, two, side, *row, bitmap in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                tile = (token, one and (one["band"], one["block"]), two and (two["band"], two["block"]))
+                if tile != now:
+                    ended()
+                    now, sides = tile, ([], [])
+                    if len(found) > 200_000:
+                        yield out()
+                sides[side].append((*row, shared.value[row[0]] if shared is not None else bitmap))
+        ended()
         yield out()
 
-    order = ["n", "doc_id"] if all_pairs else ["doc_id"]
-    dealt = rows.select("token", "doc_id", "n", "place", "component", "bitmap").repartition("token").sortWithinPartitions("token", *order)
-    return dealt.mapInArrow(runs, "a long, b long").distinct()
+    dealt = rows.select("token", "one", "two", "side", "doc_id", "n", "place", "component", "bitmap").repartition("token", "one", "two").sortWithinPartitions("token", "one", "two")
+    return map_arrow(dealt, runs, PAIR).distinct()
 
 
-def _tiled(pairs: DataFrame, star: bool) -> DataFrame:
-    """(component, low, high, a, b): pairs dealt to tiles of about TILE documents a side.
+def _verified(pairs: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
+    """Pairs (a, b, na, nb) whose sets reach the threshold, by exact intersection; (a, b).
 
-    In a star each document has few partners of a smaller key, and a tile is one of these with a part of its partners.
-    Otherwise the documents that pairs connect are dealt to blocks, and a tile is two blocks.
+    An array travels once for each tile, not for each pair. In a star each document has few partners of a smaller key: a
+    tile is one of these, followed by a part of its partners, and only two arrays are held. Otherwise the documents
+    that pairs connect are dealt to blocks of about TILE_SHINGLES shingles, and a tile is two blocks.
     """
+    pairs = materialize(pairs, "pairs")
+    used = [pairs]
     if star:
-        count = pairs.groupBy("a").agg(F.count("*").alias("count"))
-        part = F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / TILE).cast("long"))
-        return pairs.join(count, "a").select(F.col("a").alias("component"), part.alias("low"), F.lit(-1).cast("long").alias("high"), "a", "b")
-    families = components(pairs)
-    size = families.groupBy("component").agg(F.count("*").alias("count"))
-    placed = families.join(size, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / TILE).cast("long")).alias("block"))
-    placed = materialize(placed, "placed")
-    a, b = (placed.select(F.col("node").alias(x), F.col("component"), F.col("block").alias(f"block_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b.drop("component"), "b").select("component", F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high"), "a", "b")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
-    """Pairs whose sets reach the threshold, by exact intersection; an array travels once for each tile, not for each pair."""
-    tiled = materialize(_tiled(materialize(pairs, "pairs"), star), "tiled")
+        size = pairs.groupBy("a").agg(F.sum("nb").alias("size"))
+        part = F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / TILE_SHINGLES).cast("long"))
+        tiled = pairs.join(size, "a").select(F.col("a").alias("component"), part.alias("low"), F.lit(-1).cast("long").alias("high"), "a", "b")
+    else:
+        families = components(pairs.select("a", "b"))
+        sizes = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("na").alias("n")), F.struct(F.col("b").alias("node"), F.col("nb").alias("n")))).alias("x")).select("x.*").distinct()
+        sized = families.join(sizes, "node")
+        size = sized.groupBy("component").agg(F.sum("n").alias("size"))
+        placed = materialize(sized.join(size, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TILE_SHINGLES).cast("long")).alias("block")), "placed")
+        a, b = (placed.select(F.col("node").alias(x), F.col("component"), F.col("block").alias(f"block_{x}")) for x in "ab")
+        tiled = pairs.join(a, "a").join(b.drop("component"), "b").select("component", F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high"), "a", "b")
+        used += [families, placed]
+    tiled = materialize(tiled, "tiled")
+    release(*used)
     tile = ["component", "low", "high"]
-    wanted = tiled.select(*tile, F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    arrays = wanted.join(sets.select("doc_id", "runs"), "doc_id").select(*tile, F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "runs")
-    both = arrays.unionByName(tiled.withColumn("runs", F.lit(None).cast("binary")))
+    whole = sets.select("doc_id", "runs")
+    if star:
+        heads = tiled.select(*tile, F.col("a").alias("doc_id")).distinct().join(whole, "doc_id").select(*tile, F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "runs")
+        both = heads.unionByName(tiled.join(whole.withColumnRenamed("doc_id", "b"), "b").select(*tile, "a", "b", "runs"))
+    else:
+        wanted = tiled.select(*tile, F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        arrays = wanted.join(whole, "doc_id").select(*tile, F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "runs")
+        both = arrays.unionByName(tiled.withColumn("runs", F.lit(None).cast("binary")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
         for batch in batches:
             links: tuple[list[int], list[int]] = ([], [])
-            for component, low, high, a, b, x in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if (component, low, high) != now:
-                    now, held = (component, low, high), {}
+            for component, low, high, a, b, x in zip(*batch.columns, strict=True):
+                key = (component.as_py(), low.as_py(), high.as_py())
+                if key != now:
+                    now, held = key, {}
+                a, b = a.as_py(), b.as_py()
                 if b is None:
-                    held[a] = np.frombuffer(x, w.U)
+                    held[a] = np.frombuffer(x.as_py(), w.U)
                     continue
-                one, other = held[a], held[b]
+                one, other = held[a], np.frombuffer(x.as_py(), w.U) if star else held[b]
                 common = len(np.intersect1d(one, other, assume_unique=True))
                 if 100 * common >= PER_CENT * (len(one) + len(other) - common):
                     links[0].append(a)
@@ -370,7 +414,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
 
     dealt = both.select(*tile, "a", "b", "runs").repartition(*tile).sortWithinPartitions(*tile, F.col("b").asc_nulls_first())
-    return materialize(dealt.mapInArrow(rows, "a long, b long"), "links")
+    out = materialize(map_arrow(dealt, rows, "a long, b long"), "links")
+    release(tiled)
+    return out
 
 
 def _mixed(sizes: DataFrame) -> bool:
@@ -406,19 +452,25 @@ def _linked(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     known = sizes.where("doc_id is not null and n > 0")
     classes = materialize(known.groupBy("n", "digest", "digest2").agg(F.min("doc_id").alias("leader"), F.min("shared").alias("shared")), "classes")
     ids = materialize(classes.where(F.col("shared") * 100 >= F.col("n") * PER_CENT).select(F.col("leader").alias("doc_id")).distinct(), "ids")
-    sets = materialize(only(docs.where("doc_id is not null"), ids).mapInArrow(_sets, "doc_id long, n long, runs binary, bitmap binary").dropDuplicates(["doc_id"]), "sets")
+    sets = materialize(map_arrow(only(docs.where("doc_id is not null"), ids), _sets, "doc_id long, n long, runs binary, bitmap binary").dropDuplicates(["doc_id"]), "sets")
+    shared = _shared_bitmaps(sets)
     prefixes = materialize(_prefix_rows(sets), "prefixes")
-    crowd = prefixes.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("token")
-    rows = materialize(prefixes.join(crowd, "token"), "rows")
-    links = _verified(_candidates(rows.withColumn("component", F.col("doc_id")), sets, all_pairs=False), sets, star=True)
+    heads = prefixes.groupBy("token").agg(F.min(F.struct("doc_id", "n", "place")).alias("h"), F.max("doc_id").alias("high")).where("h.doc_id < high").select("token", "h")
+    rows = materialize(prefixes.join(heads, "token"), "rows")
+    release(prefixes)
+    links = _verified(_star(rows, sets, shared), sets, star=True)
     found = components(links)
     bounded = found.count() <= BROADCAST_ROWS
     names = found.select(F.col("node").alias("doc_id"), "component")
-    named = rows.join(F.broadcast(names) if bounded else names, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    named = rows.drop("h").join(F.broadcast(names) if bounded else names, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    named = materialize(named, "named")
+    release(rows, found)
     mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     left = materialize(named.join(mixed, "token", "left_semi"), "mixed")
-    more = _verified(_candidates(left, sets, all_pairs=True), sets, star=False)
+    release(named)
+    more = _verified(_all_pairs(left, sets, shared), sets, star=False)
     found = components(links.unionByName(more))
+    release(left, sets, links, more, ids)
     leaders = classes.select("n", "digest", "digest2", "leader").join(found.select(F.col("node").alias("leader"), "component"), "leader", "left")
     leaders = leaders.select("n", "digest", "digest2", F.coalesce("component", "leader").alias("component"))
     out = sizes.join(leaders, ["n", "digest", "digest2"], "left")
