@@ -17,15 +17,16 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm import words as w
-from tessera.llm.common import docs_of, slices, texts
+from tessera.llm.common import docs_of, map_arrow, slices, texts
 
 WINDOW = 13
 SHINGLE = 3
@@ -146,7 +147,7 @@ def _frequencies(docs: DataFrame, of: Windows) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], ["shingle", "n"])
 
     out = np.zeros(len(of.vocabulary), np.int64)
-    for row in docs.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect():  # a row for each shingle of the block at most
+    for row in map_arrow(docs, count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect():  # a row for each shingle of the block at most
         out[row.shingle] = row.n
     return out
 
@@ -162,8 +163,8 @@ def _blocks(items: DataFrame) -> Iterator[tuple[list[str], pa.Array]]:
             yield [x if x is not None else "null" for x in table.column(0).to_pylist()], texts(table.column(1))
 
 
-def _step(docs: DataFrame, prefixes: Prefixes) -> DataFrame:
-    """Add the words hit and the items found of one block."""
+def _step(docs: DataFrame, prefixes: Prefixes, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None, schema: str | StructType) -> DataFrame:
+    """Add the words hit and the items found of one block; finish makes the result of what the last block leaves."""
     shared = docs.sparkSession.sparkContext.broadcast(prefixes)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,9 +187,10 @@ def _step(docs: DataFrame, prefixes: Prefixes) -> DataFrame:
                     if before is not None:
                         own = own | np.unpackbits(np.frombuffer(before, np.uint8), count=len(own)).astype(bool)
                     marks.append(np.packbits(own).tobytes() if own.any() else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(found.first)), pa.array(marks, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), *part.columns[5:]], part.schema.names)
+                out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(found.first)), pa.array(marks, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), *part.columns[5:]], part.schema.names)
+                yield finish(out) if finish else out
 
-    return docs.mapInArrow(rows, docs.schema)
+    return map_arrow(docs, rows, schema)
 
 
 def _verdicts(batch: pa.RecordBatch) -> tuple[list[int], list[bool]]:
@@ -197,37 +199,35 @@ def _verdicts(batch: pa.RecordBatch) -> tuple[list[int], list[bool]]:
     return hits, [h > 0 and 20 * h >= n for h, n in zip(hits, batch.column(2).to_pylist(), strict=True)]
 
 
-def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hits, bad = _verdicts(batch)
-        items = batch.column(4).to_pylist()
-        sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hits, pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(sums), pa.array(bad)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+def _result(batch: pa.RecordBatch) -> pa.RecordBatch:
+    hits, bad = _verdicts(batch)
+    items = batch.column(4).to_pylist()
+    sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hits, pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(sums), pa.array(bad)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch.filter(pa.array([not bad for bad in _verdicts(batch)[1]]))
+def _clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch.filter(pa.array([not bad for bad in _verdicts(batch)[1]]))
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, *rest: Column) -> DataFrame:
-    """(doc_id, text, n_words, hit, items, ...) after all blocks of items."""
-    items = benchmark.select(F.col("`item_id`").cast("string").alias("item_id"), F.col("`text`").cast("string").alias("text"))
+def _searched(docs: DataFrame, benchmark: DataFrame, finish: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | None, *rest: Column) -> DataFrame:
+    """What finish makes of (doc_id, text, n_words, hit, items, ...) after all blocks of items."""
+    items = benchmark.select(F.col("`item_id`").cast("string").alias("item_id"), F.col("`text`").cast("string").alias("text")).distinct()
     key, text = F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text")
     out = docs.select(key, text, F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"), *rest)
-    for ids, column in [*_blocks(items)] or [([], pa.array([], pa.string()))]:
-        windows = Windows(ids, column)
-        out = _step(out, windows.prefixes(_frequencies(docs_of(docs), windows)))
+    blocks = [*_blocks(items)] or [([], pa.array([], pa.string()))]
+    for i, (ids, column) in enumerate(blocks):
+        windows, last = Windows(ids, column), i + 1 == len(blocks)
+        out = _step(out, windows.prefixes(_frequencies(docs_of(docs), windows)), finish if last else None, schema if last and schema else out.schema)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document: its words, those hit, the items found in it and the verdict."""
-    return _searched(docs, benchmark).withColumn("text", F.lit(None).cast("string")).mapInArrow(_result, SCHEMA)
+    return _searched(docs, benchmark, _result, SCHEMA)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows, with all their columns, that aren't contaminated."""
-    found = _searched(docs, benchmark, F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest"))
-    clean = found.mapInArrow(_clean, found.schema)
+    clean = _searched(docs, benchmark, _clean, None, F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest"))
     return clean.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))
