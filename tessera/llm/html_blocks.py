@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as w
-from tessera.llm.common import slices, texts
+from tessera.llm.common import map_arrow, slices, texts
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 PATH, WORDS, SIZES, HIDDEN = 64, 32, 4, 16
@@ -369,4 +369,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(kept, pa.string()), pa.array(list(map(len, kept)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     own = pages.select(F.col("`page_id`").cast("long").alias("page_id"), F.col("`url`").cast("string").alias("url"), F.col("`html`").cast("string").alias("html"))
-    return own.mapInArrow(rows, SCHEMA)
+    return map_arrow(own, rows, SCHEMA)

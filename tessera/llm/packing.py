@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import docs_of, materialize
+from tessera.llm.common import docs_of, map_arrow, materialize
 from tessera.llm.tokenization import encoded
 
 #: The share of a sequence that may stay empty after the first pass, and the sequences of a task of the second.
@@ -112,8 +112,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end: int = 1) -> Dat
         yield from _packed(pieces, size, 1 << 62 | TaskContext.get().partitionId() << 32, size)
 
     schema = f"{SCHEMA}, loose boolean"
-    once = materialize(docs_of(docs).mapInArrow(first, schema), "packed")
+    once = materialize(map_arrow(docs_of(docs), first, schema), "packed")
     loose = once.where("loose")
     ids = loose.agg(F.sum("length")).first()[0] or 0
-    twice = loose.repartition(max(1, ids // (size * REPACK))).mapInArrow(again, schema)
+    twice = map_arrow(loose.repartition(max(1, ids // (size * REPACK))), again, schema)
     return once.where("not loose").unionByName(twice).select(*NAMES)

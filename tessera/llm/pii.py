@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import words as w
-from tessera.llm.common import docs_of, slices, texts
+from tessera.llm.common import docs_of, map_arrow, slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -507,7 +507,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
                     spans[d] = _joined(sorted(base + added, key=lambda s: (s[0], ORDER[s[2]], s[1])))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), *map(pa.array, counts.values()), pa.array(sums), pa.array(spans)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs_of(docs).mapInArrow(rows, SCHEMA)
+    return map_arrow(docs_of(docs), rows, SCHEMA)
 
 
 def masked(docs: DataFrame) -> DataFrame:
@@ -532,5 +532,5 @@ def masked(docs: DataFrame) -> DataFrame:
                     new[d] = "".join([*out, text[at:]])
                 yield pa.RecordBatch.from_arrays([pa.array(new, part.column(i).type) if i == place else part.column(i) for i in range(part.num_columns)], batch.schema.names)
 
-    out = docs.mapInArrow(rows, schema)
+    out = map_arrow(docs, rows, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

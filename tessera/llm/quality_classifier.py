@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as w
-from tessera.llm.common import docs_of, materialize, slices, texts
+from tessera.llm.common import docs_of, map_arrow, materialize, slices, texts
 
 SLICE_BYTES = 2 << 20
 TO_POOLED = 0.1
@@ -169,11 +169,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each document: fold, score and prediction."""
     spark = docs.sparkSession
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
-    features = materialize(docs_of(docs).mapInArrow(_features, "doc_id long, x array<double>"), "statistics").withColumn("held_out", held)
+    features = materialize(map_arrow(docs_of(docs), _features, "doc_id long, x array<double>"), "statistics").withColumn("held_out", held)
     known = labels.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`quality`").cast("int").alias("quality")).where("quality in (0, 1)").distinct()
     training = features.where(~F.col("held_out")).join(known, "doc_id").select("x", "quality")
     sums = np.zeros((2, 1 + len(NAMES) + len(NAMES) ** 2))
-    totals = training.mapInArrow(_moments, "quality int, sums array<double>").groupBy("quality").agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(sums.shape[1])]).alias("sums"))
+    totals = map_arrow(training, _moments, "quality int, sums array<double>").groupBy("quality").agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(sums.shape[1])]).alias("sums"))
     for row in totals.collect():  # two rows
         sums[row.quality] = row.sums
     model = Discriminant(sums)
@@ -188,7 +188,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * _BINS)), pa.array(counts)], ["bin", "n"])
 
         counts = np.zeros(2 * _BINS)
-        for row in training.mapInArrow(histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # 2 * _BINS rows
+        for row in map_arrow(training, histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # 2 * _BINS rows
             counts[row.bin] = row.n
         model.calibrate(counts.reshape(2, _BINS))
     shared = spark.sparkContext.broadcast(model)
@@ -198,4 +198,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = shared.value.score(_matrix(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return features.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(features, scored, "doc_id long, held_out boolean, score double, predicted int")

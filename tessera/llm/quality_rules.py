@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import words as w
-from tessera.llm.common import docs_of, slices, texts
+from tessera.llm.common import docs_of, map_arrow, slices, texts
 from tessera.llm.suffixes import longest_repeats
 
 MIN_REPEAT = 5
@@ -96,7 +96,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row for each document: the counts, base_failed and kept."""
-    return docs_of(docs).mapInArrow(_rows, SCHEMA)
+    return map_arrow(docs_of(docs), _rows, SCHEMA)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
@@ -108,4 +108,4 @@ def kept_documents(docs: DataFrame) -> DataFrame:
             for lo, hi in slices(column, SLICE_BYTES):
                 yield batch.slice(lo, hi - lo).filter(pa.array(_verdict(measure(column.slice(lo, hi - lo)))[1]))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return map_arrow(docs, rows, docs.schema)

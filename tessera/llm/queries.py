@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontamination, html_blocks, jaccard_join, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_files
-from tessera.llm.common import read, scratch_path
+from tessera.llm.common import bounded_batches, read, scratch_path
 
 
 def tokenizer_path() -> str:
@@ -60,7 +61,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_quality_rules, op2_packing, op3_decontamination, op4_personal_data, op5_jaccard_join, op6_quality_classifier, op7_substring_dedup, op8_token_files, op9_main_text, op10_sharding)
-    return {f.__name__: f for f in own}
+    return {f.__name__: _bounded(f) for f in own}
+
+
+def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, run with Arrow batches that suit long texts."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
 
 
 SQL = {

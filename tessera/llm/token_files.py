@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import docs_of, qualified, store
+from tessera.llm.common import docs_of, map_arrow, qualified, store
 from tessera.llm.tokenization import encoded, encoder
 
 PART = "part long, name string, n_docs long, n_ids long"
@@ -69,7 +69,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1, null_keys: b
 
     ordered = docs_of(docs).repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     listed, docs_before, ids_before = [], 0, 0
-    for row in sorted(ordered.mapInArrow(parts, PART).collect()):  # a row for each part
+    for row in sorted(map_arrow(ordered, parts, PART).collect()):  # a row for each part
         listed.append({"name": row.name, "n_docs": row.n_docs, "n_ids": row.n_ids, "docs_before": docs_before, "ids_before": ids_before})
         docs_before, ids_before = docs_before + row.n_docs, ids_before + row.n_ids
     manifest = {"width": width, "n_docs": docs_before, "n_ids": ids_before, "parts": listed}
@@ -121,4 +121,4 @@ def read_back(spark: SparkSession, path: str, manifest: dict) -> DataFrame:
 
     parts = [(p["name"], p["ids_before"]) for p in manifest["parts"]]
     frame = spark.createDataFrame(parts, "name string, ids_before long")
-    return frame.repartition(max(1, len(parts))).mapInArrow(rows, SCHEMA)
+    return map_arrow(frame.repartition(max(1, len(parts))), rows, SCHEMA)

@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from tessera.llm.common import texts
 
-MEMO = 500_000
+MEMO = 200_000
 _EASY = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")  # no "<": special tokens start with it
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+")
 _loaded: dict[str, Encoder] = {}
@@ -67,7 +67,7 @@ class Encoder(dict):
 
 
 def encoder(path: str) -> Encoder:
-    """One for each Python worker; its table of words outlives a task."""
+    """One for each Python worker; its table of words is emptied after a task."""
     if path not in _loaded:
         _loaded[path] = Encoder(path)
     return _loaded[path]
@@ -81,3 +81,4 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[
             part = batch.slice(lo, 256)
             for key, text in zip(part.column(0).to_pylist(), texts(part.column(1)).to_pylist(), strict=True):
                 yield key, enc.ids(text) + tail
+    enc.clear()
