@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near duplicates, benchmark decontamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. The first four return the columns
-of documents; the last returns the pieces of packed sequences.
+of documents; the last returns the pieces of packed sequences. Rows without a text fail the quality rules; equal rows
+are copies of one document, of which one stays; an empty table stays empty; other columns are passed on as they are.
 """
 
 from __future__ import annotations
@@ -9,32 +10,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontamination, jaccard_join, packing, pii, quality_rules
-from tessera.llm.common import materialize, read
+from tessera.llm.common import bounded_batches, materialize, read
 from tessera.llm.queries import tokenizer_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    bounded_batches(spark)
     return quality_rules.kept_documents(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that with the smallest key."""
+    bounded_batches(spark)
     return jaccard_join.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items go."""
+    bounded_batches(spark)
     return decontamination.clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets are replaced by their kind; n_chars follows the text."""
+    bounded_batches(spark)
     return pii.masked(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, cut and packed into sequences."""
+    bounded_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 
