@@ -100,7 +100,7 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
     """Let Arrow batches of the session be at most this large; smaller ones stay. Queries call it, operators don't."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        now = int(spark.conf.get(name, "0").rstrip("b"))
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
         if now <= 0 or now > most:
             spark.conf.set(name, str(most))
 
