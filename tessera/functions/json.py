@@ -66,6 +66,8 @@ def json_value(x: Column, path: str) -> Column:
     strict, found = _found(x, path)
     shape = F.schema_of_variant(F.try_variant_get(_variant(x), _variant_path(path), "variant"))
     nested = shape.startswith("OBJECT") | shape.startswith("ARRAY")
+    if not strict:  # only what looks like an object or array is parsed a second time, as a text may look so too
+        return F.when((found.startswith("{") | found.startswith("[")) & nested | (F.length(found) > 4000), F.lit(None).cast("string")).otherwise(found)
     return F.when(nested, _fail(strict, 13623, "scalar value cannot be found")).when(F.length(found) > 4000, _fail(strict, 13625, "value is too long")).when(found.isNull() & shape.isNull(), F.when(x.isNotNull(), _fail(strict, 13608, "property cannot be found"))).otherwise(found)
 
 

@@ -135,21 +135,23 @@ def newid() -> Column:
 class Rand:
     """RAND: one value for a whole statement, from a seeded stream of two multiplicative generators."""
 
-    #: The multipliers and moduli of the combined generator of L'Ecuyer (1988).
+    #: The multipliers and moduli of the combined generator of L'Ecuyer (1988), the second state and the
+    #: first one of a seed out of range, and the factor (the reciprocal of the first modulus to seven digits).
     A = (40014, 2147483563)
     B = (40692, 2147483399)
+    SECOND, OTHERWISE, FACTOR = 67890, 12345, 4.656613e-10
 
     def __init__(self, seed: int = 1) -> None:
         self.seed(seed)
 
     def seed(self, seed: int) -> None:
-        self.a, self.b = abs(seed) % (self.A[1] - 1) + 1, 12345 + abs(seed) % 1000
+        self.a, self.b = abs(seed) if 0 < abs(seed) < self.A[1] else self.OTHERWISE, self.SECOND
 
     def next(self) -> float:
         self.a = self.a * self.A[0] % self.A[1]
         self.b = self.b * self.B[0] % self.B[1]
-        z = (self.a - self.b) % (self.A[1] - 1)
-        return (z or self.A[1] - 1) / self.A[1]
+        z = self.a - self.b
+        return (z if z > 0 else z + self.A[1] - 1) * self.FACTOR
 
     def column(self, seed: int | None = None) -> Column:
         if seed is not None:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -255,6 +257,24 @@ def difference(a: Column, b: Column) -> Column:
     return sum((F.substring(x, i, 1) == F.substring(y, i, 1)).cast("int") for i in range(2, 5)) + (F.substring(x, 1, 1) == F.substring(y, 1, 1)).cast("int")
 
 
+def compress(x: Column) -> Column:
+    """COMPRESS: GZIP of the bytes; text is taken as UTF-16 little-endian. The header's time is 0, so equal input gives equal bytes."""
+
+    def packed(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else gzip.compress(v.encode("utf-16-le") if isinstance(v, str) else bytes(v), mtime=0) for v in values], dtype=object)
+
+    return F.pandas_udf(packed, "binary")(x)
+
+
+def decompress(x: Column) -> Column:
+    """DECOMPRESS: the bytes of a GZIP; null for a null."""
+
+    def unpacked(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else gzip.decompress(bytes(v)) for v in values], dtype=object)
+
+    return F.pandas_udf(unpacked, "binary")(x)
+
+
 def hashbytes(algorithm: str, x: Column, national: bool = True) -> Column:
     """HASHBYTES of the text's bytes; null for an unknown algorithm."""
     data = F.encode(x, "UTF-16LE") if national else ansi(x)

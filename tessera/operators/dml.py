@@ -92,7 +92,7 @@ def merge(table: DataFrame, source: DataFrame, keys: list[str], arms: list[Arm],
     """
     columns = table.columns
     right = source.select(*[F.col(c).alias(f"s_{c}") for c in source.columns], F.lit(True).alias("__s"))
-    left = table.withColumn("__t", F.lit(True))
+    left = table.withColumn("__t", F.monotonically_increasing_id())
     condition = F.lit(True)
     for k in keys:
         condition = condition & (F.col(k) == F.col(f"s_{k}"))
@@ -105,7 +105,8 @@ def merge(table: DataFrame, source: DataFrame, keys: list[str], arms: list[Arm],
     marked = joined.withColumn("__kind", kind).withColumn("__arm", chosen)
     changing = [i for i, a in enumerate(arms) if a.when == "matched"]
     if check and changing:
-        w = Window.partitionBy(*keys)
+        # rows of the source alone are no target row's, and are spread by numbers of their own
+        w = Window.partitionBy(F.coalesce("__t", -1 - F.monotonically_increasing_id()))
         several = F.sum((F.col("__arm").isin(changing)).cast("int")).over(w) > 1
         fault = F.when(several & F.col("__arm").isin(changing), F.raise_error(F.lit("tessera-error-8672: MERGE would change a row more than once")).cast("int")).otherwise(F.col("__arm"))
         marked = marked.withColumn("__arm", fault)

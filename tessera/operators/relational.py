@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -73,15 +74,14 @@ def apply_full_join(outer: DataFrame, key: str, left: DataFrame, right: DataFram
 
 def values(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
     """(VALUES ...) v(names): columns have the common type of their rows."""
-    frames = [spark.createDataFrame([tuple(r)], schema=T.StructType([T.StructField(n, _type_of(v)) for n, v in zip(names, r, strict=True)])) for r in rows]
-    kinds = [frames[0].schema[i].dataType for i in range(len(names))]
-    for f in frames[1:]:
-        kinds = [common_type(k, f.schema[i].dataType) for i, k in enumerate(kinds)]
-    cast = [f.select(*[F.col(n).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)]) for f in frames]
-    out = cast[0]
-    for f in cast[1:]:
-        out = out.union(f)
-    return out
+    alike: dict[tuple, list[tuple]] = {}  # rows of the same types make one frame
+    for row in rows:
+        if len(row) != len(names):
+            raise EngineError(10709, "the rows of VALUES differ in length")
+        alike.setdefault(tuple(map(_type_of, row)), []).append(tuple(row))
+    kinds = [functools.reduce(common_type, column) for column in zip(*alike, strict=True)]
+    frames = [spark.createDataFrame(part, T.StructType([T.StructField(n, t) for n, t in zip(names, own, strict=True)])) for own, part in alike.items()]
+    return functools.reduce(DataFrame.union, [f.select(*[F.col(f"`{n}`").cast(k).alias(n) for n, k in zip(names, kinds, strict=True)]) for f in frames])
 
 
 def _type_of(v: object) -> T.DataType:
@@ -132,7 +132,7 @@ def generate_series(spark: SparkSession, start: int | Decimal, stop: int | Decim
 
 
 def string_split(x: Column, separator: str, ordinal: bool = False) -> Column:
-    """STRING_SPLIT as a generator: value[, ordinal from 1]; null gives no rows."""
+    """STRING_SPLIT as a generator: value, or the place from 0 and the value; null gives no rows."""
     if len(separator) != 1:
         raise EngineError(214, "the separator is one character")
     parts = F.split(x, "\\Q" + separator + "\\E", -1)
@@ -140,9 +140,13 @@ def string_split(x: Column, separator: str, ordinal: bool = False) -> Column:
 
 
 def distinct_ci(df: DataFrame, *columns: str) -> DataFrame:
-    """SELECT DISTINCT of text columns under the default collation; the least spelling stands for each."""
-    keys = [F.lower(F.rtrim(F.col(c))).alias(f"__k{i}") for i, c in enumerate(columns)]
-    return df.select(*keys, *columns).groupBy(*[f"__k{i}" for i in range(len(columns))]).agg(*[F.min(c).alias(c) for c in columns]).select(*columns)
+    """SELECT DISTINCT under the default collation of text; the least whole row stands for each."""
+    text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    if not text.intersection(columns):
+        return df.select(*columns).distinct()
+    keys = [(F.lower(F.rtrim(F.col(c))) if c in text else F.col(c)).alias(f"__k{i}") for i, c in enumerate(columns)]
+    rows = df.select(*keys, F.struct(*columns).alias("__row"))
+    return rows.groupBy(*[f"__k{i}" for i in range(len(columns))]).agg(F.min("__row").alias("__row")).select("__row.*")
 
 
 def pivot(df: DataFrame, keys: list[str], column: str, labels: list, aggregate: Column) -> DataFrame:
@@ -191,11 +195,15 @@ def compare_any(df: DataFrame, x: Column, op: str, values_: DataFrame) -> DataFr
     return j.where(test).drop("__lo", "__hi")
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, take: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, take: list[str], bucket: str | None = None) -> DataFrame:
     """For each left row the last right row of its key at or before its time: one shuffle, a running last value.
 
-    Right rows stand before left ones of the same time.
+    Right rows stand before left ones of the same time. With a bucket (a unit such as "month") a key's history is dealt
+    out by time, so that a key with much of the rows isn't one task's: each bucket's last right row is carried to the
+    buckets after it, by a running last value over one row for each key and bucket.
     """
+    if bucket is not None:
+        return _asof_in_buckets(left, right, key, at, right_at, take, bucket)
     marked = right.select(F.col(key), F.col(right_at).alias("__t"), F.lit(0).alias("__side"), F.struct(*take).alias("__last"), F.lit(None).cast(left.schema.simpleString()).alias("__left"))
     asked = left.select(F.col(key), F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(right.select(*take).schema.simpleString()).alias("__last"), F.struct(*left.columns).alias("__left"))
     w = Window.partitionBy(key).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
@@ -203,6 +211,21 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, right_at: st
     return both.select("__left.*", *[F.col("__found")[c].alias(c) for c in take])
 
 
+def _asof_in_buckets(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, take: list[str], bucket: str) -> DataFrame:
+    dated = right.select(F.col(key).alias("__k"), F.date_trunc(bucket, F.col(right_at)).alias("__b"), F.col(right_at).alias("__t"), F.struct(*take).alias("__last"))
+    asked = left.select(F.col(key).alias("__k"), F.date_trunc(bucket, F.col(at)).alias("__b"), F.col(at).alias("__t"), F.struct(*left.columns).alias("__left"))
+    last = dated.groupBy("__k", "__b").agg(F.max_by("__last", "__t").alias("__last"))
+    before = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = last.unionByName(asked.select("__k", "__b").distinct(), allowMissingColumns=True).groupBy("__k", "__b").agg(F.first("__last", ignorenulls=True).alias("__last"))
+    carried = buckets.select("__k", "__b", F.last("__last", ignorenulls=True).over(before).alias("__carried"))
+    both = dated.withColumn("__side", F.lit(0)).unionByName(asked.withColumn("__side", F.lit(1)), allowMissingColumns=True)
+    running = Window.partitionBy("__k", "__b").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__found", F.last("__last", ignorenulls=True).over(running)).where("__side = 1").join(carried, ["__k", "__b"], "left")
+    unkeyed = left.where(F.col(key).isNull()).select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in take])
+    keyed = found.where("__k is not null").select("__left.*", *[F.coalesce("__found", "__carried")[c].alias(c) for c in take])
+    return keyed.unionAll(unkeyed)
+
+
 def band_join(left: DataFrame, right: DataFrame, x: str, low: str, high: str, width: float) -> DataFrame:
     """Rows with low <= x < high, by buckets of a width: an equi-join instead of a nested loop."""
     dealt = right.withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))

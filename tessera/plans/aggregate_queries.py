@@ -67,10 +67,9 @@ def stdev_var(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.round(a.stdev(x), 5).alias("sd"), F.round(a.stdevp(x), 5).alias("sdp"), F.round(a.var(x), 4).alias("v"), F.round(a.varp(x), 4).alias("vp"))
 
 
-@query("SELECT user_id, CASE WHEN count(*) > 1 THEN round(var_samp(value), 3) END AS v, 0.0::DOUBLE AS one FROM (SELECT user_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 2) GROUP BY user_id")
+@query("SELECT event_id, CASE WHEN count(*) > 1 THEN round(var_samp(value), 3) END AS v, round(var_pop(value), 3) AS one FROM events GROUP BY event_id")
 def var_single_row(t: Tables) -> DataFrame:
-    first = t.events.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("n <= 2")
-    return first.groupBy("user_id").agg(F.round(a.var(F.col("value")), 3).alias("v"), a.varp(F.when(F.col("n") == 1, F.col("value"))).alias("one"))
+    return t.events.groupBy("event_id").agg(F.round(a.var(F.col("value")), 3).alias("v"), F.round(a.varp(F.col("value")), 3).alias("one"))
 
 
 @query("SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")

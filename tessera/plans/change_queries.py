@@ -57,8 +57,8 @@ def delete_from_join_output(t: Tables) -> DataFrame:
 
 
 def _merge(t: Tables) -> dml.Changed:
-    target = t.customer.where("c_custkey % 3 <> 0").select("c_custkey", "c_acctbal")
-    source = t.customer.where("c_custkey % 2 = 0").select("c_custkey", (F.col("c_acctbal") + 1000).alias("bal"))
+    target = t.customer.where("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_acctbal")
+    source = t.customer.where("c_nationkey < 12").select("c_custkey", (F.col("c_acctbal") + 1000).alias("bal"))
     return dml.merge(target, source, ["c_custkey"], [
         dml.Arm("matched", "delete", condition=F.col("s_bal") < 1000),
         dml.Arm("matched", "update", {"c_acctbal": F.round(F.col("s_bal"), 2)}),
@@ -67,18 +67,24 @@ def _merge(t: Tables) -> dml.Changed:
     ])
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0.0 WHEN c_custkey % 2 = 0 THEN round(c_acctbal + 1000, 2) ELSE c_acctbal END AS c_acctbal FROM customer
-WHERE CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 2 = 0 WHEN c_custkey % 2 = 0 THEN c_acctbal + 1000 >= 1000 ELSE c_acctbal >= 0 END""")
+@query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.0 WHEN c_nationkey < 12 THEN round(c_acctbal + 1000, 2) ELSE c_acctbal END AS c_acctbal FROM customer
+WHERE CASE WHEN c_mktsegment = 'BUILDING' THEN c_nationkey < 12 WHEN c_nationkey < 12 THEN c_acctbal + 1000 >= 1000 ELSE c_acctbal >= 0 END""")
 def merge_all_arms(t: Tables) -> DataFrame:
     return _merge(t).table
 
 
-@query("""SELECT action, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'INSERT' WHEN c_custkey % 2 = 0 THEN CASE WHEN c_acctbal + 1000 < 1000 THEN 'DELETE' ELSE 'UPDATE' END WHEN c_acctbal < 0 THEN 'DELETE' END AS action
-FROM customer WHERE NOT (c_custkey % 3 = 0 AND c_custkey % 2 <> 0)) WHERE action IS NOT NULL GROUP BY action""")
+@query("""SELECT action, count(*) AS n FROM (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'INSERT' WHEN c_nationkey < 12 THEN CASE WHEN c_acctbal + 1000 < 1000 THEN 'DELETE' ELSE 'UPDATE' END WHEN c_acctbal < 0 THEN 'DELETE' END AS action
+FROM customer WHERE NOT (c_mktsegment = 'BUILDING' AND c_nationkey >= 12)) WHERE action IS NOT NULL GROUP BY action""")
 def merge_output_actions(t: Tables) -> DataFrame:
     return _merge(t).output.groupBy("action").agg(F.count("*").alias("n"))
 
 
+@query("SELECT n_nationkey, CASE WHEN n_regionkey < 4 THEN r_name ELSE n_name END AS n_name, n_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey")
+def merge_rows_of_one_key(t: Tables) -> DataFrame:
+    source = t.region.where("r_regionkey < 4").withColumnRenamed("r_regionkey", "n_regionkey")  # a key is one source row's and several target rows'
+    return dml.merge(t.nation, source, ["n_regionkey"], [dml.Arm("matched", "update", {"n_name": F.col("s_r_name")})]).table
+
+
 @query("SELECT * FROM region WHERE FALSE")
 def truncate_table(t: Tables) -> DataFrame:
     return dml.truncate(t.region)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,10 +49,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def sql(self, text: str, **args: object) -> DataFrame:
-        frames = {name: getattr(self, name) for name in TABLES if f"{{{name}}}" in text or _mentions(text, name)}
-        for name, frame in frames.items():
-            frame.createOrReplaceTempView(name)
-        return self.spark.sql(text, args=args or None)
+        """The query's tables are common table expressions before it, so the session's views stay as they are."""
+        tables = ", ".join(f"{name} AS (SELECT * FROM parquet.`{self.sf_dir}/{name}.parquet`)" for name in TABLES if _mentions(text, name))
+        own = re.match(r"\s*WITH(\s+RECURSIVE)?\s", text, re.I)
+        whole = f"WITH{own[1] or ''} {tables}, {text[own.end() :]}" if own else f"WITH {tables} {text}"
+        return self.spark.sql(whole if tables else text, args=args or None)
 
 
 def _mentions(text: str, name: str) -> bool:
