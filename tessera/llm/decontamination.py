@@ -6,8 +6,10 @@ in the document (containment 1), the rarest alone is a sufficient prefix. Every
 prefix shingle stands gives a candidate: the window has to start as many words before as the shingle's place in
 it says (positional bound) and to end within the document (length bound). Candidates are verified word by word.
 
-Items are indexed in blocks of at most BLOCK_BYTES of text, so what is sent to the executors is bounded; documents
-pass all blocks without a shuffle.
+Items of up to BLOCKS blocks of BLOCK_BYTES of text are indexed block by block; an index is sent to the executors, and
+documents pass all of them without a shuffle. More items are joined by a shuffle on the prefix shingle: rarity is counted
+in slots of hashes, in one pass for all items; of a document's places those whose slot no prefix has are left out, and
+the others go to the join with the words around them, so that candidates are verified where they meet.
 
 Defined cases: null or empty texts have no words; an item without words has no window; equal items count once
 for each item_id, a null item_id as "null"; equal documents give equal rows; other columns are ignored.
@@ -26,13 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.llm import words as w
-from tessera.llm.common import docs_of, map_arrow, slices, texts
+from tessera.llm.common import docs_of, map_arrow, materialize, release, slices, texts
 
 WINDOW = 13
 SHINGLE = 3
 BLOCK_BYTES = 4 << 20
+BLOCKS = 4
 SLICE_BYTES = 2 << 20
 _SLOTS = 1 << 20
+#: Slots in which rarity is counted, and slots of prefix shingles that documents are filtered by.
+RARITY_SLOTS, FILTER_SLOTS = 1 << 16, 1 << 22
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -152,10 +157,8 @@ def _frequencies(docs: DataFrame, of: Windows) -> np.ndarray:
     return out
 
 
-def _blocks(items: DataFrame) -> Iterator[tuple[list[str], pa.Array]]:
-    """The items in blocks of bounded size."""
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(2 * size / BLOCK_BYTES))
+def _blocks(items: DataFrame, blocks: int) -> Iterator[tuple[list[str], pa.Array]]:
+    """The items in so many blocks."""
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for block in range(blocks):
         table = dealt.where(F.col("block") == block).select("item_id", "text").toArrow()
@@ -213,15 +216,149 @@ def _clean(batch: pa.RecordBatch) -> pa.RecordBatch:
 def _searched(docs: DataFrame, benchmark: DataFrame, finish: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | None, *rest: Column) -> DataFrame:
     """What finish makes of (doc_id, text, n_words, hit, items, ...) after all blocks of items."""
     items = benchmark.select(F.col("`item_id`").cast("string").alias("item_id"), F.col("`text`").cast("string").alias("text")).distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(1, math.ceil(2 * size / BLOCK_BYTES))
     key, text = F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text")
     out = docs.select(key, text, F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"), *rest)
-    blocks = [*_blocks(items)] or [([], pa.array([], pa.string()))]
+    if count > 2 * BLOCKS:
+        return _finished(_joined(out, items), finish, schema or out.schema)
+    blocks = [*_blocks(items, count)] or [([], pa.array([], pa.string()))]
     for i, (ids, column) in enumerate(blocks):
         windows, last = Windows(ids, column), i + 1 == len(blocks)
         out = _step(out, windows.prefixes(_frequencies(docs_of(docs), windows)), finish if last else None, schema if last and schema else out.schema)
     return out
 
 
+# items of any size: a join by shuffle
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(words, item_id) for each window of each item."""
+    for batch in batches:
+        column = texts(batch.column(1))
+        for lo, hi in slices(column, SLICE_BYTES):
+            names = [x if x is not None else "null" for x in batch.column(0).slice(lo, hi - lo).to_pylist()]
+            found = Windows(names, column.slice(lo, hi - lo))
+            counts = np.diff(found.item_from)
+            blobs = [found.words[i, : found.size[i]].tobytes() for i in range(len(found.size))]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, n in zip(blobs, counts.tolist(), strict=True) for _ in range(n)], pa.binary()), pa.array(found.items, pa.string())], ["words", "item_id"])
+
+
+def _rarity(docs: DataFrame) -> np.ndarray:
+    """How often the shingles of each slot occur in all documents, for one, two and three words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY_SLOTS, np.int64)
+        for batch in batches:
+            column = texts(batch.column(1))
+            for lo, hi in slices(column, SLICE_BYTES):
+                found = _words(column.slice(lo, hi - lo))
+                for k in range(1, SHINGLE + 1):
+                    total += np.bincount((found.runs(k)[1] & w.U(RARITY_SLOTS - 1)).astype(np.int64), minlength=RARITY_SLOTS)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["slot", "n"])
+
+    out = np.zeros(RARITY_SLOTS, np.int64)
+    table = map_arrow(docs, count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # RARITY_SLOTS rows at most
+    out[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
+def _prefix_rows(windows: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """(shingle, place, words, items): each window under its rarest shingle."""
+    shared = windows.sparkSession.sparkContext.broadcast(rarity)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingles, places = [], []
+            for blob in batch.column(0).to_pylist():
+                own = np.frombuffer(blob, w.U)
+                runs = w.run_hashes(own, min(len(own), SHINGLE))
+                place = int(np.lexsort((runs, shared.value[(runs & w.U(RARITY_SLOTS - 1)).astype(np.int64)]))[0])
+                shingles.append(int(runs[place].view(np.int64)))
+                places.append(place)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles, pa.int64()), pa.array(places, pa.int32()), batch.column(0), batch.column(1)], ["shingle", "place", "words", "items"])
+
+    return map_arrow(windows, rows, "shingle long, place int, words binary, items array<string>")
+
+
+def _place_rows(docs: DataFrame, slots: np.ndarray) -> DataFrame:
+    """(shingle, doc_id, version, at, from, around): a document's places that may be a prefix's, with the words around them."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(slots))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            column = texts(batch.column(1))
+            for lo, hi in slices(column, SLICE_BYTES):
+                found = _words(column.slice(lo, hi - lo))
+                doc = found.doc
+                for k in range(1, SHINGLE + 1):
+                    at, runs = found.runs(k)
+                    good = np.flatnonzero(wanted[(runs & w.U(FILTER_SLOTS - 1)).astype(np.int64)])
+                    for part in range(0, len(good), 20_000):
+                        some = good[part : part + 20_000]
+                        here, of = at[some], doc[at[some]]
+                        first, last = np.maximum(here - WINDOW, found.first[of]), np.minimum(here + WINDOW, found.first[of + 1])
+                        around = [found.hash[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                        keys = (batch.column(i).slice(lo, hi - lo).take(pa.array(of)) for i in (0, 2))
+                        yield pa.RecordBatch.from_arrays([pa.array(runs[some].view(np.int64)), *keys, pa.array(here - found.first[of]), pa.array(here - first), pa.array(around, pa.binary())], ["shingle", "doc_id", "version", "at", "before", "around"])
+
+    return map_arrow(docs, rows, "shingle long, doc_id long, version long, at long, before long, around binary")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (doc_id, version, at, before, around, place, words, items) that are occurrences: their spans and items."""
+    for batch in batches:
+        keep, low, high = [], [], []
+        for i, (at, before, around, place, words) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(2, 7)), strict=True)):
+            start = before - place
+            if start >= 0 and around[8 * start : 8 * start + len(words)] == words:
+                keep.append(i)
+                low.append(at - place)
+                high.append(at - place + len(words) // 8)
+        chosen = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen), pa.array(low, pa.int64()), pa.array(high, pa.int64()), batch.column(7).take(chosen)], ["doc_id", "version", "low", "high", "items"])
+
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, text, ..., spans, items) for documents, by the join on prefix shingles."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
+    windows = map_arrow(items, _window_rows, "words binary, item_id string").groupBy("words").agg(F.collect_set("item_id").alias("items"))
+    prefixes = materialize(_prefix_rows(windows, _rarity(keyed)), "prefixes")
+    slots = np.zeros(FILTER_SLOTS, bool)
+    slots[prefixes.select(F.pmod("shingle", F.lit(FILTER_SLOTS)).alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True  # FILTER_SLOTS rows at most
+    candidates = _place_rows(keyed, slots).join(prefixes, "shingle").select("doc_id", "version", "at", "before", "around", "place", "words", "items")
+    met = map_arrow(candidates, _met, "doc_id long, version long, low long, high long, items array<string>")
+    found = materialize(met.groupBy("doc_id", "version").agg(F.collect_set(F.struct("low", "high")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found")), "met")
+    release(prefixes)
+    marked = docs.withColumn("__version", F.xxhash64("text"))
+    back = found.select(F.col("doc_id").alias("__key"), F.col("version").alias("__found"), "spans", "found")
+    return marked.join(back, F.col("doc_id").eqNullSafe(F.col("__key")) & (F.col("__version") == F.col("__found")), "left").drop("__key", "__found", "__version")
+
+
+def _finished(found: DataFrame, finish: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """What finish makes of documents with their spans and items."""
+    names = found.columns[:-2]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = texts(batch.column(1))
+            for lo, hi in slices(whole, SLICE_BYTES):
+                part = batch.slice(lo, hi - lo)
+                n_words = np.diff(_words(whole.slice(lo, hi - lo)).first)
+                marks = []
+                for n, spans in zip(n_words.tolist(), part.column(len(names)).to_pylist(), strict=True):
+                    own = np.zeros(n, bool)
+                    for x in spans or ():
+                        own[x["low"] : x["high"]] = True
+                    marks.append(np.packbits(own).tobytes() if spans else None)
+                items = pa.array([x or [] for x in part.column(len(names) + 1).to_pylist()], pa.list_(pa.string()))
+                yield finish(pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n_words), pa.array(marks, pa.binary()), items, *part.columns[5 : len(names)]], names))
+
+    return map_arrow(found, rows, schema)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document: its words, those hit, the items found in it and the verdict."""
     return _searched(docs, benchmark, _result, SCHEMA)

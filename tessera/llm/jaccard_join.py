@@ -46,7 +46,7 @@ BUCKET_SIZE = 500_000
 SLOTS = 1 << 14
 TILE = 256
 #: Shingles of a block of documents that are verified together.
-TILE_SHINGLES = 1 << 18
+TILE_SHINGLES = 1 << 16
 #: In the place of a document: a shingle that its slice has settled.
 SETTLED = (1 << 16) - 1
 #: Ids are broadcast up to this many (16 bytes each); beyond, a shuffle join takes their place.
@@ -255,7 +255,10 @@ def _shared_bitmaps(sets: DataFrame) -> Broadcast | None:
     """All bitmaps by key, if they are small together."""
     bitmaps = sets.select("doc_id", "bitmap")
     size = bitmaps.agg(F.sum(F.octet_length("bitmap") + 16)).first()[0] or 0
-    return sets.sparkSession.sparkContext.broadcast({x.doc_id: bytes(x.bitmap) for x in bitmaps.toLocalIterator()}) if size <= BROADCAST_BYTES else None
+    if size > BROADCAST_BYTES:
+        return None
+    table = bitmaps.toArrow()
+    return sets.sparkSession.sparkContext.broadcast(dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)))
 
 
 PAIR = "a long, b long, na long, nb long"
@@ -368,11 +371,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
     that pairs connect are dealt to blocks of about TILE_SHINGLES shingles, and a tile is two blocks.
     """
     pairs = materialize(pairs, "pairs")
-    used = [pairs]
     if star:
         size = pairs.groupBy("a").agg(F.sum("nb").alias("size"))
         part = F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / TILE_SHINGLES).cast("long"))
         tiled = pairs.join(size, "a").select(F.col("a").alias("component"), part.alias("low"), F.lit(-1).cast("long").alias("high"), "a", "b")
+        done: list[DataFrame] = []
     else:
         families = components(pairs.select("a", "b"))
         sizes = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("na").alias("n")), F.struct(F.col("b").alias("node"), F.col("nb").alias("n")))).alias("x")).select("x.*").distinct()
@@ -381,9 +384,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
         placed = materialize(sized.join(size, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TILE_SHINGLES).cast("long")).alias("block")), "placed")
         a, b = (placed.select(F.col("node").alias(x), F.col("component"), F.col("block").alias(f"block_{x}")) for x in "ab")
         tiled = pairs.join(a, "a").join(b.drop("component"), "b").select("component", F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high"), "a", "b")
-        used += [families, placed]
-    tiled = materialize(tiled, "tiled")
-    release(*used)
+        done = [families, placed]
+        tiled = materialize(tiled, "tiled")
     tile = ["component", "low", "high"]
     whole = sets.select("doc_id", "runs")
     if star:
@@ -415,7 +417,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
 
     dealt = both.select(*tile, "a", "b", "runs").repartition(*tile).sortWithinPartitions(*tile, F.col("b").asc_nulls_first())
     out = materialize(map_arrow(dealt, rows, "a long, b long"), "links")
-    release(tiled)
+    release(pairs, tiled, *done)
     return out
 
 
@@ -451,7 +453,7 @@ def _linked(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     """The join where each key has one set."""
     known = sizes.where("doc_id is not null and n > 0")
     classes = materialize(known.groupBy("n", "digest", "digest2").agg(F.min("doc_id").alias("leader"), F.min("shared").alias("shared")), "classes")
-    ids = materialize(classes.where(F.col("shared") * 100 >= F.col("n") * PER_CENT).select(F.col("leader").alias("doc_id")).distinct(), "ids")
+    ids = classes.where(F.col("shared") * 100 >= F.col("n") * PER_CENT).select(F.col("leader").alias("doc_id")).distinct()
     sets = materialize(map_arrow(only(docs.where("doc_id is not null"), ids), _sets, "doc_id long, n long, runs binary, bitmap binary").dropDuplicates(["doc_id"]), "sets")
     shared = _shared_bitmaps(sets)
     prefixes = materialize(_prefix_rows(sets), "prefixes")
@@ -463,14 +465,18 @@ def _linked(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     bounded = found.count() <= BROADCAST_ROWS
     names = found.select(F.col("node").alias("doc_id"), "component")
     named = rows.drop("h").join(F.broadcast(names) if bounded else names, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    named = materialize(named, "named")
-    release(rows, found)
     mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     left = materialize(named.join(mixed, "token", "left_semi"), "mixed")
-    release(named)
+    release(rows)
     more = _verified(_all_pairs(left, sets, shared), sets, star=False)
-    found = components(links.unionByName(more))
-    release(left, sets, links, more, ids)
+    one, other = (found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    between = more.join(one, "a", "left").join(other, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    merged = components(between)  # components of components
+    onward = merged.select(F.col("node").alias("component"), F.col("component").alias("final"))
+    final = found.join(onward, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
+    final = materialize(final.unionByName(merged.join(found, "node", "left_anti").select("node", "component")), "components")
+    release(left, sets, links, more, found, merged)
+    found = final
     leaders = classes.select("n", "digest", "digest2", "leader").join(found.select(F.col("node").alias("leader"), "component"), "leader", "left")
     leaders = leaders.select("n", "digest", "digest2", F.coalesce("component", "leader").alias("component"))
     out = sizes.join(leaders, ["n", "digest", "digest2"], "left")

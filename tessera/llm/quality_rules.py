@@ -1,10 +1,16 @@
 """Quality rules with suffix-array repetition.
 
 A text's words are sorted as suffixes (prefix doubling over many texts at once; texts never match each other).
-Neighbours in that order with a common prefix of MIN_REPEAT words or more are the ends of longest-common-prefix
-intervals, whose strings are the maximal repeated substrings. The union of the spans of all their occurrences
-gives the covered fraction; the longest common prefix is the longest repeat. A text is kept if it passes the
-base rules, the fraction is at most MAX_COVERED per cent and no repeat is longer than MAX_REPEAT words.
+Neighbours in that order share a longest common prefix; a longest-common-prefix interval is a range of suffixes whose
+neighbours all share so many words, and its string is a maximal repeated substring. The intervals aren't listed: the
+longest string of any interval that a suffix is in is the larger of its prefixes with its two neighbours, and it holds
+all shorter ones, so the union of these spans over all suffixes is that of all occurrences of all maximal repeats. Spans
+of MIN_REPEAT words or more give the covered fraction; the longest common prefix is the longest repeat. A text is kept if
+it passes the base rules, the fraction is at most MAX_COVERED per cent and no repeat is longer than MAX_REPEAT words.
+
+The base rules count short repeats (three words). The fraction looks at passages: a text in which sentences or paragraphs
+come twice can have few of its words in short repeats and still fail by it, while one line that stands twice in a short
+text doesn't count.
 
 Defined cases: null or empty text has no words and fails; equal rows give equal results, one for each row;
 other columns are ignored.
@@ -22,8 +28,8 @@ from tessera.llm import words as w
 from tessera.llm.common import docs_of, map_arrow, slices, texts
 from tessera.llm.suffixes import longest_repeats
 
-MIN_REPEAT = 5
-MAX_COVERED = 50
+MIN_REPEAT = 20
+MAX_COVERED = 30
 MAX_REPEAT = 200
 SLICE_BYTES = 2 << 20
 

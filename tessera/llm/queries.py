@@ -79,10 +79,10 @@ SQL = {
     "op1_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 runs AS (
-  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS k FROM d, (VALUES (3), (5), (201)) AS s(n), unnest(range(1, greatest(len(w) - n + 2, 1))) AS t(i)),
+  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS k FROM d, (VALUES (3), (20), (201)) AS s(n), unnest(range(1, greatest(len(w) - n + 2, 1))) AS t(i)),
 twice AS (SELECT doc_id, n, i FROM runs QUALIFY count(*) OVER (PARTITION BY doc_id, n, k) > 1),
 covered AS (
-  SELECT doc_id, count(DISTINCT CASE WHEN n = 3 THEN p END) AS n3, count(DISTINCT CASE WHEN n = 5 THEN p END) AS n5, count(CASE WHEN n = 201 THEN 1 END) AS n201
+  SELECT doc_id, count(DISTINCT CASE WHEN n = 3 THEN p END) AS n3, count(DISTINCT CASE WHEN n = 20 THEN p END) AS n20, count(CASE WHEN n = 201 THEN 1 END) AS n201
   FROM twice, unnest(range(i, i + n)) AS t(p) GROUP BY doc_id),
 lines AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup FROM d, unnest(string_split(text, chr(10))) AS t(line)
@@ -90,10 +90,10 @@ lines AS (
 m AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,
-    CAST(coalesce(n3, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n5, 0) AS BIGINT) AS n_covered_words, coalesce(n201, 0) AS n201
+    CAST(coalesce(n3, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n20, 0) AS BIGINT) AS n_covered_words, coalesce(n201, 0) AS n201
   FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id))
 SELECT * EXCLUDE (n201), n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered_words <= 50 * n_words AND n201 = 0 AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_covered_words <= 30 * n_words AND n201 = 0 AS kept
 FROM m
 """,
     "op3_decontamination": r"""

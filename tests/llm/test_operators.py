@@ -3,17 +3,21 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
+import resource
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 pytest.importorskip("tessera.llm")
 
-from tessera.llm import decontamination, html_blocks, jaccard_join, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_files, tokenization  # noqa: E402
+from tessera.llm import common, components, decontamination, html_blocks, jaccard_join, packing, pii, quality_classifier, quality_rules, sharding, substring_dedup, token_files, tokenization  # noqa: E402
 from tessera.llm import words as w  # noqa: E402
 from tessera.llm.queries import op8_token_files, tokenizer_path  # noqa: E402
 from tessera.llm.suffixes import longest_repeats  # noqa: E402
@@ -65,6 +69,39 @@ def test_words_and_hashes():
     assert at.tolist() == [0, 3, 4] and runs[0] == runs[2]
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+SWAP = str.maketrans("ab", "ba")
+
+
+@pytest.mark.parametrize("n", [16, 64, 256, 1024, 4096])
+def test_regular_texts_have_hashes_of_their_own(n):
+    one = thue_morse(n)
+    other = one.translate(SWAP)
+    found = w.split(pa.array([one, other, " ".join(one), " ".join(other)]))
+    assert found.hash[0] != found.hash[1]
+    start = found.first[2:4]
+    spans = w.span_hashes(found.hash, start, start + n)
+    assert spans[0] != spans[1] and (w.run_hashes(found.hash, n)[start] == spans).all()
+    assert quality_rules.measure(pa.array([f"{one}\n{other}\n{one}"]))["n_dup_lines"].tolist() == [1]
+    assert quality_rules.measure(pa.array([f"{one}\n{other}"]))["n_dup_lines"].tolist() == [0]
+
+
+def test_regular_texts_in_joins(spark):
+    one = " ".join(thue_morse(1024))
+    words = [thue_morse(1024), thue_morse(1024).translate(SWAP)]
+    given = [(0, one), (1, one.translate(SWAP)), (2, " ".join([words[0]] * 60)), (3, " ".join([words[1]] * 60)), (4, one)]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    sets = [shingle_set(t) for _, t in given]
+    links = [(a, b) for a in range(5) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs).collect()}
+    assert [got[k] for k in range(5)] == component_of(5, links)
+    got = sorted(tuple(r) for r in substring_dedup.substring_dedup(docs).collect())
+    assert got == sorted(brute_dedup(given))
+
+
 def test_longest_repeats():
     r = random.Random(1)
     for n, k in ((1, 2), (30, 2), (200, 3), (150, 1)):
@@ -98,6 +135,19 @@ def test_quality_rules(docs, rows):
     assert kept.columns == docs.columns and kept.count() == sum(x[9] for x in expected)
 
 
+def test_quality_rules_reject_by_coverage_alone():
+    r = random.Random(12)
+    words = [f"{prose(r, 1)}{i}" for i in range(400)]
+    passage = words[:70]
+    texts_ = [" ".join(words), " ".join([*words, *passage]), " ".join([*words[:300], *words[:13]])]
+    measured = quality_rules.measure(pa.array(texts_))
+    failed, kept = quality_rules._verdict(measured)
+    assert failed.tolist() == [False] * 3 and kept.tolist() == [True, True, True]
+    measured = quality_rules.measure(pa.array([" ".join([*words[:250], *passage])]))
+    failed, kept = quality_rules._verdict(measured)
+    assert not failed[0] and not kept[0] and measured["n_covered_words"][0] == 140  # 140 of 320 words
+
+
 def test_best_fit_is_tightest():
     r = random.Random(3)
     lengths = sorted((r.randint(1, 64) for _ in range(400)), reverse=True)
@@ -152,6 +202,17 @@ def test_packing(docs, rows):
         assert at <= 2048
 
 
+def test_packing_in_many_partitions(spark):
+    r = random.Random(13)
+    docs = spark.createDataFrame([(i, prose(r, min(3000, int(r.expovariate(1 / 250)) + 1))) for i in range(1000)], "doc_id long, text string").repartition(200)
+    got = packing.pack(docs, tokenizer_path()).select("doc_id", "sequence_id", "length").collect()
+    sequences = collections.Counter()
+    for x in got:
+        sequences[x.sequence_id] += x.length
+    assert max(sequences.values()) <= 2048 and len({x.doc_id for x in got}) == 1000
+    assert sum(sequences.values()) >= 0.99 * 2048 * len(sequences)
+
+
 def test_token_files_round_trip(spark, docs, rows, tmp_path):
     known = docs.where("doc_id is not null")
     manifest = token_files.write(known, f"file://{tmp_path}/tokens", tokenizer_path())
@@ -162,6 +223,8 @@ def test_token_files_round_trip(spark, docs, rows, tmp_path):
         expected.append((key, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert got == sorted(expected) and manifest["n_ids"] == at
+    names = {p["name"] for p in manifest["parts"]}
+    assert {f.name.rpartition(".")[0] for f in (tmp_path / "tokens").iterdir() if f.name.startswith("part-")} == names
     with pytest.raises(Exception, match="no key"):
         token_files.write(docs, f"file://{tmp_path}/other", tokenizer_path())
 
@@ -212,10 +275,23 @@ def test_decontamination_in_blocks(docs, spark, monkeypatch):
     bench = spark.createDataFrame([(str(i), t) for i, t in enumerate(["one two", "a b c d e", "changed", "x x x", "line one here"])], "item_id string, text string")
     whole = sorted(map(tuple, decontamination.decontaminate(docs, bench).collect()), key=repr)
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 20)
+    monkeypatch.setattr(decontamination, "BLOCKS", 100)
     assert sorted(map(tuple, decontamination.decontaminate(docs, bench).collect()), key=repr) == whole
     assert decontamination.decontaminate(docs, bench.limit(0)).where("n_hit > 0 or contaminated").count() == 0
 
 
+def test_decontamination_by_shuffle(spark, docs, rows, monkeypatch):
+    long_item = " ".join(words_of(rows[12][1])[20:45])
+    items = [*BENCH, ("i5", long_item.upper()), ("i6", long_item + " more words"), ("i7", " ".join(words_of(rows[10][1])[5:18])), ("i8", "changed"), ("i9", "line one here"), ("i9", "x x x"), ("j", "a b c d e")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    whole = sorted(map(tuple, decontamination.decontaminate(docs, bench).collect()), key=repr)
+    clean = sorted(map(tuple, decontamination.clean_documents(docs, bench).collect()), key=repr)
+    assert sum(x[5] for x in whole) > 5
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 4)
+    assert sorted(map(tuple, decontamination.decontaminate(docs, bench).collect()), key=repr) == whole
+    assert sorted(map(tuple, decontamination.clean_documents(docs, bench).collect()), key=repr) == clean
+
+
 def test_personal_data(docs, rows):
     got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
     text = rows[-5][1]
@@ -241,16 +317,89 @@ def test_secrets_of_letters_only():
     assert [[t[a:b] for a, b, _ in found.get(i, ([], []))[1]] for i, (t, _) in enumerate(given)] == [[x] if x else [] for _, x in given]
 
 
-def test_base_spans_equal_the_plain_patterns():
+def luhn(digits):
+    doubled = [int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))]
+    return sum(doubled) % 10 == 0
+
+
+def brute_spans(text):
+    """The contract's patterns as they stand."""
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    good = {"email": lambda m: True, "ip": lambda m: all(int(x) <= 255 for x in m.group().split(".")), "card": lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m)), "phone": lambda m: 10 <= len(digits(m)) <= 15}
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    found = [(m.start(), i, m.end(), kind) for i, (kind, p) in enumerate(patterns.items()) for m in re.finditer(p, text) if good[kind](m)]
+    return [(a, b, kind) for a, _, b, kind in sorted(found)]
+
+
+def test_base_spans_equal_the_plain_patterns(docs, rows):
     r = random.Random(9)
-    pool = ["a.b@c.d", "@", "x@y", "x@y.z.w@v.u", "1.2.3.4", "1.2.3.4.5", "256.1.1.1", "4111111111111111", "4111-1111 1111-1111", "+1 415 555 2671", "+1", "(", ") ", ". ", "-", " ", "é", "12"]
-    for _ in range(400):
-        text = "".join(r.choice(pool) for _ in range(r.randint(1, 8)))
-        expected = []
-        for m in pii.PATTERNS["email"].finditer(text):
-            expected.append((m.start(), m.end(), "email"))
-        got = [s for s in pii.base_spans(text) if s[2] == "email"]
-        assert got == expected, text
+    pool = ["a.b@c.d", "@", "x@y", "x@y.z.w@v.u", "1.2.3.4", "1.2.3.4.5", "256.1.1.1", "4111111111111111", "4111-1111 1111-1111", "+1 415 555 2671", "+1", "(", ") ", ". ", "-", " ", "é", "12", ".", "..", "0", "@b.c", "a"]
+    for _ in range(5000):
+        text = "".join(r.choice(pool) for _ in range(r.randint(1, 10)))
+        assert pii.base_spans(text) == brute_spans(text), text
+    got = collections.Counter((x.doc_id, x.n_email, x.n_ip, x.n_card, x.n_phone, x.base_sha256) for x in pii.personal_data(docs).collect())
+    expected = collections.Counter()
+    for key, text, *_ in rows:
+        spans = brute_spans(text or "")
+        counts = collections.Counter(kind for _, _, kind in spans)
+        expected[key, counts["email"], counts["ip"], counts["card"], counts["phone"], hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()] += 1
+    assert got == expected
+
+
+@pytest.mark.parametrize("text", ["1" * 300_000, "a" * 300_000 + "@", "1." * 200_000, "a@" * 150_000, "+1" * 150_000, "+1" + "(" * 300_000, "1 " * 200_000])
+def test_base_spans_take_linear_time(text):
+    began = time.time()
+    pii.base_spans(text)
+    assert time.time() - began < 10
+
+
+def test_windows_hold_all_that_the_model_opens():
+    r = random.Random(14)
+    pool = ["ABCDEFGHI!!!", "ÀÉÎÖÜÀÉÎÖÜÀÉÎÖ", "ABCDEFGHIJKLMNOP", "x=", "=", "is", ":", "password", "the", "word1", "token:", "a@b", "Xé" * 7, "ТЕКСТТЕКСТТЕКСТ", "end.", "db_key", "n"]
+    for _ in range(300):
+        texts_ = [" ".join(r.choice(pool) for _ in range(r.randint(0, 9))) for _ in range(3)]
+        words = w.split(pa.array(texts_), hashes=False)
+        inside = {(d, i) for d, lo, hi in pii._windows(words) for i in range(lo, hi)}
+        at = 0
+        for d, text in enumerate(texts_):
+            own = text.split()
+            for i, token in enumerate(own):
+                if pii.open_to_labels(token, *reversed(own[max(0, i - 2) : i])):
+                    assert {(d, at + j) for j in range(max(0, i - 2), min(len(own), i + 2))} <= inside, text
+            at += len(own)
+
+
+def test_labels_by_runs_equal_viterbi_over_whole_sentences():
+    field = pii.trained()
+    fresh = [t for t, _ in pii.training_table(120, seed=5)]
+    nxt = pii.LABELS.index("phone_next")
+    for sentence, path in zip(fresh, field.decode(fresh), strict=True):
+        scores = field._emissions(sentence)
+        scores[np.array(pii._closed(sentence)), 1:] -= 1e4
+        scores[0, nxt] -= 1e4
+        best, back = scores[0], []
+        for row in scores[1:]:
+            step = best[:, None] + field.moves + field.barred
+            back.append(step.argmax(0))
+            best = step.max(0) + row
+        plain = [int(best.argmax())]
+        for b in reversed(back):
+            plain.append(int(b[plain[-1]]))
+        assert path == plain[::-1]
+
+
+def peak_mb():
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+
+
+def test_memory_of_one_very_long_text():
+    field, before = pii.trained(), peak_mb()
+    found = pii.find(pa.array(["12 " * 100_000] + ["token = abcdefghijklmnop1"] * 600), field)
+    assert len(found) == 600 and peak_mb() - before < 400
+    before = peak_mb()
+    pages = [html_blocks.blocks("<article>" + "<p>hello there." * 100_000)] + [html_blocks.blocks("<p>x")] * 127
+    assert len(pages[0]) == 100_000 and len(html_blocks.label(html_blocks.trained(), pages)) == 128 and peak_mb() - before < 700
+    assert len(html_blocks.blocks("<div>x" * 20_000)) == 20_000
 
 
 def test_random_field_on_fresh_sentences():
@@ -297,6 +446,23 @@ def test_jaccard_join(docs, rows):
     assert one.columns == docs.columns and sorted(x for x in left if x is not None) == sorted(set(label)) and left.count(None) == 1
 
 
+def test_jaccard_join_in_small_tiles(docs, monkeypatch):
+    whole = sorted(map(tuple, jaccard_join.jaccard_join(docs).collect()), key=repr)
+    for name, value in (("TILE", 2), ("TILE_SHINGLES", 50), ("BROADCAST_BYTES", 0), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    assert sorted(map(tuple, jaccard_join.jaccard_join(docs).collect()), key=repr) == whole
+
+
+def test_components_of_a_long_chain(spark):
+    from pyspark.sql import functions as F
+
+    order = list(range(10_000))
+    random.Random(15).shuffle(order)
+    links = spark.createDataFrame([*zip(order, order[1:], strict=False)], "a long, b long")
+    found = components.components(links)
+    assert found.count() == 10_000 and found.agg(F.max("component")).first()[0] == 0
+
+
 def test_jaccard_join_of_chains(spark):
     r = random.Random(4)
     words, out = [prose(r, 1) + str(i) for i in range(200)], []
@@ -345,6 +511,12 @@ def test_substring_dedup(docs, rows):
     assert sorted(got, key=repr) == sorted(expected, key=repr) and sum(x[2] > 0 for x in expected) > 5
 
 
+def test_substring_dedup_in_small_shards(docs, rows, monkeypatch):
+    for name, value in (("SHARD_WORDS", 150), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    assert sorted(map(tuple, substring_dedup.substring_dedup(docs).collect()), key=repr) == sorted(brute_dedup(rows), key=repr)
+
+
 def test_substring_dedup_of_one_key_with_different_texts(spark):
     r = random.Random(7)
     one, two, three = prose(r, 70), prose(r, 90), prose(r, 120)
@@ -382,6 +554,34 @@ def test_sharding(docs, rows):
         assert (by[key].size, by[key].text_crc32) == (len(data) + 8, zlib.crc32(data))
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of ints, longs and strings, one after another."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+            seed = xxhash.xxh64_intdigest(data, seed=seed)
+    return seed
+
+
+def drawn(key, shards):
+    """The shard by plain draws."""
+
+    def least(what, path, weights):
+        draws = [(-math.log(((spark_hash(what, *[(p,) for p in path], (i,), key) >> 11) + 0.5) * 2.0**-53) / x, i) for i, x in enumerate(weights) if x > 0]
+        return min(draws)[1]
+
+    tree = sharding.topology(shards)
+    region = least("region", [], [sum(map(len, r)) for r in tree]) if len(tree) > 1 else 0
+    rack = least("rack", [region], [len(x) for x in tree[region]])
+    return tree[region][rack][least("shard", [region, rack], [1] * len(tree[region][rack]))]
+
+
+def test_sharding_by_plain_draws(docs):
+    for r in sharding.shard(docs).collect():
+        assert (r.shard, r.grown_shard) == (drawn(r.doc_id, 24), drawn(r.doc_id, 25))
+
+
 def test_sharding_is_even_and_moves_little(spark):
     from pyspark.sql import functions as F
 
@@ -409,6 +609,78 @@ def test_quality_classifier(spark):
     assert sum(x.predicted == int(x.doc_id % 3 > 0) for x in held) >= 0.97 * len(held)
 
 
+def test_quality_scores_by_plain_densities(spark):
+    r = random.Random(16)
+    rows = [(i, prose(r, 40 + 5 * (i % 7)).capitalize() + "." * (i % 2) + "###" * (i % 3)) for i in range(120)]
+    labels = [(i, int(i % 3 > 0)) for i in range(120)]
+    got = {x.doc_id: x for x in quality_classifier.classify(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    x = quality_classifier.statistics(pa.array([t for _, t in rows]))
+    y = np.array([q for _, q in labels])
+    train = np.array([not got[i].held_out for i in range(120)])
+    raw = [np.cov(x[train & (y == c)].T, bias=True) for c in (0, 1)]
+    n = [(train & (y == c)).sum() for c in (0, 1)]
+    pooled = (n[0] * raw[0] + n[1] * raw[1]) / sum(n)
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    logs = []
+    for c in (0, 1):
+        s = (0.9 * raw[c] + 0.1 * pooled) / np.outer(scale, scale)
+        s = 0.95 * s + 0.05 * max(np.trace(s) / len(s), 1e-3) * np.eye(len(s))
+        z = (x - x[train & (y == c)].mean(0)) / scale
+        logs.append(-0.5 * (np.einsum("ij,jk,ik->i", z, np.linalg.inv(s), z) + np.linalg.slogdet(s)[1]))
+    difference = logs[1] - logs[0]
+    order = np.argsort(difference, kind="stable")
+    scores = np.array([got[i].score for i in range(120)])[order]
+    assert (np.diff(scores) >= -1e-9).all() and scores[-1] > scores[0]  # the score is a curve in the difference
+    bent = 60 * np.tanh(difference[order] / 60)
+    logit = np.log(scores / (1 - scores))
+    inner = (scores > 1e-9) & (scores < 1 - 1e-9)
+    slope, shift = np.polyfit(bent[inner], logit[inner], 1)
+    assert np.allclose(logit[inner], slope * bent[inner] + shift, atol=1e-5)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 20])
+def test_quality_classifier_on_few_labels(spark, n):
+    r = random.Random(17)
+    good = [(i, prose(r, 80).capitalize() + ".\n" + prose(r, 30)) for i in range(3 * n)]
+    bad = [(1000 + i, " ".join(x + "###" for x in prose(r, 60).upper().split())) for i in range(3 * n)]
+    train = [[x for x in part if zlib.crc32(str(x[0]).encode()) % 4 != 2][:n] for part in (good, bad)]
+    labels = spark.createDataFrame([(k, q) for q, part in zip((1, 0), train, strict=True) for k, _ in part], "doc_id long, quality int")
+    out = {x.doc_id: x.score for x in quality_classifier.classify(spark.createDataFrame(good + bad, "doc_id long, text string"), labels).collect()}
+    assert min(out[k] for k, _ in train[0]) > max(out[k] for k, _ in train[1])
+
+
+def test_lstm_step_by_step():
+    """The network, place by place with plain gates, against batches with padding."""
+    p = html_blocks.trained()
+    pages = [b for b, _ in html_blocks.training_pages(9, seed=3)]
+    got = [html_blocks._logits(p, *html_blocks._padded([html_blocks.vectors(x) for x in pages]))[0][: len(page), i] for i, page in enumerate(pages)]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for page, logits in zip(pages, got, strict=True):
+        x = html_blocks.vectors(page).astype(float)
+        sides = []
+        for d, inputs in (("f", x), ("b", x[::-1])):
+            h = c = np.zeros(html_blocks.HIDDEN)
+            out = []
+            for row in inputs:
+                i, f, o, g = np.split(row @ p[f"x{d}"] + h @ p[f"h{d}"] + p[f"b{d}"], 4)
+                c = sigmoid(f) * c + sigmoid(i) * np.tanh(g)
+                h = sigmoid(o) * np.tanh(c)
+                out.append(h)
+            sides.append(out if d == "f" else out[::-1])
+        expected = [np.concatenate(both) @ p["o"] + p["c"][0] for both in zip(*sides, strict=True)]
+        assert np.allclose(logits, expected, atol=1e-3)
+
+
+def test_html_attributes_by_the_rules():
+    def texts(page):
+        return [t for t, _, _ in html_blocks.blocks(page)]
+
+    assert texts("<p title=it's>Hello world.</p>") == ["Hello world."]
+    assert texts('<p title="a>b" class=x>x</p><a href="q>r<b>s') == ["x", "rs"]
+    assert texts("<p/class=x>hi<script>var x = '</p>'</script >z") == ["hiz"]
+    assert texts("a < b <p>c<!-- x --> d <!doctype z>e</p></>f</ g>h") == ["a < b", "c d e", "fh"]
+
+
 def test_html_blocks_and_labels():
     page = "<html><head><title>t</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav><article><h1>Big &amp; <b>bold</b></h1><p>One\n two<br>three<p>four &lt;five&gt; &copy</p><script>var a='<p>no</p>'</script></article><footer>&copy; me</footer>"
     assert [t for t, _, _ in html_blocks.blocks(page)] == ["Home", "Big & bold", "One two", "three", "four <five> ©", "© me"]
@@ -449,6 +721,15 @@ def test_empty_tables(spark, docs):
     assert [df.count() for df in made] == [0] * len(made)
 
 
+def test_scratch_folders(spark, tmp_path):
+    assert common.qualified(spark, f"{tmp_path}/x") == f"file:{tmp_path}/x"
+    table = common.materialize(spark.range(5), "five")
+    path = common.store(table._scratch)[1]
+    assert table.count() == 5 and os.path.isdir(path)
+    common.release(table)
+    assert not os.path.exists(path)
+
+
 def test_empty_token_files(spark, docs, tmp_path):
     path = f"{tmp_path}/none"
     manifest = token_files.write(docs.limit(0), path, tokenizer_path())
