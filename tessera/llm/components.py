@@ -11,18 +11,22 @@ from tessera.llm.common import materialize, release
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of links (a, b); a component is named by its smallest node.
 
-    Each round takes the smallest label among a node's neighbours and then the label of its label, so that chains
-    shorten by half, until no label moves; every round is written to shared storage and the one before deleted.
+    Each round finds, over a node's links, the smallest label of a label, and offers it to the node and to the node that
+    its label names; a node also takes the label of its label. So whole trees hook onto smaller ones while they grow
+    flat, and long chains settle in some log(n) rounds. It ends when no label moves; every round is written to shared
+    storage and the one before deleted.
     """
     both = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "links")
     labels = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label"), F.lit(True).alias("moved")), "labels")
     while labels.where("moved").limit(1).count():
         before = labels
-        now = before.select("node", "label")
-        seen = both.join(now, both["u"] == now["node"]).groupBy("v").agg(F.min("label").alias("least"))
-        hooked = now.join(seen, now["node"] == seen["v"]).select("node", F.least("label", "least").alias("label"), F.col("label").alias("old"))
         above = before.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        labels = materialize(hooked.join(above, "label").select("node", F.least("label", "top").alias("label"), (F.least("label", "top") != F.col("old")).alias("moved")), "labels")
+        now = before.select("node", "label").join(above, "label").select("node", "label", "top")
+        least = both.join(now.select(F.col("node").alias("v"), "top"), "v").groupBy("u").agg(F.min("top").alias("least"))
+        seen = now.join(least, now["node"] == least["u"]).select("node", "label", F.least("top", "least").alias("own"), "least")
+        offers = F.array(F.struct("node", F.col("own").alias("label"), F.col("label").alias("old")), F.struct(F.col("label").alias("node"), F.col("least").alias("label"), F.lit(None).cast("long").alias("old")))
+        offered = seen.select(F.explode(offers).alias("x")).select("x.*").groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        labels = materialize(offered.select("node", F.least("label", "old").alias("label"), (F.least("label", "old") < F.col("old")).alias("moved")), "labels")
         release(before)
     release(both)
     out = labels.select("node", F.col("label").alias("component"))
