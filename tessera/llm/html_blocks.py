@@ -48,7 +48,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: An opening tag that ends an open one of the named kinds first, up to the nearest of the others.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"'=]|=\s*(?:"[^"]*"|'[^']*')?|["'])*+)>""")
-_COMMENT = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?:[!?]|/[^A-Za-z])[^>]*(?:>|\Z)|</>", re.S)
+_COMMENT = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|</>|<(?:[!?]|/[^A-Za-z>])[^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""(?<![^\s/"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+")

@@ -427,7 +427,8 @@ def _windows(words: w.Words) -> list[tuple[int, int, int]]:
     raw, doc = words.data.tobytes().lower(), words.doc
     named = np.array([m.start() for m in _NAMED.finditer(raw)], np.int64)
     leads[np.searchsorted(words.start, named, "right") - 1] = True
-    for i in np.unique(words.first[:-1][words.first[:-1] < words.first[1:]]).tolist():  # the bytes before belong to another text
+    some = words.first[:-1] < words.first[1:]
+    for i in np.unique(np.concatenate([words.first[:-1][some], words.first[1:][some] - 1])).tolist():  # the bytes beside a text's first and last word belong to others
         leads[i] |= _NAMED.search(raw[words.start[i] : words.end[i]]) is not None
     may |= leads
     for step in (1, 2):
