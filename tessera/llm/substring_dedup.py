@@ -339,13 +339,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     segments_ = materialize(_segment_rows(docs, _crowds(docs)), "segments")
     shared = segments_.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     rows = materialize(segments_.join(shared, "anchor"), "shared")
+    release(segments_)
     different = materialize(rows.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "version", "start", "size")).alias("x")).select("x.*", "anchor", "digest"), "different")
     wanted = materialize(_words_of(docs, different), "words")
+    release(different)
     dealt = _parts(wanted).repartition("shard", "part").sortWithinPartitions("shard", "part", "foreign")
     firsts = materialize(map_arrow(dealt, _search, "anchor long, digest long, firsts binary"), "firsts")
+    release(wanted)
     found = rows.select("doc_id", "version", "start", "anchor", "digest").join(firsts, ["anchor", "digest"])
     out = materialize(map_arrow(found.select("doc_id", "version", "start", "firsts"), _removals, "doc_id long, version long, low int, high int").distinct(), "spans")
-    release(segments_, rows, different, wanted, firsts)
+    release(rows, firsts)
     return out
 
 
