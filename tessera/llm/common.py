@@ -12,10 +12,15 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Bytes of a row group that settle() writes.
+GROUP_BYTES = 8 << 20
+
 _local_base: str | None = None
 _written: set[str] = set()
 
@@ -83,6 +88,45 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def settle(df: DataFrame, what: str) -> DataFrame:
+    """materialize() where Python workers write, if the shared folder is a path of the local file system.
+
+    For such a path Hadoop starts a chmod for each folder, file and checksum file, in the JVM that writes, and a JVM
+    that starts a process counts twice in memory until that process runs. What attempts wrote that didn't count is
+    left aside and goes with the table.
+    """
+    spark = df.sparkSession
+    if not shared_dir(spark).startswith("file:"):
+        return materialize(df, what)
+    path = scratch_path(spark, what)
+    fs, base = store(path)
+    fs.create_dir(f"{base}/table", recursive=True)
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.parquet"
+        with contextlib.ExitStack() as opened:
+            out, held, size = None, [], 0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                out = out or opened.enter_context(pq.ParquetWriter(f"{base}/{name}", batch.schema, store_schema=False))
+                held.append(batch)
+                size += batch.nbytes
+                if size > GROUP_BYTES:
+                    out.write_table(pa.Table.from_batches(held))
+                    held, size = [], 0
+            if held:
+                out.write_table(pa.Table.from_batches(held))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+    for row in map_arrow(df, written, "name string").collect():  # a row for each task
+        fs.move(f"{base}/{row.name}", f"{base}/table/{row.name}")
+    out = spark.read.schema(df.schema).parquet(f"{path}/table")
+    out._scratch = path
+    return out
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that materialize() wrote, once all that is read from them is written itself."""
     for df in tables:

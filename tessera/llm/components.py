@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, release
+from tessera.llm.common import release, settle
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,8 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     flat, and long chains settle in some log(n) rounds. It ends when no label moves; every round is written to shared
     storage and the one before deleted.
     """
-    both = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "links")
-    labels = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label"), F.lit(True).alias("moved")), "labels")
+    both = settle(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "links")
+    labels = settle(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label"), F.lit(True).alias("moved")), "labels")
     while labels.where("moved").limit(1).count():
         before = labels
         above = before.select(F.col("node").alias("label"), F.col("label").alias("top"))
@@ -26,7 +26,7 @@ def components(links: DataFrame) -> DataFrame:
         seen = now.join(least, now["node"] == least["u"]).select("node", "label", F.least("top", "least").alias("own"), "least")
         offers = F.array(F.struct("node", F.col("own").alias("label"), F.col("label").alias("old")), F.struct(F.col("label").alias("node"), F.col("least").alias("label"), F.lit(None).cast("long").alias("old")))
         offered = seen.select(F.explode(offers).alias("x")).select("x.*").groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
-        labels = materialize(offered.select("node", F.least("label", "old").alias("label"), (F.least("label", "old") < F.col("old")).alias("moved")), "labels")
+        labels = settle(offered.select("node", F.least("label", "old").alias("label"), (F.least("label", "old") < F.col("old")).alias("moved")), "labels")
         release(before)
     release(both)
     out = labels.select("node", F.col("label").alias("component"))

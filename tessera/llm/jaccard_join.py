@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as w
-from tessera.llm.common import docs_of, map_arrow, materialize, release, slices, texts
+from tessera.llm.common import docs_of, map_arrow, release, settle, slices, texts
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -155,7 +155,7 @@ def _measured(docs: DataFrame) -> DataFrame:
     buckets = max(BUCKETS, int(size / 6 / BUCKET_SIZE))
     dealt = map_arrow(docs, lambda batches: _dealt(batches, buckets), "bucket long, slice long, a binary, b binary")
     marked = map_arrow(dealt.repartition("bucket").sortWithinPartitions("bucket"), _buckets, "slice long, info binary, shared binary")
-    return materialize(marked.groupBy("slice").applyInArrow(_summed, "doc_id long, n long, digest long, digest2 long, shared long"), "sizes")
+    return settle(marked.groupBy("slice").applyInArrow(_summed, "doc_id long, n long, digest long, digest2 long, shared long"), "sizes")
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -295,7 +295,7 @@ def _tiles(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("band", band)
     blocks = rows.groupBy("token", "band").agg(F.count("*").alias("count"))
     crowded = blocks.groupBy("token").agg(F.sum("count").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("count") / TILE).cast("int").alias("k")))).alias("k")).where(F.col("all") > TILE).select("token", "k")  # bands are few: the logarithm of the largest size
-    crowded = materialize(crowded, "crowded")
+    crowded = settle(crowded, "crowded")
     columns = ["token", "doc_id", "n", "place", "component"]
     none = F.lit(None).cast("struct<band:int,block:int>")
     small = rows.join(crowded, "token", "left_anti").select(*columns, none.alias("one"), none.alias("two"), F.lit(0).alias("side"))
@@ -370,7 +370,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
     tile is one of these, followed by a part of its partners, and only two arrays are held. Otherwise the documents
     that pairs connect are dealt to blocks of about TILE_SHINGLES shingles, and a tile is two blocks.
     """
-    pairs = materialize(pairs, "pairs")
+    pairs = settle(pairs, "pairs")
     if star:
         size = pairs.groupBy("a").agg(F.sum("nb").alias("size"))
         part = F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / TILE_SHINGLES).cast("long"))
@@ -381,11 +381,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
         sizes = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("na").alias("n")), F.struct(F.col("b").alias("node"), F.col("nb").alias("n")))).alias("x")).select("x.*").distinct()
         sized = families.join(sizes, "node")
         size = sized.groupBy("component").agg(F.sum("n").alias("size"))
-        placed = materialize(sized.join(size, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TILE_SHINGLES).cast("long")).alias("block")), "placed")
+        placed = settle(sized.join(size, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TILE_SHINGLES).cast("long")).alias("block")), "placed")
         a, b = (placed.select(F.col("node").alias(x), F.col("component"), F.col("block").alias(f"block_{x}")) for x in "ab")
         tiled = pairs.join(a, "a").join(b.drop("component"), "b").select("component", F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high"), "a", "b")
         done = [families, placed]
-        tiled = materialize(tiled, "tiled")
+        tiled = settle(tiled, "tiled")
     tile = ["component", "low", "high"]
     whole = sets.select("doc_id", "runs")
     if star:
@@ -416,7 +416,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, star: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
 
     dealt = both.select(*tile, "a", "b", "runs").repartition(*tile).sortWithinPartitions(*tile, F.col("b").asc_nulls_first())
-    out = materialize(map_arrow(dealt, rows, "a long, b long"), "links")
+    out = settle(map_arrow(dealt, rows, "a long, b long"), "links")
     release(pairs, tiled, *done)
     return out
 
@@ -435,9 +435,9 @@ def _node() -> Column:
 def _apart(docs: DataFrame) -> DataFrame:
     """(node, doc_id, n_shingles, family, component_id): each key and text as a document of its own; families are named by nodes."""
     nodes = docs.select(_node().alias("doc_id"), "text")
-    found = materialize(_linked(nodes, _measured(nodes)), "apart").select(F.col("doc_id").alias("node"), "n_shingles", F.col("component_id").alias("family"))
+    found = settle(_linked(nodes, _measured(nodes)), "apart").select(F.col("doc_id").alias("node"), "n_shingles", F.col("component_id").alias("family"))
     keys = docs.where("doc_id is not null").select(_node().alias("node"), "doc_id").distinct()
-    found = materialize(found.join(keys, "node", "left"), "named")
+    found = settle(found.join(keys, "node", "left"), "named")
     least = found.where("node is not null").groupBy("family").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "family", "left")
 
@@ -452,13 +452,13 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     """The join where each key has one set."""
     known = sizes.where("doc_id is not null and n > 0")
-    classes = materialize(known.groupBy("n", "digest", "digest2").agg(F.min("doc_id").alias("leader"), F.min("shared").alias("shared")), "classes")
+    classes = settle(known.groupBy("n", "digest", "digest2").agg(F.min("doc_id").alias("leader"), F.min("shared").alias("shared")), "classes")
     ids = classes.where(F.col("shared") * 100 >= F.col("n") * PER_CENT).select(F.col("leader").alias("doc_id")).distinct()
-    sets = materialize(map_arrow(only(docs.where("doc_id is not null"), ids), _sets, "doc_id long, n long, runs binary, bitmap binary").dropDuplicates(["doc_id"]), "sets")
+    sets = settle(map_arrow(only(docs.where("doc_id is not null"), ids), _sets, "doc_id long, n long, runs binary, bitmap binary").dropDuplicates(["doc_id"]), "sets")
     shared = _shared_bitmaps(sets)
-    prefixes = materialize(_prefix_rows(sets), "prefixes")
+    prefixes = settle(_prefix_rows(sets), "prefixes")
     heads = prefixes.groupBy("token").agg(F.min(F.struct("doc_id", "n", "place")).alias("h"), F.max("doc_id").alias("high")).where("h.doc_id < high").select("token", "h")
-    rows = materialize(prefixes.join(heads, "token"), "rows")
+    rows = settle(prefixes.join(heads, "token"), "rows")
     release(prefixes)
     links = _verified(_star(rows, sets, shared), sets, star=True)
     found = components(links)
@@ -466,7 +466,7 @@ def _linked(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     names = found.select(F.col("node").alias("doc_id"), "component")
     named = rows.drop("h").join(F.broadcast(names) if bounded else names, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    left = materialize(named.join(mixed, "token", "left_semi"), "mixed")
+    left = settle(named.join(mixed, "token", "left_semi"), "mixed")
     release(rows)
     more = _verified(_all_pairs(left, sets, shared), sets, star=False)
     one, other = (found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
@@ -474,7 +474,7 @@ def _linked(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     merged = components(between)  # components of components
     onward = merged.select(F.col("node").alias("component"), F.col("component").alias("final"))
     final = found.join(onward, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
-    final = materialize(final.unionByName(merged.join(found, "node", "left_anti").select("node", "component")), "components")
+    final = settle(final.unionByName(merged.join(found, "node", "left_anti").select("node", "component")), "components")
     release(left, sets, links, more, found, merged)
     found = final
     leaders = classes.select("n", "digest", "digest2", "leader").join(found.select(F.col("node").alias("leader"), "component"), "leader", "left")
@@ -492,10 +492,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     sizes = _measured(narrow)
     if _mixed(sizes):
         members = _apart(narrow).where("node is not null")
-        first = materialize(members.groupBy("family").agg(F.min(F.struct("doc_id", "node")).alias("x")).select(F.col("x.node").alias("__node")), "first")
+        first = settle(members.groupBy("family").agg(F.min(F.struct("doc_id", "node")).alias("x")).select(F.col("x.node").alias("__node")), "first")
         kept = docs.withColumn("__node", _node()).join(first, "__node", "left_semi").dropDuplicates(["__node"])
         return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
-    found = materialize(_linked(narrow, sizes).where("doc_id is not null"), "members")
+    found = settle(_linked(narrow, sizes).where("doc_id is not null"), "members")
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
     again = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     bounded = gone.count() <= BROADCAST_ROWS

@@ -730,6 +730,27 @@ def test_scratch_folders(spark, tmp_path):
     assert not os.path.exists(path)
 
 
+def test_settled_tables_are_written_by_python(spark, tmp_path):
+    """Hadoop's local file system starts processes and leaves checksum files and marks where it writes."""
+    given = spark.range(3000, numPartitions=5).selectExpr("id", "if(id % 7 = 0, null, cast(cast(id as string) as binary)) as b", "struct(id as x, int(id) as y) as s", "map(int(id), 1) as m", "id > 9 as f")
+    for df in (given, given.where("id < 0"), given.where("id = 4").selectExpr("cast(null as long) as z", "s")):
+        table = common.settle(df, "some")
+        assert table.schema.simpleString() == df.schema.simpleString()
+        assert sorted(map(repr, table.collect())) == sorted(map(repr, df.collect()))
+        path = common.store(table._scratch)[1]
+        names = [name for _, _, found in os.walk(path) for name in found]
+        assert all(name.endswith(".parquet") and not name.startswith(("_", ".")) for name in names)
+        common.release(table)
+        assert not os.path.exists(path)
+
+
+def test_jaccard_join_starts_no_process_as_it_writes(spark, docs):
+    before = set(common._written)
+    jaccard_join.jaccard_join(docs).collect()
+    names = [name for path in common._written - before for _, _, found in os.walk(common.store(path)[1]) for name in found]
+    assert names and not [name for name in names if name.endswith(".crc") or name == "_SUCCESS"]
+
+
 def test_empty_token_files(spark, docs, tmp_path):
     path = f"{tmp_path}/none"
     manifest = token_files.write(docs.limit(0), path, tokenizer_path())
