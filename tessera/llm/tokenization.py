@@ -1,14 +1,16 @@
-"""Token ids by the tokenizers library, a word at a time.
+"""Token ids by the tokenizers library, a piece at a time.
 
-The vocabulary's pre-tokenizer never lets a token reach over white space, so a text's ids are the ids of its
-words one after another. Words of one text mostly occur in others, so each is encoded once and kept in a bounded
-table; only words that are missing there go to the library. Words of ASCII or Latin-1 letters and ASCII
-punctuation go straight to its model, anything else through its whole pipeline.
+The vocabulary's pre-tokenizer cuts a text into pieces (runs of letters, of punctuation, digits) and no token reaches
+over a cut, so a text's ids are the ids of its pieces one after another. Texts of ASCII or Latin-1 letters, ASCII
+punctuation, spaces and line ends are cut here, by the same rule; each piece goes to the library's model once and is
+kept in a bounded table, whatever its case and the punctuation beside it. Other texts are cut at white space, and
+their words that hold anything else go through the library's whole pipeline, also once.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +19,8 @@ import pyarrow as pa
 from tessera.llm.common import texts
 
 MEMO = 200_000
-_EASY = re.compile("[!-;=-~À-ÖØ-öø-ÿ]+")  # no "<": special tokens start with it
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+")
+_EASY = re.compile("[ \n!-;=-~À-ÖØ-öø-ÿ]*")  # no "<": special tokens start with it
+_PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:[stmd]|re|ve|ll)|[!-/:-@\\[-`{-~]+")
 _loaded: dict[str, Encoder] = {}
 
 
@@ -32,8 +34,16 @@ def _byte_letters() -> list[str]:
     return out
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder(dict):
-    """Word (without white space) to the bytes of its ids, unsigned 32-bit little-endian."""
+    """Piece of a word to the bytes of its ids, unsigned 32-bit little-endian.
+
+    Of the last MEMO to 2 * MEMO pieces none is lost: a full table becomes the older one, from which what is asked
+    for again is taken over.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -43,31 +53,49 @@ class Encoder(dict):
         self.model = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.size = self.tokenizer.get_vocab_size()
-
-    def __missing__(self, word: str) -> bytes:
-        if not word:
-            return b""
-        if len(word) < 60 and _EASY.fullmatch(word):
-            ids = []
-            for piece in _PIECES.findall(word.lower()):
-                if not piece.isascii():
-                    piece = "".join([self.letters[b] for b in piece.encode()])
-                ids += [t.id for t in self.model(piece)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes()
-        if len(word) < 60:
+        self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.older.get(piece)
+        if out is None:
+            shown = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            out = _bytes([t.id for t in self.model(shown)])
+        if len(piece) < 60:
             if len(self) >= MEMO:
-                self.clear()
-            self[word] = out
+                self.older = dict(self)
+                super().clear()
+            self[piece] = out
+        return out
+
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
+        self.words = {}
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, _PIECES.findall(text.lower())))
+
+    def _word(self, word: str) -> bytes:
+        if _EASY.fullmatch(word):
+            return self._plain(word)
+        out = self.words.get(word)
+        if out is None:
+            out = _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            if len(word) < 60:
+                if len(self.words) >= MEMO:
+                    self.words = {}
+                self.words[word] = out
         return out
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        if _EASY.fullmatch(text):
+            return self._plain(text)
+        return b"".join(map(self._word, text.replace("\n", " ").split(" ")))
 
 
 def encoder(path: str) -> Encoder:
-    """One for each Python worker; its table of words is emptied after a task."""
+    """One for each Python worker; its tables are emptied after a task."""
     if path not in _loaded:
         _loaded[path] = Encoder(path)
     return _loaded[path]

@@ -183,6 +183,22 @@ def test_tokenization_equals_whole_texts(rows):
         assert np.frombuffer(enc.ids(text), "<u4").tolist() == full_ids(text)[:-1]
 
 
+def test_pieces_of_words_are_encoded_once(monkeypatch):
+    enc = tokenization.Encoder(tokenizer_path())
+    asked, model = [], enc.model
+    enc.model = lambda piece: asked.append(piece) or model(piece)
+    text = "Alpha, alpha. (ALPHA) alpha!\nit's ALPHA's 1 11, é É"
+    assert np.frombuffer(enc.ids(text), "<u4").tolist() == full_ids(text)[:-1]
+    assert len(asked) == len(set(asked))
+    monkeypatch.setattr(tokenization, "MEMO", 5)
+    asked.clear()
+    for i in range(40):
+        enc.ids(f"alpha {'abcdefghij'[i % 10] * (i + 2)}")
+    assert len(enc) <= 5 and len(enc.older) <= 5 and "alpha" not in asked
+    enc.clear()
+    assert not enc and not enc.older and not enc.words
+
+
 def test_packing(docs, rows):
     got = packing.pack(docs, tokenizer_path()).collect()
     pieces = collections.Counter()
