@@ -51,7 +51,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 1, null_keys: b
         keys, ends = array("q"), array("Q", [0])
         nulls = bytearray()
         out = None
-        for key, ids in encoded(batches, tokenizer, end):
+        for key, ids in encoded(batches, tokenizer, end, keep=True):  # tasks are short, as they follow a shuffle
             if key is None and not null_keys:
                 raise ValueError("a document has no key")
             out = out or fs.open_output_stream(f"{base}/{name}.bin", buffer_size=1 << 20)

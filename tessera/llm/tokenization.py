@@ -95,18 +95,19 @@ class Encoder(dict):
 
 
 def encoder(path: str) -> Encoder:
-    """One for each Python worker; its tables are emptied after a task."""
+    """One for each Python worker; its tables are emptied after a task, unless that keeps them."""
     if path not in _loaded:
         _loaded[path] = Encoder(path)
     return _loaded[path]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[int | None, bytes]]:
-    """Key and ids with the end id of each row of (key, text)."""
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int, keep: bool = False) -> Iterator[tuple[int | None, bytes]]:
+    """Key and ids with the end id of each row of (key, text). keep: leave the tables to the worker's next task."""
     enc, tail = encoder(path), np.array([end], "<u4").tobytes()
     for batch in batches:
         for lo in range(0, len(batch), 256):
             part = batch.slice(lo, 256)
             for key, text in zip(part.column(0).to_pylist(), texts(part.column(1)).to_pylist(), strict=True):
                 yield key, enc.ids(text) + tail
-    enc.clear()
+    if not keep:
+        enc.clear()

@@ -199,6 +199,19 @@ def test_pieces_of_words_are_encoded_once(monkeypatch):
     assert not enc and not enc.older and not enc.words
 
 
+def test_token_files_keep_pieces_from_task_to_task(monkeypatch):
+    enc = tokenization.Encoder(tokenizer_path())
+    asked, model = [], enc.model
+    enc.model = lambda piece: asked.append(piece) or model(piece)
+    monkeypatch.setitem(tokenization._loaded, tokenizer_path(), enc)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words, again", "Again some"])], ["doc_id", "text"])
+    expected = [(key, np.array(full_ids(text), "<u4").tobytes()) for key, text in zip(*batch.to_pydict().values(), strict=True)]
+    for keep, calls in ((True, 4), (True, 0), (False, 0), (False, 4)):
+        asked.clear()
+        assert list(tokenization.encoded(iter([batch]), tokenizer_path(), 1, keep=keep)) == expected
+        assert len(asked) == calls
+
+
 def test_packing(docs, rows):
     got = packing.pack(docs, tokenizer_path()).collect()
     pieces = collections.Counter()
