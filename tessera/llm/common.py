@@ -88,16 +88,17 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
-def settle(df: DataFrame, what: str) -> DataFrame:
+def settle(df: DataFrame, what: str, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str | None = None) -> DataFrame:
     """materialize() where Python workers write, if the shared folder is a path of the local file system.
 
     For such a path Hadoop starts a chmod for each folder, file and checksum file, in the JVM that writes, and a JVM
     that starts a process counts twice in memory until that process runs. What attempts wrote that didn't count is
-    left aside and goes with the table.
+    left aside and goes with the table. With rows and schema, as for map_arrow(), that table is written; rows runs in
+    the worker that writes, so a task has one worker, not two.
     """
     spark = df.sparkSession
     if not shared_dir(spark).startswith("file:"):
-        return materialize(df, what)
+        return materialize(map_arrow(df, rows, schema) if rows else df, what)
     path = scratch_path(spark, what)
     fs, base = store(path)
     fs.create_dir(f"{base}/table", recursive=True)
@@ -106,7 +107,7 @@ def settle(df: DataFrame, what: str) -> DataFrame:
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.parquet"
         with contextlib.ExitStack() as opened:
             out, held, size = None, [], 0
-            for batch in batches:
+            for batch in rows(batches) if rows else batches:
                 if not batch.num_rows:
                     continue
                 out = out or opened.enter_context(pq.ParquetWriter(f"{base}/{name}", batch.schema, store_schema=False))
@@ -122,11 +123,26 @@ def settle(df: DataFrame, what: str) -> DataFrame:
 
     for row in map_arrow(df, written, "name string").collect():  # a row for each task
         fs.move(f"{base}/{row.name}", f"{base}/table/{row.name}")
-    out = spark.read.schema(df.schema).parquet(f"{path}/table")
+    out = spark.read.schema(schema or df.schema).parquet(f"{path}/table")
     out._scratch = path
     return out
 
 
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is executed inside go as it ends; else they stay until the driver happens to collect garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that materialize() wrote, once all that is read from them is written itself."""
     for df in tables:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as w
-from tessera.llm.common import docs_of, map_arrow, materialize, release, slices, texts
+from tessera.llm.common import brief_shuffles, docs_of, map_arrow, release, settle, slices, texts
 from tessera.llm.suffixes import ranks
 
 WINDOW = 50
@@ -110,12 +110,13 @@ def _segment_rows(docs: DataFrame, crowds: np.ndarray) -> DataFrame:
                 keys, versions = (batch.column(i).slice(lo, hi - lo).take(pa.array(doc)) for i in (0, 2))
                 yield pa.RecordBatch.from_arrays([keys, versions, pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64))], ["doc_id", "version", "start", "size", "anchor", "digest"])
 
-    return map_arrow(docs, rows, "doc_id long, version long, start int, size int, anchor long, digest long")
+    return settle(docs, "segments", rows, "doc_id long, version long, start int, size int, anchor long, digest long")
 
 
 def _with_lists(docs: DataFrame, rows: DataFrame, struct: list[str], name: str, how: str) -> DataFrame:
     """Documents with an array of the rows of each; the arrays are broadcast if there are few, else joined by shuffle."""
-    bounded = rows.count() <= BROADCAST_ROWS
+    with brief_shuffles(docs.sparkSession):
+        bounded = rows.count() <= BROADCAST_ROWS
     lists = rows.groupBy("doc_id", "version").agg(F.collect_list(F.struct(*struct)).alias(name))
     return docs.join(F.broadcast(lists) if bounded else lists, ["doc_id", "version"], how)
 
@@ -336,23 +337,25 @@ def _versions(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, version, low, high): spans of words that occur in a document with a smaller key, as whole windows."""
     docs = _versions(docs).where("doc_id is not null")
-    segments_ = materialize(_segment_rows(docs, _crowds(docs)), "segments")
+    segments_ = _segment_rows(docs, _crowds(docs))
     shared = segments_.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    rows = materialize(segments_.join(shared, "anchor"), "shared")
+    rows = settle(segments_.join(shared, "anchor"), "shared")
     release(segments_)
-    different = materialize(rows.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "version", "start", "size")).alias("x")).select("x.*", "anchor", "digest"), "different")
-    wanted = materialize(_words_of(docs, different), "words")
+    different = settle(rows.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "version", "start", "size")).alias("x")).select("x.*", "anchor", "digest"), "different")
+    wanted = settle(_words_of(docs, different), "words")
     release(different)
     dealt = _parts(wanted).repartition("shard", "part").sortWithinPartitions("shard", "part", "foreign")
-    firsts = materialize(map_arrow(dealt, _search, "anchor long, digest long, firsts binary"), "firsts")
+    firsts = settle(dealt, "firsts", _search, "anchor long, digest long, firsts binary")
     release(wanted)
     found = rows.select("doc_id", "version", "start", "anchor", "digest").join(firsts, ["anchor", "digest"])
-    out = materialize(map_arrow(found.select("doc_id", "version", "start", "firsts"), _removals, "doc_id long, version long, low int, high int").distinct(), "spans")
+    out = settle(map_arrow(found.select("doc_id", "version", "start", "firsts"), _removals, "doc_id long, version long, low int, high int").distinct(), "spans")
     release(rows, firsts)
     return out
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """One row for each document: its words, those removed and a digest of what is kept."""
-    joined = _with_lists(_versions(docs), repeated_spans(docs), ["low", "high"], "spans", "left")
+    with brief_shuffles(docs.sparkSession):
+        spans = repeated_spans(docs)
+    joined = _with_lists(_versions(docs), spans, ["low", "high"], "spans", "left")
     return map_arrow(joined.select("doc_id", "text", "spans"), _kept, SCHEMA)

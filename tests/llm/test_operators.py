@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 
@@ -780,6 +781,50 @@ def test_jaccard_join_starts_no_process_as_it_writes(spark, docs):
     assert names and not [name for name in names if name.endswith(".crc") or name == "_SUCCESS"]
 
 
+def test_settled_tables_of_a_function(spark):
+    """The function runs in the worker that writes; what it yields is the table."""
+
+    def rows(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary())], ["n", "b"])
+        for batch in batches:
+            found = batch.filter(pc.greater(batch.column(0), 6))
+            yield pa.RecordBatch.from_arrays([found.column(0), pa.array([None if x == 9 else str(x).encode() for x in found.column(0).to_pylist()], pa.binary())], ["n", "b"])
+
+    given, schema = spark.range(0, 3000, 1, 5), "n long, b binary"
+    for df in (given, given.where("id < 5"), given.where("id < 0")):
+        table = common.settle(df, "made", rows, schema)
+        made = common.map_arrow(df, rows, schema)
+        assert table.schema == made.schema and sorted(map(repr, table.collect())) == sorted(map(repr, made.collect()))
+        common.release(table)
+
+
+def test_substring_dedup_starts_no_process_as_it_writes(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "release", lambda *tables: None)
+    before = set(common._written)
+    got = [tuple(r) for r in substring_dedup.substring_dedup(docs).collect()]
+    paths = common._written - before
+    names = [name for path in paths for _, _, found in os.walk(common.store(path)[1]) for name in found]
+    assert len(paths) == 6 and names and not [name for name in names if name.endswith(".crc") or name == "_SUCCESS"]
+    assert sorted(got, key=repr) == sorted(brute_dedup(rows), key=repr)
+    for path in paths:
+        common._remove(spark, path)
+
+
+def test_substring_dedup_leaves_no_shuffle_files(spark, docs):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (found.apply(i).getName() for i in range(found.size())) if name.startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    conf, before = spark.conf.get(name), files()
+    substring_dedup.substring_dedup(docs)
+    for _ in range(50):  # files go in the background
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(name) == conf
+
+
 def test_empty_token_files(spark, docs, tmp_path):
     path = f"{tmp_path}/none"
     manifest = token_files.write(docs.limit(0), path, tokenizer_path())
