@@ -59,7 +59,10 @@ def offset_fetch(df: DataFrame, offset: int, fetch: int | None, *order: Column)
 
 
 def apply(left: DataFrame, right: Callable[[], DataFrame], outer: bool = False) -> DataFrame:
-    """CROSS APPLY and OUTER APPLY; right() refers to left's columns by their outer()."""
+    """CROSS APPLY and OUTER APPLY; right() refers to left's columns by their outer().
+
+    Columns that right() orders by before a limit are left out after it, not between the two, or Spark loses the order.
+    """
     return left.lateralJoin(right(), on=F.lit(True), how="left" if outer else "inner")
 
 

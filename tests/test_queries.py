@@ -48,3 +48,27 @@ def test_query(spark, oracle, name):
     assert names == sorted(expected.column_names)
     assert [kind(got.schema.field(n).type) for n in names] == [kind(expected.schema.field(n).type) for n in names]
     assert sorted_rows(got, names) == sorted_rows(expected, names)
+
+
+def differing(spark, name, folder, **tables):
+    """Rows of a query over made tables that its SQL lacks, and the other way round."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t, sql in tables.items():
+        con.sql(f"COPY ({sql}) TO '{folder}/{t}.parquet' (FORMAT parquet)")
+        con.sql(f"CREATE VIEW {t} AS FROM '{folder}/{t}.parquet'")
+    got, expected = queries()[name](spark, str(folder)).toArrow(), con.sql(oracle_sql()[name]).to_arrow_table()
+    assert got.column_names == expected.column_names
+    a, b = sorted_rows(got, got.column_names), sorted_rows(expected, got.column_names)
+    return [x for x in a if x not in b], [x for x in b if x not in a], len(a) - len(b)
+
+
+def test_lateral_limit_keeps_its_order(spark, tmp_path):
+    # several executors fetch a key's rows in any order, so the window that stands for the limit has to state it
+    plan = queries()["cross_apply_top"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_totalprice" in plan[plan.index("windowspecdefinition") :].split("specifiedwindowframe")[0]
+    orders = """SELECT k::BIGINT AS o_orderkey, c::BIGINT AS o_custkey, p::DOUBLE AS o_totalprice FROM (VALUES (1, 1, '5'), (2, 1, '5'), (NULL, 1, '5'), (3, 1, '4'), (4, 2, NULL), (5, 2, 'nan'),
+        (6, 2, 'inf'), (8, 3, '-0.0'), (9, 3, '0.0'), (10, 3, '-0.0'), (11, NULL, '9'), (12, 4, NULL), (NULL, 4, NULL), (13, 4, NULL), (15, 6, '1'), (15, 6, '1'), (16, 99, '1')) AS v(k, c, p)"""
+    customer = "SELECT k::BIGINT AS c_custkey FROM (VALUES (1), (2), (2), (3), (4), (5), (6), (NULL)) AS v(k)"
+    assert differing(spark, "cross_apply_top", tmp_path, customer=customer, orders=orders) == ([], [], 0)
