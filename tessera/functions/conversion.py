@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,10 +74,25 @@ def money_text(x: Column, style: int = 0) -> Column:
     """CONVERT of money to text: 0 two places, 1 with commas, 2 four places."""
     if style == 2:
         return x.cast("decimal(19,4)").cast("string")
-    text = F.format_number(F.round(x, 2), 2)
+    text = F.format_number(F.round(F.abs(x), 2), 2)
+    text = F.when(x < 0, F.concat(F.lit("-"), text)).otherwise(text)  # the sign stays where two places show none of the amount
     return text if style == 1 else F.replace(text, F.lit(","), F.lit(""))
 
 
+def float_money_text(x: Column, style: int = 0) -> Column:
+    """money_text of a float as it stands, not rounded to money first: its exact binary value at the style's places, a half
+    to even; a negative zero and a negative nan keep their sign.
+
+    Built-in formatting goes by a double's shortest digits, which give other last places.
+    """
+    form = {1: ",.2f", 2: ".4f"}.get(style, ".2f")
+
+    def text(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else "-nan" if v != v and math.copysign(1, v) < 0 else format(v, form) for v in values.to_pylist()], pa.string())
+
+    return F.arrow_udf(text, "string")(x)
+
+
 def binary_text(x: Column, style: int = 0) -> Column:
     """CONVERT of binary to text: 1 with 0x, 2 without; else the bytes as characters."""
     if style == 1:

@@ -80,6 +80,13 @@ def test_decimals(spark):
     assert spark.range(1).select(x).schema[0].dataType == T.DecimalType(13, 8)
 
 
+def test_money_text(spark):
+    m = lambda v: L(Decimal(v)).cast("decimal(19,4)")
+    assert one(spark, c.money_text(m("-0.0040")), c.money_text(m("-0.0040"), 1), c.money_text(m("-0.0040"), 2), c.money_text(m("0.0040"))) == ["-0.00", "-0.00", "-0.0040", "0.00"]
+    assert one(spark, c.money_text(m("-1234.5650")), c.money_text(m("-1234.5650"), 1), c.money_text(m("922337203685477.5807"), 1), c.money_text(F.lit(None).cast("decimal(19,4)"))) == ["-1234.57", "-1,234.57", "922,337,203,685,477.58", None]
+    assert one(spark, c.float_money_text(L(-0.0)), c.float_money_text(L(-1234567.125), 1), c.float_money_text(L(1.005)), c.float_money_text(L(-0.0), 2)) == ["-0.00", "-1,234,567.12", "1.00", "-0.0000"]
+
+
 def test_decimal_shapes():
     for p1 in range(1, 39, 3):
         for s1 in range(0, p1 + 1, 4):

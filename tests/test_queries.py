@@ -72,3 +72,9 @@ def test_lateral_limit_keeps_its_order(spark, tmp_path):
         (6, 2, 'inf'), (8, 3, '-0.0'), (9, 3, '0.0'), (10, 3, '-0.0'), (11, NULL, '9'), (12, 4, NULL), (NULL, 4, NULL), (13, 4, NULL), (15, 6, '1'), (15, 6, '1'), (16, 99, '1')) AS v(k, c, p)"""
     customer = "SELECT k::BIGINT AS c_custkey FROM (VALUES (1), (2), (2), (3), (4), (5), (6), (NULL)) AS v(k)"
     assert differing(spark, "cross_apply_top", tmp_path, customer=customer, orders=orders) == ([], [], 0)
+
+
+def test_money_text_of_odd_amounts(spark, tmp_path):
+    amounts = "-0.0 0.0 -0.001 -0.004 0.125 0.375 1.005 2.675 -2.675 -1234.5 999999.995 562949953421312.125 0.12345 0.00005 -0.00001 922337203685477.5807 1e15 72057594037927936 1e23 5e-324 nan inf -inf".split()
+    customer = f"SELECT row_number() OVER () AS c_custkey, x::DOUBLE AS c_acctbal FROM (VALUES (NULL), {', '.join(f"('{a}')" for a in amounts)}) AS v(x)"
+    assert differing(spark, "convert_money_text", tmp_path, customer=customer) == ([], [], 0)
